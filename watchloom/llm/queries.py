@@ -9,18 +9,54 @@ from pyspark.sql import DataFrame, SparkSession
 from watchloom.llm.common import documents
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watchloom.llm.licences import scan_licences
+
+    return scan_licences(documents(spark, sf_dir))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watchloom.llm.pii import find_personal_data
+
+    return find_personal_data(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from watchloom.llm.exact_dedup import exact_dedup
 
     return exact_dedup(documents(spark, sf_dir))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watchloom.llm.language_id import identify
+
+    return identify(documents(spark, sf_dir).select("doc_id", "text", "lang")).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watchloom.llm.media import media_columns
+
+    return media_columns(documents(spark, sf_dir))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from watchloom.llm.mixing import mix
 
     return mix(documents(spark, sf_dir))
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watchloom.llm.pieces import encode_documents
+
+    return encode_documents(documents(spark, sf_dir))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watchloom.llm.chat import repair_conversations
+
+    return repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -51,8 +87,20 @@ SELECT c.doc_id, c.size, c.source_size, c.target, CAST(coalesce(t.taken, 0) AS B
 """
 
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_licence_scan": op3_licence_scan,
+    "op4_pii": op4_pii,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op6_language_id": op6_language_id,
+    "op7_media": op7_media,
+    "op8_mix": op8_mix,
+    "op9_pieces": op9_pieces,
+    "op10_chat": op10_chat,
+}
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_exact_dedup": op5_exact_dedup, "op8_mix": op8_mix}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
