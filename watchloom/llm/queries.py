@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from watchloom.llm.common import documents
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watchloom.llm.ngram_join import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir)).select("doc.doc_id", "n_ngrams", "class_id", "n_links", "kept")
+
+
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from watchloom.llm.licences import scan_licences
 
@@ -88,6 +94,7 @@ SELECT c.doc_id, c.size, c.source_size, c.target, CAST(coalesce(t.taken, 0) AS B
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_ngram_join": op2_ngram_join,
     "op3_licence_scan": op3_licence_scan,
     "op4_pii": op4_pii,
     "op5_exact_dedup": op5_exact_dedup,
