@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchloom.llm.common import internal
+
 DIMENSIONS = 1024
 FOLDED = 13
 SYMBOLS = 27 + FOLDED
@@ -129,16 +131,16 @@ def classify(text: str | None, langs: list[str], protos: np.ndarray) -> tuple[st
     return langs[best], float(min(1.0, max(0.0, cosines[best])))
 
 
-def predict(docs: DataFrame, langs: list[str], protos: np.ndarray) -> DataFrame:
-    """``docs`` with lang_pred and score; names that ``docs`` has already are replaced."""
-    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+def predict(docs: DataFrame, langs: list[str], protos: np.ndarray, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """``docs`` with the columns ``lang`` and ``score``; those that ``docs`` has already are replaced."""
+    keep = [c for c in docs.columns if c not in (lang, score)]
+    schema = docs.select(*keep).schema.add(lang, "string").add(score, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [classify(t, langs, protos) for t in batch.column(batch.schema.names.index("text")).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*keep, "lang_pred", "score"])
+                [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*keep, lang, score])
 
     return docs.select(*keep).mapInArrow(run, schema)
 
@@ -148,3 +150,16 @@ def identify(docs: DataFrame) -> DataFrame:
     flagged = docs.withColumn("held_out", held_out(F.col("doc_id")))
     langs, protos = train(flagged.filter(~F.col("held_out")))
     return predict(flagged, langs, protos)
+
+
+#: A text whose best cosine is lower is taken to be in no known language.
+LEAST_SCORE = 0.1
+
+
+def in_known_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of ``docs`` whose language is known."""
+    held = internal(docs, "held_out")
+    flagged = docs.withColumn(held, held_out(F.col("doc_id")))
+    langs, protos = train(flagged.filter(~F.col(held)))
+    names = [internal(docs, "lang_pred"), internal(docs, "score")]
+    return predict(docs, langs, protos, *names).filter((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).select(*docs.columns)

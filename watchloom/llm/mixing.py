@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchloom.llm.common import WORD, materialize, text_or_empty
+from watchloom.llm.common import WORD, internal, materialize, text_or_empty
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -70,6 +70,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = M
     return placed(rows, weights, share, repeats).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
 
 
+def mixture(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = MAX_REPEATS) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken."""
+    mark = internal(docs, "mark")
+    table = materialize(docs.withColumn(mark, F.monotonically_increasing_id()), "mix-rows")
+    shuffled = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    rows = materialize(table.select("doc_id", "source", word_count(text_or_empty()).alias("size"), shuffled.alias("h"), F.col(mark).alias("mark")), "mix")
+    taken = placed(rows, weights, share, repeats).filter("times > 0").select(F.col("mark").alias(mark + "t"), F.col("times").alias(mark + "n"))
+    return table.join(taken, F.col(mark) == F.col(mark + "t")).select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col(mark + "n").cast("int"))).alias(mark)).drop(mark)
+
+
 def placed(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int = MAX_REPEATS) -> DataFrame:
     """``rows`` (doc_id, source, size, h and any others) with source_size, target, and times: how
     often the mix takes the row."""

@@ -5,10 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from watchloom.llm.common import documents
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watchloom.llm.line_dedup import dedup_lines
+
+    out, gone, count = dedup_lines(documents(spark, sf_dir))
+    lost = F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone))
+    return out.select("doc_id", F.col(count).alias("n_lines"), lost.alias("n_removed"), "text")
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from watchloom.llm.ngram_join import near_duplicates
 
@@ -63,6 +72,29 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+# an exact join too, but by counts of shared words: rare words list the lines, and every pair listed is compared
+OP1_SQL = r"""
+WITH o AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+e AS (SELECT doc_id, unnest(range(len(ls))) AS place, unnest(ls) AS line FROM o WHERE text IS NOT NULL),
+l AS (SELECT doc_id, place, line FROM e WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+d AS (SELECT line, min((doc_id, place)) AS first, row_number() OVER (ORDER BY min((doc_id, place))) AS id FROM l GROUP BY line),
+w AS (SELECT id, list_distinct(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS ws FROM d),
+t AS (SELECT id, len(ws) AS n, unnest(ws) AS word FROM w),
+f AS (SELECT word, count(*) AS c FROM t GROUP BY word),
+r AS (SELECT id, n, t.word, row_number() OVER (PARTITION BY id ORDER BY c, t.word) AS k FROM t JOIN f USING (word)),
+p AS (SELECT id, n, word FROM r WHERE k <= n - ceil(0.8 * n - 1e-9) + 1),
+c AS (SELECT DISTINCT a.id AS later, b.id AS earlier FROM p a JOIN p b ON a.word = b.word AND b.id < a.id AND least(a.n, b.n) >= 0.8 * greatest(a.n, b.n) - 1e-9),
+j AS (SELECT later, len(list_intersect(x.ws, y.ws)) AS common, len(x.ws) + len(y.ws) AS total FROM c JOIN w x ON x.id = later JOIN w y ON y.id = earlier),
+s AS (SELECT DISTINCT later FROM j WHERE common >= 0.8 * (total - common) - 1e-9),
+k AS (SELECT l.doc_id, l.place FROM l JOIN d USING (line) WHERE d.first <> (l.doc_id, l.place) OR d.id IN (SELECT later FROM s)),
+g AS (SELECT e.doc_id, string_agg(CASE WHEN k.place IS NULL THEN e.line END, chr(10) ORDER BY e.place) AS text, count(k.place) AS n_removed
+      FROM e LEFT JOIN k ON e.doc_id = k.doc_id AND e.place = k.place GROUP BY e.doc_id),
+n AS (SELECT doc_id, count(*) AS n_lines FROM l GROUP BY doc_id)
+SELECT o.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce(n_removed, 0) AS INTEGER) AS n_removed,
+       CASE WHEN o.text IS NOT NULL THEN coalesce(g.text, '') END AS text
+FROM o LEFT JOIN g ON o.doc_id = g.doc_id LEFT JOIN n ON o.doc_id = n.doc_id
+"""
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -94,6 +126,7 @@ SELECT c.doc_id, c.size, c.source_size, c.target, CAST(coalesce(t.taken, 0) AS B
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_ngram_join": op2_ngram_join,
     "op3_licence_scan": op3_licence_scan,
     "op4_pii": op4_pii,
@@ -111,4 +144,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op8_mix": OP8_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op8_mix": OP8_SQL}
