@@ -242,7 +242,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     sizes = materialize(pieces.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select(F.col("component").alias("c"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "piece-sizes")
     placed = pieces.join(sizes, F.col("component") == F.col("c")).select("node", "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
     placed = materialize(placed.join(nodes.select("digest", "size", F.col("best.row").alias("best_row")), F.col("node") == F.col("digest")).drop("node"), "placed")
-    texts = table.select("row", F.col("doc.text").alias("text")).join(placed, F.col("row") == F.col("best_row"))
+    # a sort-merge join at every size: the candidates grow with the documents, so no broadcast is planned for
+    texts = table.select("row", F.col("doc.text").alias("text")).hint("merge").join(placed, F.col("row") == F.col("best_row"))
     full = materialize(texts.select("digest", "component", "blocks", "block", "size", set_column(F.col("text"), words).alias("grams")), "sets")
     release(spark)
     paired = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "digest", "block", "size", "grams")
