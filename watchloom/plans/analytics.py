@@ -11,12 +11,16 @@ from watchloom.operators import rules, windows
 from watchloom.plans.registry import Tables, query
 
 K = "json_extract_string(props, '$.k')::INT"
-k_of = F.get_json_object("props", "$.k").cast("int")
+
+
+def k_of():
+    """The number in an event's document."""
+    return F.get_json_object("props", "$.k").cast("int")
 
 
 @query("agg_count_if", f"SELECT count(*) AS n, count(*) FILTER ({K} > 50) AS high, count(DISTINCT user_id) AS users FROM events")
 def agg_count_if(t: Tables):
-    return t.events.agg(F.count(F.lit(1)).alias("n"), F.count_if(k_of > 50).alias("high"), F.countDistinct("user_id").alias("users"))
+    return t.events.agg(F.count(F.lit(1)).alias("n"), F.count_if(k_of() > 50).alias("high"), F.countDistinct("user_id").alias("users"))
 
 
 @query("agg_group_count", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
@@ -75,7 +79,7 @@ def agg_dedup_ratio(t: Tables):
 
 @query("agg_histogram_2d", f"SELECT (value / 50)::INT AS x, ({K} // 10)::INT AS y, count(*) AS n FROM events GROUP BY 1, 2 HAVING count(*) >= 3".replace("(value / 50)::INT", "floor(value / 50)::INT"))
 def agg_histogram_2d(t: Tables):
-    return t.events.groupBy(F.floor(F.col("value") / 50).cast("int").alias("x"), F.floor(k_of / 10).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
+    return t.events.groupBy(F.floor(F.col("value") / 50).cast("int").alias("x"), F.floor(k_of() / 10).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("n")).filter("n >= 3")
 
 
 @query("agg_hits", "SELECT role, count(*) FILTER (length(text) > 200) AS hits, count(*) AS n FROM conversations GROUP BY 1")
@@ -136,7 +140,7 @@ def subjects(t: Tables) -> DataFrame:
     zone = F.when(F.col("event_type") == "view", F.array(F.lit("shelf"))).when(F.col("event_type") == "purchase", F.array(F.lit("billing_counter"))).when(F.col("event_type") == "error", F.array(F.lit("exit"))).otherwise(F.array().cast("array<string>"))
     return t.events.select(
         F.col("user_id").alias("track"), F.col("event_id").alias("arrival"), "event_id", seconds("ts").alias("ts"), zone.alias("zone_types"), F.array(F.lit("person"), F.lit("bag")).alias("all_objects"),
-        F.when(k_of >= 90, F.array(F.lit("person"), F.lit("bag"))).otherwise(F.array(F.lit("person"))).alias("objects"), (F.col("event_type") == "click").alias("object_near_hand"),
+        F.when(k_of() >= 90, F.array(F.lit("person"), F.lit("bag"))).otherwise(F.array(F.lit("person"))).alias("objects"), (F.col("event_type") == "click").alias("object_near_hand"),
         F.lit(None).cast("boolean").alias("has_item"), (F.col("value") / 500).alias("camera_health_score"))
 
 
@@ -209,7 +213,7 @@ POINTS = f"SELECT event_id, user_id % 2 AS camera, value / 500 AS x, {K} / 100 A
 
 
 def points(t: Tables) -> DataFrame:
-    return t.events.select("event_id", (F.col("user_id") % 2).alias("camera"), (F.col("value") / 500).alias("x"), (k_of / 100).alias("y"))
+    return t.events.select("event_id", (F.col("user_id") % 2).alias("camera"), (F.col("value") / 500).alias("x"), (k_of() / 100).alias("y"))
 
 
 @query("geo_zone_join", f"WITH p AS ({POINTS}) " + " UNION ALL ".join(f"SELECT event_id, '{z}' AS zone_type FROM p WHERE camera = {c} AND {_edges(poly, 'x', 'y')}" for c, _, z, poly in ZONES))
@@ -232,7 +236,7 @@ def geo_zone_attribution(t: Tables):
 
 @query("geo_box_overlap", f"WITH b AS (SELECT event_id, value / 500 AS x, {K} / 100 AS y FROM events), p AS (SELECT event_id, x, y, lead(x) OVER (ORDER BY event_id) AS x2, lead(y) OVER (ORDER BY event_id) AS y2 FROM b WHERE event_id < 500), o AS (SELECT event_id, greatest(least(x + 0.3, x2 + 0.3) - greatest(x, x2), 0) * greatest(least(y + 0.4, y2 + 0.4) - greatest(y, y2), 0) AS i, x, y, x2, y2 FROM p WHERE x2 IS NOT NULL) SELECT event_id, round(i / (0.24 - i), 9) AS iou, round(sqrt((x - x2) * (x - x2) + (y - y2) * (y - y2)), 9) AS distance FROM o")
 def geo_box_overlap(t: Tables):
-    b = t.events.filter("event_id < 500").select("event_id", F.array(F.col("value") / 500, k_of / 100, F.lit(0.3), F.lit(0.4)).alias("a"))
+    b = t.events.filter("event_id < 500").select("event_id", F.array(F.col("value") / 500, k_of() / 100, F.lit(0.3), F.lit(0.4)).alias("a"))
     p = b.join(b.select((F.col("event_id") - 1).alias("n"), F.col("a").alias("b")), F.col("event_id") == F.col("n"))
     return p.select("event_id", F.round(geometry.iou(F.col("a"), F.col("b")), 9).alias("iou"), F.round(geometry.centroid_distance(F.col("a"), F.col("b")), 9).alias("distance"))
 

@@ -11,12 +11,16 @@ from watchloom.operators import economics, fusion, governance, metrics, search,
 from watchloom.plans.registry import Tables, query
 
 K = "json_extract_string(props, '$.k')::INT"
-k_of = F.get_json_object("props", "$.k").cast("int")
+
+
+def k_of():
+    """The number in an event's document."""
+    return F.get_json_object("props", "$.k").cast("int")
 
 
 @query("fusion_best_span", f"WITH f AS (SELECT event_type AS query, user_id AS camera, value AS a, value + {K} AS z, {K} > 5 AS ok FROM events WHERE event_type <> 'signup') SELECT q.query, b.camera, b.a AS start, b.z AS \"end\" FROM (SELECT DISTINCT event_type AS query FROM events) q LEFT JOIN (SELECT * FROM f WHERE ok QUALIFY row_number() OVER (PARTITION BY query ORDER BY z - a DESC, camera, a) = 1) b USING (query)")
 def fusion_best_span(t: Tables):
-    f = t.events.filter("event_type <> 'signup'").select(F.col("event_type").alias("query"), F.col("user_id").alias("camera"), F.col("value").alias("start"), (F.col("value") + k_of).alias("end"), (k_of > 5).alias("format_ok"))
+    f = t.events.filter("event_type <> 'signup'").select(F.col("event_type").alias("query"), F.col("user_id").alias("camera"), F.col("value").alias("start"), (F.col("value") + k_of()).alias("end"), (k_of() > 5).alias("format_ok"))
     sound = f.filter("format_ok").withColumn("length", F.col("end") - F.col("start"))
     best = tables.latest(sound, ["query"], F.desc("length"), F.col("camera"), F.col("start"))
     return t.events.select(F.col("event_type").alias("query")).distinct().join(best, "query", "left").select("query", "camera", "start", "end")
@@ -33,7 +37,7 @@ def fusion_candidate_pairs(t: Tables):
 
 @query("fusion_greedy_merge")
 def fusion_greedy_merge(t: Tables):
-    r = t.events.filter("event_id < 2000").select(F.col("user_id").alias("grp"), F.col("event_id").alias("pos"), F.col("value").alias("start"), (F.col("value") + 60).alias("end"), F.concat_ws(" ", F.lit("a person"), "event_type", F.when(k_of > 50, "again")).alias("description"))
+    r = t.events.filter("event_id < 2000").select(F.col("user_id").alias("grp"), F.col("event_id").alias("pos"), F.col("value").alias("start"), (F.col("value") + 60).alias("end"), F.concat_ws(" ", F.lit("a person"), "event_type", F.when(k_of() > 50, "again")).alias("description"))
     return fusion.merge_reports(r, "grp")
 
 
@@ -44,8 +48,8 @@ def fusion_counters(t: Tables):
 
 
 def detections(t: Tables):
-    box = F.array(F.col("value") / 1000, k_of / 200, F.lit(0.3), F.lit(0.3))
-    return t.events.filter("event_id < 3000").select((F.col("user_id") % 5).alias("camera"), F.col("event_id").alias("id"), F.floor(seconds("ts") / 600).cast("double").alias("t"), F.when(k_of % 2 == 0, "person").otherwise("bag").alias("label"), box.alias("box"))
+    box = F.array(F.col("value") / 1000, k_of() / 200, F.lit(0.3), F.lit(0.3))
+    return t.events.filter("event_id < 3000").select((F.col("user_id") % 5).alias("camera"), F.col("event_id").alias("id"), F.floor(seconds("ts") / 600).cast("double").alias("t"), F.when(k_of() % 2 == 0, "person").otherwise("bag").alias("label"), box.alias("box"))
 
 
 @query("track_greedy")
@@ -66,7 +70,7 @@ def track_motion_gate(t: Tables):
 
 @query("track_hypotheses", f"WITH d AS (SELECT epoch_us(ts) // 3600000000 AS win, user_id AS track, CASE WHEN {K} % 4 = 0 THEN 'bag' WHEN {K} % 4 = 1 THEN 'bottle' ELSE 'person' END AS label, value / 500 AS c FROM events), i AS (SELECT win, max(c) AS item, list(DISTINCT label ORDER BY label) AS objects FROM d WHERE label <> 'person' GROUP BY 1), p AS (SELECT win, track, max(c) AS person FROM d WHERE label = 'person' GROUP BY 1, 2) SELECT win, track, round(least(person, item), 4) AS confidence, objects FROM p JOIN i USING (win)")
 def track_hypotheses(t: Tables):
-    label = F.when(k_of % 4 == 0, "bag").when(k_of % 4 == 1, "bottle").otherwise("person")
+    label = F.when(k_of() % 4 == 0, "bag").when(k_of() % 4 == 1, "bottle").otherwise("person")
     return tracking.hypotheses(t.events.select(F.floor(seconds("ts") / 3600).alias("win"), F.col("user_id").alias("track"), label.alias("label"), (F.col("value") / 500).alias("confidence")))
 
 

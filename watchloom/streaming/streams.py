@@ -25,17 +25,22 @@ def topic(spark: SparkSession, folder: str, schema, fmt: str = "parquet", per_ba
     return reader.format(fmt).load(folder)
 
 
+def timed(events: DataFrame, late: str) -> DataFrame:
+    """With a watermark; times without a zone are the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def tumbling_counts(events: DataFrame, width: str = "10 minutes", late: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return timed(events, late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 def sliding_counts(events: DataFrame, width: str = "30 seconds", slide: str = "25 seconds", late: str = "1 hour") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width, slide)).agg(F.count(F.lit(1)).alias("n"))
+    return timed(events, late).groupBy(F.window("ts", width, slide)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def once(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
     """Each key once within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+    return timed(events, late).dropDuplicatesWithinWatermark([key])
 
 
 class History:
