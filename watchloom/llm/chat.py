@@ -166,16 +166,16 @@ def by_group(keys: list[str], work: Callable[[tuple, pd.DataFrame], dict]) -> Ca
             if not len(frame):
                 continue
             k = frame[keys]
-            same = ((k == k.shift()) | (k.isna() & k.shift().isna())).all(axis=1).to_numpy()
-            starts = np.flatnonzero(~same | (np.arange(len(k)) == 0))
+            v = k.to_numpy()
+            starts = np.flatnonzero(np.append(True, (v[1:] != v[:-1]).any(axis=1)))
             for a, b in zip(starts[:-1], starts[1:], strict=True):
-                out.append(work(tuple(k.iloc[a]), frame.iloc[a:b]))
+                out.append(work(tuple(v[a].tolist()), frame.iloc[a:b]))
             rest = frame.iloc[starts[-1] :]
             if len(out) >= 1000:
                 yield pd.DataFrame(out)
                 out = []
         if rest is not None and len(rest):
-            out.append(work(tuple(rest[keys].iloc[0]), rest))
+            out.append(work(tuple(rest[keys].iloc[0].tolist()), rest))
         if out:
             yield pd.DataFrame(out)
 
@@ -187,51 +187,39 @@ def repair_conversations(turns: DataFrame) -> DataFrame:
     n_relabelled, n_inserted, cost, rendered."""
     role = F.lower(F.trim("role"))
     code = F.coalesce(*[F.when(role == r, F.lit(k)) for k, r in enumerate(ROLES)], F.lit(OTHER))
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), code.alias("role"), "text")
-    rows = rows.withColumn("order", F.xxhash64("text")).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(2**62)))
-    rows = rows.withColumn("alone", F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()))
+    # keys without nulls: rows without a conversation have a number of their own in its place
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))
+    rows = turns.select(
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(0).cast("long")).alias("conv"), alone.alias("alone"), F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(1 << 62)).alias("block"),
+        F.coalesce(F.col("turn").cast("long"), F.lit((1 << 63) - 1)).alias("turn"), code.alias("role"), F.xxhash64("text").alias("order"), F.coalesce("text", F.lit("")).alias("text"))
     rows = materialize(rows, "turns")
-    keys, order = ["conv_id", "alone", "block"], [F.col("turn").asc_nulls_last(), "role", "order"]
+    keys, order = ["conv", "alone", "block"], ["turn", "role", "order"]
 
     def measure(key: tuple, g: pd.DataFrame) -> dict:
-        m = block_matrix(g["role"].to_numpy())
-        return {**dict(zip(keys, key, strict=True)), "matrix": m.ravel().tolist()}
+        return {**dict(zip(keys, key, strict=True)), "matrix": block_matrix(g["role"].to_numpy()).ravel().tolist()}
 
-    key_schema = "conv_id long, alone long, block long"
-    blocks = rows.select(*keys, "turn", "role", "order").repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(_nullable(by_group(keys, measure), keys), f"{key_schema}, matrix array<double>")
-    ordered = blocks.repartition("conv_id", "alone").sortWithinPartitions(*keys)
+    blocks = rows.select(*keys, *order).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(by_group(keys, measure), "conv long, alone long, block long, matrix array<double>")
+    ordered = blocks.repartition("conv", "alone").sortWithinPartitions(*keys)
 
     def route(key: tuple, g: pd.DataFrame) -> dict:
         states = path_states([np.array(m).reshape(4, 4) for m in g["matrix"]])
-        return {"conv_id": key[0], "alone": key[1], "plan": [{"block": int(b), "part": i, "parts": len(g), "enter": a, "leave": z} for i, (b, (a, z)) in enumerate(zip(g["block"], states, strict=True))]}
+        return {"conv": key[0], "alone": key[1], "plan": [{"block": int(b), "part": i, "parts": len(g), "enter": a, "leave": z} for i, (b, (a, z)) in enumerate(zip(g["block"], states, strict=True))]}
 
-    plan = ordered.mapInPandas(_nullable(by_group(["conv_id", "alone"], route), ["conv_id", "alone"]), "conv_id long, alone long, plan array<struct<block: long, part: int, parts: int, enter: int, leave: int>>")
-    plan = materialize(plan.select("conv_id", "alone", F.inline("plan")), "chat-plan")
-    plan = plan.select(*[F.col(c).alias(f"p_{c}") for c in keys], "part", "parts", "enter", "leave")
-    both = rows.join(plan, F.col("conv_id").eqNullSafe(F.col("p_conv_id")) & F.col("alone").eqNullSafe(F.col("p_alone")) & (F.col("block") == F.col("p_block")), "left").drop("p_conv_id", "p_alone", "p_block")
+    plan = ordered.mapInPandas(by_group(["conv", "alone"], route), "conv long, alone long, plan array<struct<block: long, part: int, parts: int, enter: int, leave: int>>")
+    plan = materialize(plan.select("conv", "alone", F.inline("plan")), "chat-plan")
 
     def write(key: tuple, g: pd.DataFrame) -> dict:
         enter, leave, part, parts = (int(g[c].iloc[0]) for c in ("enter", "leave", "part", "parts"))
         roles = [int(r) for r in g["role"]]
         cost, made = repair(roles, enter, leave)
         last = part == parts - 1
-        text, n_out, empty = render([None if t is None or t != t else t for t in g["text"]], made, enter, last)
+        text, n_out, empty = render(list(g["text"]), made, enter, last)
         cost += INSERT * len(ending(leave)) if last else 0.0
         return {
-            "conv_id": key[0], "part": part, "parts": parts, "n_turns": len(g), "n_out": n_out, "n_merged": sum(c[2] for c in made),
+            "conv": key[0], "alone": key[1], "part": part, "parts": parts, "n_turns": len(g), "n_out": n_out, "n_merged": sum(c[2] for c in made),
             "n_relabelled": sum(c[1] - 1 != r for c, r in zip(made, roles, strict=True)), "n_inserted": empty, "cost": cost, "rendered": text,
         }
 
-    both = both.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return both.mapInPandas(_nullable(by_group(keys, write), ["conv_id"]), "conv_id long, part int, parts int, n_turns long, n_out long, n_merged long, n_relabelled long, n_inserted long, cost double, rendered string")
-
-
-def _nullable(run: Callable, ints: list[str]) -> Callable:
-    """``run`` with whole-number keys that may be missing."""
-
-    def wrapped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        typed = (f.astype({c: "Int64" for c in f.columns if c in ("conv_id", "alone", "block")}) for f in frames)
-        for out in run(typed):
-            yield out.astype({c: "Int64" for c in ints})
-
-    return wrapped
+    both = rows.join(plan, keys).repartition(*keys).sortWithinPartitions(*keys, *order)
+    out = both.mapInPandas(by_group(keys, write), "conv long, alone long, part int, parts int, n_turns long, n_out long, n_merged long, n_relabelled long, n_inserted long, cost double, rendered string")
+    return out.select(F.when(F.col("alone") < 0, F.col("conv")).alias("conv_id"), *out.columns[2:])
