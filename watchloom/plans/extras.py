@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from watchloom.functions import geometry
 from watchloom.functions.scalar import seconds
 from watchloom.functions.verdicts import answer
-from watchloom.operators import economics, inference
+from watchloom.operators import economics, inference, tables
 from watchloom.plans.registry import Tables, query
 
 
@@ -73,3 +74,55 @@ def report_runs_by_key(t: Tables):
     per = t.lineitem.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("n"))
     j = per.join(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"), F.col("l_orderkey") == F.col("o_orderkey")).join(t.customer.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
     return j.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("runs"), F.round(F.sum(F.col("o_totalprice") * F.col("n")) / F.sum("n"), 4).alias("mean_cost"), F.round(F.sum("q") / F.count(F.lit(1)), 4).alias("per_run"))
+
+
+@query("queue_claim", "SELECT o_orderkey, 'processing' AS status FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT' ORDER BY o_orderdate, o_orderkey LIMIT 8")
+def queue_claim(t: Tables):
+    """The oldest pending jobs of a topic, as claimed; streams use offsets instead."""
+    pending = t.orders.filter("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'")
+    return pending.orderBy("o_orderdate", "o_orderkey").limit(8).select("o_orderkey", F.lit("processing").alias("status"))
+
+
+@query("filter_needs_verification", "SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN value > 100 END, json_extract_string(props, '$.k')::INT > 50, FALSE) AS needs FROM events")
+def filter_needs_verification(t: Tables):
+    """The flag on the event, else the one in its document, else no."""
+    own = F.when(F.col("event_id") % 3 == 0, F.col("value") > 100)
+    return t.events.select("event_id", F.coalesce(own, F.get_json_object("props", "$.k").cast("int") > 50, F.lit(False)).alias("needs"))
+
+
+@query("cascade_skip", "SELECT item_id, len(w) AS n FROM (SELECT item_id, list_filter(string_split(lower(text), ' '), lambda x: x IN ('the', 'with')) AS w FROM benchmark) WHERE len(w) > 0")
+def cascade_skip(t: Tables):
+    """Rows without a route never reach the costly step."""
+    route = F.filter(F.split(F.lower("text"), " "), lambda w: w.isin("the", "with"))
+    return t.benchmark.select("item_id", route.alias("w")).filter(F.size("w") > 0).select("item_id", F.size("w").cast("long").alias("n"))
+
+
+@query("decode_savings", "SELECT user_id, count(*) * 21 AS separate, count(*) AS shared, count(*) * 20 AS saved FROM events GROUP BY 1")
+def decode_savings(t: Tables, queries: int = 21):
+    """Decodes if each query read its own frames, as against once for all."""
+    n = F.count(F.lit(1))
+    return t.events.groupBy("user_id").agg((n * queries).alias("separate"), n.alias("shared"), (n * (queries - 1)).alias("saved"))
+
+
+@query("track_upsert", "WITH a AS (SELECT user_id, min(event_id) AS first_seen, max(event_id) AS last_seen FROM events WHERE event_id < 1000 GROUP BY 1), b AS (SELECT user_id, min(event_id) AS f, max(event_id) AS l FROM events WHERE event_id >= 1000 AND event_id < 1500 GROUP BY 1) SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(first_seen, f) AS first_seen, coalesce(l, last_seen) AS last_seen FROM a FULL OUTER JOIN b ON a.user_id = b.user_id")
+def track_upsert(t: Tables):
+    """Tracks that are known are seen later; others come in."""
+    seen = lambda rows: rows.groupBy("user_id").agg(F.min("event_id").alias("first_seen"), F.max("event_id").alias("last_seen"))
+    return tables.upsert(seen(t.events.filter("event_id < 1000")), seen(t.events.filter("event_id >= 1000 AND event_id < 1500")), ["user_id"], ["last_seen"])
+
+
+@query("evidence_model_version", "SELECT c.conv_id, coalesce(arg_max(CASE WHEN role = 'assistant' THEN text END, turn) FILTER (role = 'assistant'), arg_max(text, turn)) AS version FROM conversations c GROUP BY 1")
+def evidence_model_version(t: Tables):
+    """The headline's model, else the last observation's."""
+    own = F.max_by(F.when(F.col("role") == "assistant", F.col("text")), F.when(F.col("role") == "assistant", F.col("turn")))
+    return t.conversations.groupBy("conv_id").agg(F.coalesce(own, F.max_by("text", "turn")).alias("version"))
+
+
+@query("geo_gated_pairs", "WITH b AS (SELECT event_id, user_id % 5 AS camera, epoch_us(ts) // 600000000 AS f, event_type, value / 1000 AS x, json_extract_string(props, '$.k')::INT / 200 AS y FROM events), p AS (SELECT a.event_id AS a, b.event_id AS b, greatest(least(a.x, b.x) + 0.3 - greatest(a.x, b.x), 0) * greatest(least(a.y, b.y) + 0.3 - greatest(a.y, b.y), 0) AS i, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d FROM b a JOIN b ON a.camera = b.camera AND a.event_type = b.event_type AND b.f = a.f + 1) SELECT a, b FROM p WHERE i / (0.18 - i) >= 0.3 OR d <= 0.08")
+def geo_gated_pairs(t: Tables):
+    """Boxes of one camera and label in successive frames that overlap or are near."""
+    box = F.array(F.col("value") / 1000, F.get_json_object("props", "$.k").cast("int") / 200, F.lit(0.3), F.lit(0.3))
+    d = t.events.select(F.col("event_id").alias("a"), (F.col("user_id") % 5).alias("camera"), "event_type", F.floor(seconds("ts") / 600).alias("f"), box.alias("box"))
+    e = d.select(F.col("a").alias("b"), F.col("camera").alias("c"), F.col("event_type").alias("k"), (F.col("f") - 1).alias("g"), F.col("box").alias("next"))
+    j = d.join(e, (F.col("camera") == F.col("c")) & (F.col("event_type") == F.col("k")) & (F.col("f") == F.col("g")))
+    return j.filter((geometry.iou(F.col("box"), F.col("next")) >= 0.3) | (geometry.centroid_distance(F.col("box"), F.col("next")) <= 0.08)).select("a", "b")
