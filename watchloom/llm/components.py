@@ -32,18 +32,19 @@ def _small(edges: DataFrame) -> DataFrame:
     return materialize(out.filter("u <> v").distinct(), "stars")
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge up, or none and is a centre."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up")))).alias("e")).select("e.*")
+    per = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count_if(F.col("up") == 0).alias("down"))
+    return per.filter("up > 1 OR (up > 0 AND down > 0)").limit(1).count() == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of ``edges`` (u, v); the component is its least node."""
     now = materialize(edges.select("u", "v").filter("u <> v").distinct(), "edges")
-    state = _state(now)
-    while state[0]:
+    while True:
         now = _small(_large(now))
-        was, state = state, _state(now)
-        if was == state:
+        if _stars(now):
             break
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return materialize(stars.unionAll(stars.select(F.col("component").alias("node"), "component").distinct()), "components")

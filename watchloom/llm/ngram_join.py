@@ -118,12 +118,18 @@ class Sketch:
         return out.view(np.int64)
 
 
+def each(values: pa.Array, some: int = 128) -> Iterator:
+    """The values as Python's, a few at a time in memory."""
+    for at in range(0, len(values), some):
+        yield from values.slice(at, some).to_pylist()
+
+
 def sketch_column(text: Column, words: int, bands: int, rows: int) -> Column:
     """Struct of the n-gram set's digest, its size and its band keys; null without words."""
 
     def run(texts: pa.Array) -> pa.Array:
         sketch, digests, sizes, keys = Sketch(bands, rows), [], [], []
-        for t in texts.to_pylist():
+        for t in each(texts):
             g = ngrams(t, words)
             digests.append(hashlib.blake2b(g.tobytes(), digest_size=16).digest() if len(g) else None)
             sizes.append(len(g))
@@ -140,7 +146,7 @@ def set_column(text: Column, words: int) -> Column:
     """The n-gram set as bytes."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([ngrams(t, words).tobytes() for t in texts.to_pylist()], pa.binary())
+        return pa.array([ngrams(t, words).tobytes() for t in each(texts)], pa.binary())
 
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return F.arrow_udf(run, "binary")(text)
@@ -207,7 +213,7 @@ def _units(threshold: float):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.binary()), strict=True)], ["digest", "links", "root"])
 
         for batch in batches:
-            for component, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("component", "i", "j", "digest", "block", "size", "grams")), strict=True):
+            for component, i, j, *row in zip(*(each(batch.column(c)) for c in ("component", "i", "j", "digest", "block", "size", "grams")), strict=True):
                 if (component, i, j) != now:
                     if held:
                         out += _verify(held, now[1] == now[2], threshold)
