@@ -95,6 +95,20 @@ SELECT o.doc_id, CAST(coalesce(n_lines, 0) AS INTEGER) AS n_lines, CAST(coalesce
 FROM o LEFT JOIN g ON o.doc_id = g.doc_id LEFT JOIN n ON o.doc_id = n.doc_id
 """
 
+OP2_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+i AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 5, 0) + 2)) AS k FROM w WHERE len(ws) > 0),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[k:k + least(5, len(ws)) - 1], ' ') AS gram FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE c >= 0.8 * (a.n + b.n - c) - 1e-9),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.doc_id),
+c AS (SELECT doc_id, min(root) AS class_id FROM r GROUP BY 1),
+k AS (SELECT x AS doc_id, count(*) AS n_links FROM l GROUP BY 1)
+SELECT c.doc_id, CAST(coalesce(n, 0) AS INTEGER) AS n_ngrams, class_id, coalesce(n_links, 0) AS n_links, class_id = c.doc_id AS kept
+FROM c LEFT JOIN n ON n.doc_id = c.doc_id LEFT JOIN k ON k.doc_id = c.doc_id
+"""
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -144,4 +158,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op5_exact_dedup": OP5_SQL, "op8_mix": OP8_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_ngram_join": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op8_mix": OP8_SQL}
