@@ -4,6 +4,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+import watchloom.plans.knowledge  # noqa: F401
 from watchloom.functions import geometry
 from watchloom.functions.scalar import uuid5
 from watchloom.functions.text import redact, redact_fields
@@ -156,3 +157,10 @@ def test_retention_keeps_rows_without_a_time(spark):
     df = spark.sql("SELECT * FROM VALUES ('a', TIMESTAMP_NTZ'2024-01-01'), ('b', TIMESTAMP_NTZ'2024-01-20'), ('c', NULL) t(id, ts)")
     got = df.filter(governance.expired(F.col("ts"), F.lit("2024-01-21 00:00:00").cast("timestamp_ntz"), 14)).collect()
     assert [r.id for r in got] == ["a"]
+
+
+def test_published_scores(spark):
+    from watchloom.plans.registry import QUERIES
+
+    got = {r.runtime: r.score for r in QUERIES["econ_bakeoff"](spark, "").collect()}
+    assert got == {"tensorrt_llm": 1.0, "nim": 0.9235, "vllm": 0.7623, "llama_cpp": 0.2598, "transformers": 0.25, "ollama": 0.2007}
