@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import operator
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -58,7 +59,12 @@ class Pieces:
         self.edges = {text[i]: (i, sp.get_score(i)) for i in normal}
         self.longest = max(map(len, self.edges))
         self.unknown = min((s for _, s in self.edges.values() if s > -1e8), default=0.0) - UNKNOWN_COST
-        self.spaced = {i: text[i].replace(MARK, " ") for i in normal}
+        # what an id stands for by itself: bytes from 128 on do so only together
+        self.alone: list[str | None] = [""] * n
+        for i in normal:
+            self.alone[i] = text[i].replace(MARK, " ")
+        for b, i in self.bytes_.items():
+            self.alone[i] = chr(b) if b < 128 else None
         # pairs of neighbours within a piece: no path has an edge across any other pair
         pairs = {(ord(a), ord(b)) for p in self.edges for a, b in itertools.pairwise(p)}
         self.low = np.zeros((TABLE, TABLE), bool)
@@ -67,7 +73,7 @@ class Pieces:
             if a < TABLE and b < TABLE:
                 self.low[a, b] = True
         self.high = np.array(sorted(a << 21 | b for a, b in pairs), np.int64)
-        self.cache: dict[str, tuple[float, tuple[int, ...], float]] = {}
+        self.cache: dict[str, tuple[float, bytes, float]] = {}
         self.more: dict[tuple[str, int], tuple] = {}
 
     def spell(self, char: str) -> tuple[int, ...]:
@@ -116,8 +122,8 @@ class Pieces:
             best[end], second[end], back[end] = one, two, at
         return best, back, second[n]
 
-    def best(self, unit: str) -> tuple[float, tuple[int, ...], float]:
-        """(score, ids, what the second path loses) of a unit; infinite where it has one path."""
+    def best(self, unit: str) -> tuple[float, bytes, float]:
+        """(score, ids as bytes, what the second path loses) of a unit; infinite where it has one path."""
         if got := self.cache.get(unit):
             return got
         best, back, second = self.forward(unit)
@@ -129,7 +135,8 @@ class Pieces:
             at = start
         if len(self.cache) >= CACHE:
             self.cache.clear()
-        found = (best[-1], tuple(i for own in reversed(ids) for i in own), best[-1] - second if second > -1e299 else float("inf"))
+        flat = np.array([i for own in reversed(ids) for i in own], np.int32)
+        found = (best[-1], flat.tobytes(), best[-1] - second if second > -1e299 else float("inf"))
         self.cache[unit] = found
         return found
 
@@ -158,7 +165,8 @@ class Pieces:
             if unit[at - 1] not in edges:
                 s = suffix + self.unknown
                 heapq.heappush(queue, (-(alpha[at - 1] + s), at - 1, next(order), s, (self.spell(unit[at - 1]), rest)))
-        score, ids, _ = self.best(unit)  # of equal paths, the forward pass's own comes first
+        score, raw, _ = self.best(unit)
+        ids = tuple(np.frombuffer(raw, np.int32).tolist())  # of equal paths, the forward pass's own comes first
         found = ((score, ids), *[x for x in out if x[1] != ids][: n - 1])
         if len(self.more) >= CACHE // 4:
             self.more.clear()
@@ -167,7 +175,7 @@ class Pieces:
 
     def combine(self, units: list[str], found: list[tuple], n: int) -> list[tuple[float, list[tuple[int, tuple[int, ...]]]]]:
         """The ``n`` best (score, changes) of a text from its units' best; changes are (unit, ids)."""
-        best = sum(f[0] for f in found)
+        best = sum(map(operator.itemgetter(0), found))
         ways: list[tuple[float, list]] = [(0.0, [])]
         if n > 1 and found:
             gaps = np.array([f[2] for f in found])
@@ -187,31 +195,26 @@ class Pieces:
     def segmentations(self, text: str, n: int = NBEST) -> list[tuple[float, list[int]]]:
         """The ``n`` best (score, ids) of a text, written out."""
         units = self.units(text)
-        found = [self.best(u) for u in units]
+        found = self.best_of(units)
         out = []
         for score, changes in self.combine(units, found, n):
             own = dict(changes)
-            out.append((score, [i for k, f in enumerate(found) for i in own.get(k, f[1])]))
+            out.append((score, [i for k, f in enumerate(found) for i in own.get(k, np.frombuffer(f[1], np.int32).tolist())]))
         return out
 
     def decode(self, ids) -> str:
         """The text of ``ids``."""
-        out: list[str] = []
-        spelt = bytearray()
-        spaced, byte_of = self.spaced, self.byte_of
-        for i in ids:
-            b = byte_of.get(i)
-            if b is not None:
-                spelt.append(b)
-                continue
-            if spelt:
-                out.append(spelt.decode("utf-8", "surrogatepass"))
-                spelt.clear()
-            out.append(spaced.get(i, ""))
-        if spelt:
-            out.append(spelt.decode("utf-8", "surrogatepass"))
-        text = "".join(out)
-        return text[1:] if text.startswith(" ") else text
+        parts = list(map(self.alone.__getitem__, ids))
+        if None in parts:
+            byte_of = self.byte_of
+            runs = itertools.groupby(zip(parts, ids, strict=True), key=lambda x: x[0] is None)
+            parts = [bytes(byte_of[i] for _, i in run).decode("utf-8", "surrogatepass") if spelt else "".join(p for p, _ in run) for spelt, run in runs]
+        return "".join(parts).removeprefix(" ")
+
+    def best_of(self, units: list[str]) -> list[tuple[float, bytes, float]]:
+        """:meth:`best` of each unit."""
+        get, best = self.cache.get, self.best
+        return [get(u) or best(u) for u in units]
 
 
 @lru_cache(4)
@@ -234,24 +237,24 @@ def _run(model_file: str, n: int):
 
 def _encode_batch(pieces: Pieces, batch: pa.RecordBatch, n: int) -> pa.RecordBatch:
     offsets, flat, rows = [0], [], []
+    size = 0
     for text in batch.column("text").to_pylist():
         if text is None:
             rows.append((None, None, None, None, None))
-            offsets.append(len(flat))
+            offsets.append(size)
             continue
         units = pieces.units(text)
-        best = [pieces.best(u) for u in units]
+        best = pieces.best_of(units)
         found = pieces.combine(units, best, n)
-        ids: list[int] = []
-        for f in best:
-            ids += f[1]
-        flat += ids
-        offsets.append(len(flat))
+        flat.append(raw := b"".join([f[1] for f in best]))
+        ids = np.frombuffer(raw, np.int32).tolist()
+        size += len(ids)
+        offsets.append(size)
         changes = [" ".join(f"{k}:{'.'.join(map(str, own))}" for k, own in c) for _, c in found]
         rows.append((len(ids), found[0][0], [s for s, _ in found], changes, pieces.decode(ids) == text))
     columns = list(zip(*rows, strict=True)) or [()] * 5
     nulls = np.array([r[0] is None for r in rows] + [False])
-    lists = pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32), pa.int32(), mask=nulls), pa.array(np.array(flat, np.int32)))
+    lists = pa.ListArray.from_arrays(pa.array(np.array(offsets, np.int32), pa.int32(), mask=nulls), pa.array(np.frombuffer(b"".join(flat), np.int32)))
     return pa.RecordBatch.from_arrays(
         [batch.column("doc_id"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.float64()), lists, pa.array(columns[2], pa.list_(pa.float64())), pa.array(columns[3], pa.list_(pa.string())), pa.array(columns[4], pa.bool_())],
         [x.split()[0] for x in SCHEMA.split(", ")])
