@@ -25,21 +25,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchloom.llm.common import SPACE, internal, materialize, release
+from watchloom.llm.common import SPACE, discard, internal, materialize, release
 
 THRESHOLD = 0.8
 PIVOTS = 4
 BUCKETS = 1 << 18
-HASH_BITS = 56
-#: Bits of a line's number for its place in the document; the others are the document's.
+HASH_BITS = 48
+#: Bits of a line's number for its place in the document, and for the document's.
 PLACE_BITS = 27
-MOST_ROWS = 1 << (63 - PLACE_BITS)
+MOST_ROWS = 1 << (62 - PLACE_BITS)
 #: Listed lines of a word's bucket that the first pass looks at together.
 POOL = 65536
 
 
+def split_words(line: Column) -> Column:
+    """The words of a line that has one, in order."""
+    return F.split(F.btrim(line, F.lit("\t\n\x0b\f\r ")), SPACE)
+
+
 def words(line: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(line, SPACE), lambda w: w != ""))
+    return F.array_distinct(split_words(line))
 
 
 def number_rows(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -68,26 +73,22 @@ def lines_of(docs: DataFrame, row: str) -> DataFrame:
 
 def rarity(distinct: DataFrame) -> Column:
     """The quarter-log counts of the word buckets, as a constant array of BUCKETS entries."""
-    hashed = distinct.select(F.explode(words(F.col("line"))).alias("w")).select(_bucket(F.xxhash64("w")).alias("b"))
+    hashed = distinct.select(F.explode(split_words(F.col("line"))).alias("w")).select(_bucket(F.xxhash64("w")).alias("b"))
     counts = hashed.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
     tier = F.least(F.floor(F.log2(F.col("n") + 1) * 4), F.lit(126)).cast("int")
     found = dict(counts.select("b", tier).toLocalIterator())  # BUCKETS entries at most, whatever the table's size
-    return F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<tinyint>")
+    return F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<long>")
 
 
 def _bucket(h: Column) -> Column:
-    return F.pmod(h, F.lit(BUCKETS))
+    return h.bitwiseAND(F.lit(BUCKETS - 1).cast("long"))
 
 
 def keys(line: Column, tiers: Column) -> Column:
     """The line's words as numbers in the order of rarity."""
-
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        tier = F.get(tiers, _bucket(h).cast("int"))
-        return F.shiftleft(tier.cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
-
-    return F.array_sort(F.array_distinct(F.transform(F.filter(F.split(line, SPACE), lambda w: w != ""), key)))
+    low = F.lit((1 << HASH_BITS) - 1)
+    hashes = F.transform(split_words(line), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(F.get(tiers, _bucket(h).cast("int")), HASH_BITS).bitwiseOR(h.bitwiseAND(low)))))
 
 
 def listed(distinct: DataFrame, tiers: Column, threshold: float) -> DataFrame:
@@ -122,7 +123,7 @@ def repeats(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lines = materialize(listed(distinct, rarity(distinct), threshold), "prefixes")
     release(spark)
     rare = lines.select("number", "n", "sketch", F.posexplode(F.slice("prefix", 1, PIVOTS)).alias("at", "key"))
-    pools = F.ceil(F.pow(F.lit(2.0), F.shiftright("key", HASH_BITS) / 4) / POOL).cast("int")
+    pools = F.ceil(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("key", HASH_BITS + 2).cast("int")) / POOL).cast("int")
     pool = Window.partitionBy("key", F.pmod(F.hash("number"), pools)).orderBy("number")
     first = rare.withColumn("p", F.first(F.struct("number", "n", "at", "sketch")).over(pool))
     near = first.filter((F.col("p.number") < F.col("number")) & may_match(F.col("n"), F.col("at"), F.col("sketch"), F.col("p.n"), F.col("p.at"), F.col("p.sketch"), threshold))
@@ -130,17 +131,17 @@ def repeats(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     release(spark)
     done = materialize(verified(pairs, distinct, threshold), "pivot-repeats")
     release(spark)
-    # only open lines are the later one of a pair: the others' limit is below every number
+    # only open lines are the later one of a pair; numbers are packed, since these rows are what is shuffled most
     flagged = lines.join(done.withColumnRenamed("number", "d"), F.col("number") == F.col("d"), "left")
-    limit = F.when(F.col("d").isNull(), F.col("number")).otherwise(F.lit(-1).cast("long"))
-    every = flagged.select("number", limit.alias("limit"), "n", "sketch", F.posexplode("prefix").alias("at", "key"))
-    later, earlier = (every.select(*[F.col(c).alias(f"{x}_{c}") for c in ("number", "limit", "n", "sketch", "at", "key")]) for x in "ab")
-    met = later.join(
-        earlier,
-        (F.col("a_key") == F.col("b_key")) & (F.col("b_number") < F.col("a_limit"))
-        & may_match(F.col("a_n"), F.col("a_at"), F.col("a_sketch"), F.col("b_n"), F.col("b_at"), F.col("b_sketch"), threshold),
-    )
-    rest = materialize(met.select(F.col("a_number").alias("later"), F.col("b_number").alias("earlier")).distinct(), "pairs")
+    code = F.shiftleft("number", 1).bitwiseOR(F.col("d").isNull().cast("long"))
+    every = flagged.select(code.alias("code"), F.shiftleft(F.col("n").cast("long"), 32).alias("n"), "sketch", F.posexplode("prefix").alias("at", "key"))
+    every = every.select("key", "code", F.col("n").bitwiseOR(F.col("at").cast("long")).alias("place"), "sketch")
+    later, earlier = (every.select(*[F.col(c).alias(f"{x}_{c}") for c in every.columns]) for x in "ab")
+    part = lambda x: (F.shiftright(F.col(f"{x}_place"), 32).cast("int"), F.col(f"{x}_place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int"), F.col(f"{x}_sketch"))
+    before = F.shiftright("b_code", 1) < F.when(F.col("a_code").bitwiseAND(F.lit(1)) == 1, F.shiftright("a_code", 1)).otherwise(F.shiftright("b_code", 1))
+    met = later.join(earlier, (F.col("a_key") == F.col("b_key")) & before & may_match(*part("a"), *part("b"), threshold))
+    rest = materialize(met.select(F.shiftright("a_code", 1).alias("later"), F.shiftright("b_code", 1).alias("earlier")).distinct(), "pairs")
+    discard(lines)
     release(spark)
     more = verified(rest, distinct, threshold)
     out = materialize(done.unionAll(more), "repeats")
