@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -55,11 +57,12 @@ def discard(table: DataFrame) -> None:
 
 
 def release(spark: SparkSession) -> None:
-    """Ask the driver's JVM to drop shuffle files of plans that nothing refers to any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Have the driver's JVM drop shuffle files of plans that nothing refers to any more. References
+    end in two steps, Python's and then Java's, and files go a moment after the second."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def text_or_empty(column: str = "text") -> Column:
