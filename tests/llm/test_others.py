@@ -40,6 +40,23 @@ def test_language_odd_rows(spark):
     assert [r.doc_id for r in G.in_known_language(spark.createDataFrame(rows, schema)).collect()] == [1, None, 4, 4]
 
 
+def test_short_texts_stay_in_the_corpus(spark):
+    schema = "doc_id long, text string, lang string"
+    r = random.Random(5)
+    foreign = " ".join("".join(r.choices("bdfgjpwxyz", k=5)) for _ in range(60))
+    short = [(1000, "Avec.", "aa"), (1001, "A.", "bb"), (1002, "A.\nAll rights reserved.", "bb"), (1003, "Zyx", "cc")]
+    rows = made(3, 300) + short + [(1004, foreign, None), (1005, "12 !", None)]
+    langs, protos = G.train(spark.createDataFrame([x for x in rows if zlib.crc32(str(x[0]).encode()) % 4 != 2], schema))
+    assert any(G.classify(t, langs, protos)[1] < G.LEAST_SCORE for _, t, _ in short)
+    got = sorted(r.doc_id for r in G.in_known_language(spark.createDataFrame(rows, schema)).collect())
+    assert got == [*range(300), 1000, 1001, 1002, 1003]
+
+
+def test_without_a_known_language_texts_stay(spark):
+    rows = [(1, "kalo mi", None), (2, "12 !", None), (3, None, None)]
+    assert [r.doc_id for r in G.in_known_language(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()] == [1]
+
+
 def test_trigram_vectors_bind_permuted_letters():
     g, k = G.trigram_vectors(), G.SYMBOLS
     letters = np.random.default_rng(G.SEED).integers(0, 2, (k, G.DIMENSIONS)) * 2 - 1

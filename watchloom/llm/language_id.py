@@ -11,7 +11,9 @@ the trigram table (``SYMBOLS ** 3`` x ``DIMENSIONS`` bytes).
 
 Defined results: null text, or a text without a letter, is ``und`` with score 0; without any labelled
 row every text is ``und``; ties go to the first language by code point; null ids are never held out
-and may teach; repeated rows count as often as they occur; extra columns are ignored.
+and may teach; repeated rows count as often as they occur; extra columns are ignored. The pipeline's stage
+drops texts without a letter and texts that are long enough to judge and like no known language; without
+any labelled row it keeps every text with a letter.
 """
 
 from __future__ import annotations
@@ -122,7 +124,10 @@ def train(rows: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def classify(text: str | None, langs: list[str], protos: np.ndarray) -> tuple[str, float]:
-    got = trigram_counts(text)
+    return _nearest(trigram_counts(text), langs, protos)
+
+
+def _nearest(got: tuple[np.ndarray, np.ndarray] | None, langs: list[str], protos: np.ndarray) -> tuple[str, float]:
     if got is None or not langs:
         return UNKNOWN, 0.0
     v = bundle(*got)
@@ -152,14 +157,36 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(flagged, langs, protos)
 
 
-#: A text whose best cosine is lower is taken to be in no known language.
+#: A text whose best cosine is lower is taken to be in no known language, if it is long enough to judge.
 LEAST_SCORE = 0.1
+#: Trigrams from which a text is long enough: a cosine grows with the root of their number, and with fewer
+#: a clean text's may be below LEAST_SCORE (one of 42 trigrams was; from 100, the least at sf0.1 was 0.45).
+JUDGED = 100
+
+
+def weight(counts: np.ndarray) -> float:
+    """Number of trigrams, repeated ones counting less: equal counts give the number of distinct ones."""
+    c = counts.astype(np.float64)
+    return float(c.sum() ** 2 / (c @ c))
+
+
+def may_be_known(text: str | None, langs: list[str], protos: np.ndarray, least: float = LEAST_SCORE) -> bool:
+    """False for texts without a letter and for those that are in no known language for certain."""
+    got = trigram_counts(text)
+    if got is None:
+        return False
+    return not langs or weight(got[1]) < JUDGED or _nearest(got, langs, protos)[1] >= least
 
 
 def in_known_language(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose language is known."""
+    """The rows of ``docs`` whose language is known, or that are too short to tell."""
     held = internal(docs, "held_out")
     flagged = docs.withColumn(held, held_out(F.col("doc_id")))
     langs, protos = train(flagged.filter(~F.col(held)))
-    names = [internal(docs, "lang_pred"), internal(docs, "score")]
-    return predict(docs, langs, protos, *names).filter((F.col(names[0]) != UNKNOWN) & (F.col(names[1]) >= least)).select(*docs.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.schema.names.index("text")).to_pylist()
+            yield batch.filter(pa.array([may_be_known(t, langs, protos, least) for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
