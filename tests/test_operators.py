@@ -10,6 +10,7 @@ from watchloom.functions.scalar import uuid5
 from watchloom.functions.text import redact, redact_fields
 from watchloom.functions.verdicts import read_answer
 from watchloom.operators import fusion, governance, intervals, rules, tables, tracking, windows
+from watchloom.plans.registry import QUERIES
 
 SUBJECT = "track string, arrival long, event_id string, ts double, zone_types array<string>, objects array<string>, object_near_hand boolean, has_item boolean, camera_health_score double"
 
@@ -164,3 +165,60 @@ def test_published_scores(spark):
 
     got = {r.runtime: r.score for r in QUERIES["econ_bakeoff"](spark, "").collect()}
     assert got == {"tensorrt_llm": 1.0, "nim": 0.9235, "vllm": 0.7623, "llama_cpp": 0.2598, "transformers": 0.25, "ollama": 0.2007}
+
+
+@pytest.fixture(scope="module")
+def late_events(spark, tmp_path_factory):
+    """Events of high ids in a folder of tables: two busy days of few users, then a pause, then more."""
+    r = random.Random(11)
+    at, rows = 1_704_067_200, []
+    for k in range(900):
+        at += r.choice((20, 100, 400)) + (40_000 if k % 300 == 299 else 0)
+        rows.append((2500 + 3 * k, at, r.randrange(40), r.choice(("view", "error", "purchase")), round(r.random() * 300, 2), '{"k": %d}' % r.randrange(100)))
+    df = spark.createDataFrame(rows, "event_id long, at long, user_id long, event_type string, value double, props string")
+    folder = str(tmp_path_factory.mktemp("tables"))
+    df.selectExpr("event_id", "cast(timestamp_seconds(at) as timestamp_ntz) AS ts", "user_id", "event_type", "value", "props").write.parquet(f"{folder}/events.parquet")
+    return folder, rows
+
+
+def plain_tracks(rows):
+    frames, out = {}, {}
+    for i, at, user, _, value, props in rows:
+        k = int(props[6:-1])
+        frames.setdefault(user % 5, {}).setdefault(float(at // 600), []).append((i, "person" if k % 2 == 0 else "bag", [value / 1000, k / 200, 0.3, 0.3]))
+    for camera, by in frames.items():
+        tracker = tracking.Tracker()
+        for t in sorted(by):
+            found = sorted(by[t])
+            out |= {i: (camera, n, label, t) for (i, label, _), n in zip(found, tracker.frame(t, [x[1:] for x in found]), strict=True)}
+    return out
+
+
+def test_tracks_of_all_events(spark, late_events):
+    folder, rows = late_events
+    want = plain_tracks(rows)
+    got = {r.id: (r.camera, r.track) for r in QUERIES["track_greedy"](spark, folder).collect()}
+    assert got == {i: x[:2] for i, x in want.items()} and len(got) == 900
+    tracks = {}
+    for camera, n, label, t in want.values():
+        tracks.setdefault((camera, n, label), []).append(t)
+    summed = {(r.camera, r.track, r.label): (r.first_seen, r.last_seen, r.hits) for r in QUERIES["track_summary"](spark, folder).collect()}
+    assert summed == {k: (min(v), max(v), len(v)) for k, v in tracks.items()} and max(x[2] for x in summed.values()) > 3
+
+
+def test_tracks_go_from_batch_to_batch(spark, late_events):
+    folder, rows = late_events
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r.id: (r.camera, r.track) for r in QUERIES["track_greedy"](spark, folder).collect()}
+        looks = {r.frame: r.detect for r in QUERIES["track_motion_gate"](spark, folder).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert got == {i: x[:2] for i, x in plain_tracks(rows).items()}
+    last, want = {}, {}
+    for i, _, user, _, value, _ in rows:
+        want[i] = user % 20 not in last or abs(value / 500 - last[user % 20]) >= 0.15
+        if want[i]:
+            last[user % 20] = value / 500
+    assert looks == want and len(looks) == 900
