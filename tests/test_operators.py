@@ -222,3 +222,23 @@ def test_tracks_go_from_batch_to_batch(spark, late_events):
         if want[i]:
             last[user % 20] = value / 500
     assert looks == want and len(looks) == 900
+
+
+def test_reports_of_all_events_are_merged(spark, late_events):
+    folder, rows = late_events
+    kept = {}
+    for i, _, user, kind, value, props in rows:
+        text = f"a person {kind}" + (" again" if int(props[6:-1]) > 50 else "")
+        words, mine = set(text.split()), kept.setdefault(user, [])
+        for k in mine:
+            inter, hull = min(value, k[1]) + 60 - max(value, k[1]), max(value, k[1]) + 60 - min(value, k[1])
+            if len(words & set(k[2].split())) / max(len(words), len(k[2].split())) >= 0.5 and max(0, inter) / hull > 0.3:
+                if len(text) > len(k[2]):
+                    k[:3] = [i, value, text]
+                k[3] += 1
+                break
+        else:
+            mine.append([i, value, text, 1])
+    got = {(r.grp, r.place): (r.pos, r.start, r.description, r.merged) for r in QUERIES["fusion_greedy_merge"](spark, folder).collect()}
+    assert got == {(user, n): tuple(k) for user, mine in kept.items() for n, k in enumerate(mine)}
+    assert sum(x[3] for x in got.values()) == 900 and max(x[3] for x in got.values()) > 3

@@ -37,7 +37,8 @@ def fusion_candidate_pairs(t: Tables):
 
 @query("fusion_greedy_merge")
 def fusion_greedy_merge(t: Tables):
-    r = t.events.filter("event_id < 2000").select(F.col("user_id").alias("grp"), F.col("event_id").alias("pos"), F.col("value").alias("start"), (F.col("value") + 60).alias("end"), F.concat_ws(" ", F.lit("a person"), "event_type", F.when(k_of() > 50, "again")).alias("description"))
+    """All events, merged within a user; an hour of a user is too little to merge (one event at sf0.1)."""
+    r = t.events.select(F.col("user_id").alias("grp"), F.col("event_id").alias("pos"), F.col("value").alias("start"), (F.col("value") + 60).alias("end"), F.concat_ws(" ", F.lit("a person"), "event_type", F.when(k_of() > 50, "again")).alias("description"))
     return fusion.merge_reports(r, "grp")
 
 
