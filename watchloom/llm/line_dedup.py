@@ -2,22 +2,27 @@
 
 A line is the set of its words. It goes if an earlier line (by document id, then by place) has a
 Jaccard similarity of ``THRESHOLD`` or more with it, whether that line itself stays or goes. Equal
-lines are one from the start. Of the others, words are ordered by rarity, each line is listed under its
-prefix (the rarest words, of which two similar lines must share one), and lines listed under the same
-word are compared if length, position and a 64-bit parity sketch of the sets (the bits in which two
-sketches differ are at most the words in which the sets do) allow the similarity; the sets of those
-that remain are compared in full.
-
-One earlier line is enough, so a first pass compares each line only with the earliest line under each
-of its ``PIVOTS`` rarest words; only lines that found none take the later part in the full join. Groups
-of near copies thus cost about their size, and the second pass loses nothing.
-
-Rarity is that of a word's bucket among ``BUCKETS``, counted over all distinct lines: any fixed order
-is exact, and the table of buckets has a fixed size, whatever the vocabulary's. Everything is DataFrame expressions.
-
-Defined results: null texts stay null; blank lines and empty texts stay as they are; ids that are null
-(last) or repeated are told apart by the order of the table as written; a text is rejoined by line
-feeds; extra columns pass through untouched.
+lines are one from the start. Of the others, words are ordered by rarity. Of a similar pair, the longer
+line shares a word of its probe prefix (its rarest words, as many as a similar line of any length may
+lack, and one) with the index prefix of the shorter one, which need only allow for lines no shorter than
+itself. Lines that meet under a word are compared if length, position and a parity sketch of the sets
+(the bits in which two sketches differ are at most the words in which the sets do) allow the similarity;
+the words of those that remain are compared in full. Lines of ``LONG`` words and more have a wider sketch,
+since 128 bits say nothing about sets that may differ in more than 60 words.
+
+One earlier line is enough, so a first pass compares each line only with the first line and the one
+before it under each of its ``PIVOTS`` rarest words; only lines that found none take the later part in
+the full join. Groups of near copies thus cost about their size, and the second pass loses nothing. A
+word under which more than ``POOL`` lines are listed (its rarity tells) is dealt over a grid of cells, so
+that no word's lines meet in one task.
+
+Rarity is that of a word's bucket among ``BUCKETS``, counted over all lines: any fixed order is exact, and
+the table of buckets has a fixed size, whatever the vocabulary's. Everything is DataFrame expressions.
+
+Defined results: null texts stay null; blank lines and empty texts stay as they are; a very long line or
+text is one set or one row like any other; ids that are null (last) or repeated are told apart by the
+order of the table as written; a text is rejoined by line feeds; an empty table gives an empty table;
+extra columns pass through untouched, also those named like a column that is used on the way.
 """
 
 from __future__ import annotations
@@ -25,22 +30,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchloom.llm.common import SPACE, discard, internal, materialize, release
+from watchloom.llm.common import discard, internal, materialize
 
 THRESHOLD = 0.8
-PIVOTS = 4
+PIVOTS = 2
 BUCKETS = 1 << 18
-HASH_BITS = 48
+#: Bits of a word's hash under its rarity in a key.
+HASH_BITS = 56
 #: Bits of a line's number for its place in the document, and for the document's.
 PLACE_BITS = 27
 MOST_ROWS = 1 << (62 - PLACE_BITS)
-#: Listed lines of a word's bucket that the first pass looks at together.
+#: Lines under one word that the join looks at together.
 POOL = 65536
+#: Words from which a line has a sketch of ``WIDE`` times 64 bits besides the narrow one.
+LONG = 200
+WIDE = 8
 
 
 def split_words(line: Column) -> Column:
-    """The words of a line that has one, in order."""
-    return F.split(F.btrim(line, F.lit("\t\n\x0b\f\r ")), SPACE)
+    """The words of a line, in order. Splitting at one fixed character is several times faster than at a
+    pattern."""
+    even = F.when(line.rlike(r"[\t\n\x0b\f\r]"), F.translate(line, "\t\n\x0b\f\r", "     ")).otherwise(line)
+    return F.array_remove(F.split(even, " "), "")
 
 
 def words(line: Column) -> Column:
@@ -67,86 +78,141 @@ def number_rows(docs: DataFrame) -> tuple[DataFrame, str]:
 
 def lines_of(docs: DataFrame, row: str) -> DataFrame:
     """(row, place, line) of every line with a word."""
-    exploded = docs.select(F.col(row).alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("place", "line"))
-    return exploded.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    # outer, and the null line left out after: Spark would filter on the size of an inner explode's
+    # array below it, and split the text several times for that
+    split = docs.select(F.col(row).alias("row"), F.split("text", "\n", -1).alias("ls"))
+    return split.select("row", F.posexplode_outer("ls").alias("place", "line")).filter(has_word(F.col("line")))
 
 
-def rarity(distinct: DataFrame) -> Column:
-    """The quarter-log counts of the word buckets, as a constant array of BUCKETS entries."""
-    hashed = distinct.select(F.explode(split_words(F.col("line"))).alias("w")).select(_bucket(F.xxhash64("w")).alias("b"))
-    counts = hashed.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    tier = F.least(F.floor(F.log2(F.col("n") + 1) * 4), F.lit(126)).cast("int")
-    found = dict(counts.select("b", tier).toLocalIterator())  # BUCKETS entries at most, whatever the table's size
-    return F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<long>")
+def has_word(line: Column) -> Column:
+    return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def _bucket(h: Column) -> Column:
-    return h.bitwiseAND(F.lit(BUCKETS - 1).cast("long"))
+def rarity(lines: DataFrame) -> Column:
+    """The quarter-log counts of the word buckets, in the high bits of longs, as a constant array of
+    BUCKETS entries."""
+    each = lines.select(split_words(F.col("line")).alias("ws")).select(F.explode_outer("ws").alias("w"))
+    counts = each.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    tier = F.coalesce(F.least(F.floor(F.log2(F.col("n") + 1) * 4), F.lit(126)), F.lit(0))
+    every = lines.sparkSession.range(BUCKETS).join(counts, F.col("id") == F.col("b"), "left").select(F.struct("id", tier.alias("tier")).alias("e"))
+    text = every.agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: F.shiftleft(e.tier.cast("long"), HASH_BITS).cast("string")), ",")).first()[0]  # a fixed size
+    return F.split(F.lit(text), ",").cast("array<long>")
+
+
+def _bucket(word: Column) -> Column:
+    return F.hash(word).bitwiseAND(F.lit(BUCKETS - 1))
 
 
 def keys(line: Column, tiers: Column) -> Column:
-    """The line's words as numbers in the order of rarity."""
+    """The line's distinct words as numbers in the order of rarity. Words of one number, should there
+    be any, keep their places, so that counts and prefixes are right all the same."""
     low = F.lit((1 << HASH_BITS) - 1)
-    hashes = F.transform(split_words(line), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: F.shiftleft(F.get(tiers, _bucket(h).cast("int")), HASH_BITS).bitwiseOR(h.bitwiseAND(low)))))
+    return F.sort_array(F.transform(words(line), lambda w: F.get(tiers, _bucket(w)).bitwiseOR(F.xxhash64(w).bitwiseAND(low))))
+
+
+def _probe(n: Column, threshold: float) -> Column:
+    """Length of the prefix that meets similar lines of any length."""
+    return n - F.ceil(n * threshold - 1e-9).cast("int") + 1
+
+
+def _index(n: Column, threshold: float) -> Column:
+    """Length of the prefix that meets similar lines no shorter than this one."""
+    return n - F.ceil(n * (2 * threshold / (1 + threshold)) - 1e-9).cast("int") + 1
+
+
+def _parity(k: Column, bits: Column | None = None) -> Column:
+    """The parities of the numbers' bits; of those numbers only whose next three bits are ``bits``."""
+    one = lambda x: F.lit(1).cast("long") if bits is None else (F.shiftright(x, 6).bitwiseAND(F.lit(7).cast("long")) == bits).cast("long")
+    return F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one(x), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
 
 
 def listed(distinct: DataFrame, tiers: Column, threshold: float) -> DataFrame:
-    """(number, n, sketch, prefix) of each distinct line."""
-    ordered = distinct.select("number", keys(F.col("line"), tiers).alias("k"))
+    """Each distinct line (number, line, ...) with n, the sketches s, t and wide, and prefix."""
+    ordered = distinct.withColumn("k", keys(F.col("line"), tiers))
     n = F.size("k")
-    sketch = F.aggregate("k", F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), (k % 64).cast("int"))))
-    return ordered.select("number", n.alias("n"), sketch.alias("sketch"), F.slice("k", F.lit(1), n - F.ceil(n * threshold - 1e-9).cast("int") + 1).alias("prefix"))
+    odd = F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(F.lit(1).cast("long")), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
+    wide = F.when(n >= LONG, F.array(*[_parity(F.col("k"), F.lit(j)) for j in range(WIDE)]))
+    made = ordered.select(*distinct.columns, n.alias("n"), _parity(F.col("k")).alias("s"), odd.alias("t"), wide.alias("wide"), F.slice("k", F.lit(1), _probe(n, threshold)).alias("prefix"))
+    return made.withColumn("s", F.col("s").bitwiseXOR(F.col("t")))
+
 
+SKETCH = ("s", "t", "wide")
 
-def may_match(n: Column, at: Column, s: Column, m: Column, other: Column, z: Column, threshold: float) -> Column:
-    """Whether lines of ``n`` and ``m`` words that share a word at places ``at`` and ``other`` can be similar."""
+
+def may_match(x: dict[str, Column], y: dict[str, Column], threshold: float) -> Column:
+    """Whether lines (their n, at, sketch and wide) that share the words at their places can be similar."""
+    n, m = x["n"], y["n"]
     need = F.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
     length = F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9
-    position = F.least(n - at, m - other) >= need
-    return length & position & (n + m - F.bit_count(s.bitwiseXOR(z)) >= 2 * need)
+    position = F.least(n - x["at"], m - y["at"]) >= need
+    differ = lambda a, b: F.bit_count(a.bitwiseXOR(b))
+    narrow = differ(x["s"], y["s"]) + differ(x["t"], y["t"]) <= n + m - 2 * need
+    apart = sum((differ(F.get(x["wide"], j), F.get(y["wide"], j)) for j in range(1, WIDE)), differ(F.get(x["wide"], 0), F.get(y["wide"], 0)))
+    return length & position & narrow & F.coalesce(apart <= n + m - 2 * need, F.lit(True))
 
 
-def verified(pairs: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
+def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """The later lines (number) of ``pairs`` (later, earlier) that are similar."""
-    text = distinct.select("number", "line")
-    one = pairs.join(text.withColumnsRenamed({"number": "a", "line": "later_line"}), F.col("later") == F.col("a"))
-    two = one.join(text.withColumnsRenamed({"number": "b", "line": "earlier_line"}), F.col("earlier") == F.col("b"))
-    sets = two.select("later", words(F.col("later_line")).alias("x"), words(F.col("earlier_line")).alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return sets.filter(both >= threshold * (F.size("x") + F.size("y") - both) - 1e-9).select(F.col("later").alias("number")).distinct()
-
-
-def repeats(distinct: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The numbers of ``distinct``'s lines (number, line) to which an earlier line is similar."""
-    spark = distinct.sparkSession
-    lines = materialize(listed(distinct, rarity(distinct), threshold), "prefixes")
-    release(spark)
-    rare = lines.select("number", "n", "sketch", F.posexplode(F.slice("prefix", 1, PIVOTS)).alias("at", "key"))
-    pools = F.ceil(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright("key", HASH_BITS + 2).cast("int")) / POOL).cast("int")
-    pool = Window.partitionBy("key", F.pmod(F.hash("number"), pools)).orderBy("number")
-    first = rare.withColumn("p", F.first(F.struct("number", "n", "at", "sketch")).over(pool))
-    near = first.filter((F.col("p.number") < F.col("number")) & may_match(F.col("n"), F.col("at"), F.col("sketch"), F.col("p.n"), F.col("p.at"), F.col("p.sketch"), threshold))
-    pairs = materialize(near.select(F.col("number").alias("later"), F.col("p.number").alias("earlier")).distinct(), "pivot-pairs")
-    release(spark)
-    done = materialize(verified(pairs, distinct, threshold), "pivot-repeats")
-    release(spark)
-    # only open lines are the later one of a pair; numbers are packed, since these rows are what is shuffled most
-    flagged = lines.join(done.withColumnRenamed("number", "d"), F.col("number") == F.col("d"), "left")
-    code = F.shiftleft("number", 1).bitwiseOR(F.col("d").isNull().cast("long"))
-    every = flagged.select(code.alias("code"), F.shiftleft(F.col("n").cast("long"), 32).alias("n"), "sketch", F.posexplode("prefix").alias("at", "key"))
-    every = every.select("key", "code", F.col("n").bitwiseOR(F.col("at").cast("long")).alias("place"), "sketch")
-    later, earlier = (every.select(*[F.col(c).alias(f"{x}_{c}") for c in every.columns]) for x in "ab")
-    part = lambda x: (F.shiftright(F.col(f"{x}_place"), 32).cast("int"), F.col(f"{x}_place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int"), F.col(f"{x}_sketch"))
-    before = F.shiftright("b_code", 1) < F.when(F.col("a_code").bitwiseAND(F.lit(1)) == 1, F.shiftright("a_code", 1)).otherwise(F.shiftright("b_code", 1))
-    met = later.join(earlier, (F.col("a_key") == F.col("b_key")) & before & may_match(*part("a"), *part("b"), threshold))
-    rest = materialize(met.select(F.shiftright("a_code", 1).alias("later"), F.shiftright("b_code", 1).alias("earlier")).distinct(), "pairs")
-    discard(lines)
-    release(spark)
-    more = verified(rest, distinct, threshold)
-    out = materialize(done.unionAll(more), "repeats")
-    release(spark)
-    return out
+    text = lines.select("number", "line")
+    one = pairs.join(text.withColumnsRenamed({"number": "b", "line": "earlier_line"}), F.col("earlier") == F.col("b")).select("later", "earlier_line")
+    two = one.join(text.withColumnsRenamed({"number": "a", "line": "later_line"}), F.col("later") == F.col("a"))
+    # bound as the elements of one-element arrays, so that words are split and intersected once a pair
+    sets = F.array(F.struct(words(F.col("later_line")).alias("x"), words(F.col("earlier_line")).alias("y")))
+    sizes = lambda s: F.array(F.struct(F.size(F.array_intersect(s.x, s.y)).alias("both"), (F.size(s.x) + F.size(s.y)).alias("all")))
+    similar = F.exists(sets, lambda s: F.exists(sizes(s), lambda z: z.both >= threshold * (z["all"] - z.both) - 1e-9))
+    return two.filter(similar).select(F.col("later").alias("number")).distinct()
+
+
+def _pools(key: Column) -> Column:
+    """How many groups of about POOL the lines under a word are dealt to, by the word's rarity."""
+    return F.ceil(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(key, HASH_BITS + 2).cast("int")) / POOL).cast("int")
+
+
+def first_matches(lines: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (later, earlier) of lines that may be similar: each line with the first one and the one
+    before it under each of its rarest words."""
+    rare = lines.select("number", "n", *SKETCH, F.posexplode(F.slice("prefix", 1, PIVOTS)).alias("at", "key"))
+    pool = Window.partitionBy("key", F.pmod(F.hash("number"), _pools(F.col("key")))).orderBy("number")
+    line = F.struct("number", "n", "at", *SKETCH)
+    met = rare.withColumns({"p": F.first(line).over(pool), "q": F.lag(line).over(pool)})
+    own = {c: F.col(c) for c in ("n", "at", *SKETCH)}
+    near = lambda p: F.when((F.col(f"{p}.number") < F.col("number")) & may_match(own, {c: F.col(f"{p}.{c}") for c in own}, threshold), F.col(f"{p}.number"))
+    found = met.select(F.col("number").alias("later"), near("p").alias("p"), near("q").alias("q")).filter(F.col("p").isNotNull() | F.col("q").isNotNull())
+    return found.select("later", F.explode(F.array_compact(F.array("p", "q"))).alias("earlier")).distinct()
+
+
+def all_matches(lines: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (later, earlier) of lines that may be similar, of which the later one is ``open``."""
+    # numbers are packed, since these rows are what is shuffled most
+    code = F.shiftleft("number", 1).bitwiseOR(F.col("open").cast("long"))
+    each = lines.select(code.alias("code"), "n", *SKETCH, F.posexplode("prefix").alias("at", "key"))
+    each = each.withColumns({"pools": _pools(F.col("key")), "place": F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))})
+
+    def side(rows: DataFrame, name: str, cell: Column) -> DataFrame:
+        every = F.when(F.col("pools") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("pools") - 1))
+        dealt = rows.withColumn("pool", F.pmod(F.hash("code"), F.col("pools"))).withColumn("other", F.explode(every)).withColumn("cell", cell)
+        return dealt.select(*[F.col(c).alias(f"{name}_{c}") for c in ("key", "cell", "code", "place", *SKETCH)])
+
+    longer = side(each, "a", F.col("pool") * F.col("pools") + F.col("other"))
+    shorter = side(each.filter(F.col("at") < _index(F.col("n"), threshold)), "b", F.col("other") * F.col("pools") + F.col("pool"))
+    own = lambda x: {"n": F.shiftright(f"{x}_place", 32).cast("int"), "at": F.col(f"{x}_place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int"), **{c: F.col(f"{x}_{c}") for c in SKETCH}}
+    a, b = own("a"), own("b")
+    later, earlier = F.greatest("a_code", "b_code"), F.least("a_code", "b_code")
+    ordered = (b["n"] < a["n"]) | ((b["n"] == a["n"]) & (F.col("b_code") < F.col("a_code")))
+    met = longer.join(shorter, (F.col("a_key") == F.col("b_key")) & (F.col("a_cell") == F.col("b_cell")) & ordered & (later.bitwiseAND(F.lit(1)) == 1) & may_match(a, b, threshold))
+    return met.select(F.shiftright(later, 1).alias("later"), F.shiftright(earlier, 1).alias("earlier")).distinct()
+
+
+def repeats(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The numbers of the lines of a written table (see ``listed``) to which an earlier line is similar."""
+    pairs = materialize(first_matches(lines, threshold), "first-pairs")
+    done = materialize(verified(pairs, lines, threshold), "first-repeats")
+    flagged = lines.join(done.withColumnRenamed("number", "d"), F.col("number") == F.col("d"), "left").withColumn("open", F.col("d").isNull())
+    rest = materialize(all_matches(flagged, threshold), "pairs")
+    more = materialize(verified(rest, lines, threshold), "more-repeats")
+    discard(pairs)
+    discard(rest)
+    return done.unionAll(more)
 
 
 def _marks(line: Column) -> list[Column]:
@@ -160,22 +226,25 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
     gone, count = internal(docs, "removed"), internal(docs, "lines")
     number = F.shiftleft(F.col("row"), PLACE_BITS) + F.col("place")
     found = lines_of(docs, row)
-    distinct = materialize(found.groupBy("line").agg(F.min(number).alias("number")), "lines")
-    release(docs.sparkSession)
-    again = repeats(distinct, threshold)
-    state = distinct.select("number", *_marks(F.col("line"))).join(again.withColumnRenamed("number", "r"), F.col("number") == F.col("r"), "left")
+    distinct = found.groupBy("line").agg(F.min(number).alias("number"), F.count(F.lit(1)).alias("times"))
+    lines = materialize(listed(distinct, rarity(found), threshold), "lines")
+    again = repeats(lines, threshold).withColumnRenamed("number", "r")
+    # what becomes of the lines that occur more than once or go: all others stay
+    state = lines.select("number", "times", *_marks(F.col("line"))).join(again, F.col("number") == F.col("r"), "left").filter((F.col("times") > 1) | F.col("r").isNotNull())
     state = materialize(state.select(F.col("h").alias("sh"), F.col("g").alias("sg"), F.when(F.col("r").isNull(), F.col("number")).alias("stays")), "line-state")
-    release(docs.sparkSession)
+    discard(lines)
     seen = found.select("row", "place", number.alias("number"), *_marks(F.col("line")))
     lost = seen.join(state, (F.col("h") == F.col("sh")) & (F.col("g") == F.col("sg"))).filter(F.col("stays").isNull() | (F.col("stays") != F.col("number")))
-    places = materialize(lost.groupBy("row").agg(F.sort_array(F.collect_list("place")).alias(gone)).withColumnRenamed("row", gone + "r"), "lost-lines")
-    release(docs.sparkSession)
+    places = materialize(lost.groupBy("row").agg(F.collect_list("place").alias(gone)).withColumnRenamed("row", gone + "r"), "lost-lines")
+    discard(state)
     joined = docs.join(places, F.col(row) == F.col(gone + "r"), "left")
     all_ = F.split("text", "\n", -1)
-    kept = F.filter(F.transform(all_, lambda x, i: F.when(~F.array_contains(gone, i), x)), lambda x: x.isNotNull())
+    # the lines are bound as the element of an array, so that the text is split once, not once a line
+    stay = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(gone))
+    kept = F.get(F.transform(F.array(all_), lambda ls: F.array_join(F.transform(stay(ls), lambda i: F.get(ls, i)), "\n")), 0)
     return joined.select(
-        *[F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text") if c.lower() == "text" else F.col(c) for c in docs.columns if c != row],
-        gone, F.coalesce(F.size(F.filter(all_, lambda x: x.rlike(r"[^\x20\x09-\x0D]"))), F.lit(0)).alias(count)), gone, count
+        *[F.when(F.col(gone).isNull(), F.col("text")).otherwise(kept).alias("text") if c.lower() == "text" else F.col(c) for c in docs.columns if c != row],
+        gone, F.coalesce(F.size(F.filter(all_, has_word)), F.lit(0)).alias(count)), gone, count
 
 
 def without_repeated_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
