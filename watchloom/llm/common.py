@@ -42,17 +42,21 @@ def shared_path(spark: SparkSession, label: str) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and an executor that
-    is lost later takes nothing with it. The shuffle files of the write go when it ends."""
+def materialize(df: DataFrame, label: str, settings: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df``, under ``settings`` of the session, to the shared folder and read it back: lineage ends
+    here, and an executor that is lost later takes nothing with it. The shuffle files of the write go when it
+    ends."""
     spark = df.sparkSession
     path = shared_path(spark, label)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    settings = {CLEANUP: "true"} | (settings or {})
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     table = spark.read.schema(df.schema).parquet(path)
     table.written_to = path
     return table

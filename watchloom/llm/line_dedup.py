@@ -7,17 +7,18 @@ line shares a word of its probe prefix (its rarest words, as many as a similar l
 lack, and one) with the index prefix of the shorter one, which need only allow for lines no shorter than
 itself. Lines that meet under a word are compared if length, position and a parity sketch of the sets
 (the bits in which two sketches differ are at most the words in which the sets do) allow the similarity;
-the words of those that remain are compared in full. Lines of ``LONG`` words and more have a wider sketch,
-since 128 bits say nothing about sets that may differ in more than 60 words.
+the words of those that remain are compared in full. The sketch has 64 bits, from ``LONG`` words on 128 and
+from ``LONGER`` on 512: a sketch says nothing about sets that may differ in half as many words as it has bits.
 
-One earlier line is enough, so a first pass compares each line only with the first line and the one
-before it under each of its ``PIVOTS`` rarest words; only lines that found none take the later part in
-the full join. Groups of near copies thus cost about their size, and the second pass loses nothing. A
-word under which more than ``POOL`` lines are listed (its rarity tells) is dealt over a grid of cells, so
-that no word's lines meet in one task.
+One earlier line is enough, so a first pass compares each line only with the first line under each of
+its ``PIVOTS`` rarest words; only lines that found none take the later part in the full join. Groups of near copies thus cost about their size, and the second pass loses nothing. A
+word under which more than ``POOL`` lines are listed (its rarity tells) is dealt to pools, and each pair of
+pools meets by itself, so that no word's lines meet in one task.
 
-Rarity is that of a word's bucket among ``BUCKETS``, counted over all lines: any fixed order is exact, and
-the table of buckets has a fixed size, whatever the vocabulary's. Everything is DataFrame expressions.
+Rarity is that of a word's bucket among ``BUCKETS``, counted over all texts: any fixed order is exact, and
+the table of buckets has a fixed size, whatever the vocabulary's. Words are told apart by 64-bit hashes in the
+filters (56 bits, and the rarity that another hash gives), and letter by letter in the comparison. Everything
+is DataFrame expressions.
 
 Defined results: null texts stay null; blank lines and empty texts stay as they are; a very long line or
 text is one set or one row like any other; ids that are null (last) or repeated are told apart by the
@@ -27,6 +28,8 @@ extra columns pass through untouched, also those named like a column that is use
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,9 +45,15 @@ PLACE_BITS = 27
 MOST_ROWS = 1 << (62 - PLACE_BITS)
 #: Lines under one word that the join looks at together.
 POOL = 65536
-#: Words from which a line has a sketch of ``WIDE`` times 64 bits besides the narrow one.
-LONG = 200
+#: Words from which a line has the second part of its sketch, and the third of ``WIDE`` times 64 bits.
+LONG = 100
+LONGER = 200
 WIDE = 8
+SKETCH = ("s", "t", "wide")
+
+
+#: Has Spark filter scans of any size by the other side of a join.
+BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t"}
 
 
 def split_words(line: Column) -> Column:
@@ -88,13 +97,13 @@ def has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
-def rarity(lines: DataFrame) -> Column:
+def rarity(docs: DataFrame) -> Column:
     """The quarter-log counts of the word buckets, in the high bits of longs, as a constant array of
     BUCKETS entries."""
-    each = lines.select(split_words(F.col("line")).alias("ws")).select(F.explode_outer("ws").alias("w"))
+    each = docs.select(split_words(F.replace("text", F.lit("\n"), F.lit(" "))).alias("ws")).select(F.explode_outer("ws").alias("w"))
     counts = each.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     tier = F.coalesce(F.least(F.floor(F.log2(F.col("n") + 1) * 4), F.lit(126)), F.lit(0))
-    every = lines.sparkSession.range(BUCKETS).join(counts, F.col("id") == F.col("b"), "left").select(F.struct("id", tier.alias("tier")).alias("e"))
+    every = docs.sparkSession.range(BUCKETS).join(counts, F.col("id") == F.col("b"), "left").select(F.struct("id", tier.alias("tier")).alias("e"))
     text = every.agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: F.shiftleft(e.tier.cast("long"), HASH_BITS).cast("string")), ",")).first()[0]  # a fixed size
     return F.split(F.lit(text), ",").cast("array<long>")
 
@@ -104,10 +113,10 @@ def _bucket(word: Column) -> Column:
 
 
 def keys(line: Column, tiers: Column) -> Column:
-    """The line's distinct words as numbers in the order of rarity. Words of one number, should there
-    be any, keep their places, so that counts and prefixes are right all the same."""
+    """The line's distinct words as numbers in the order of rarity."""
     low = F.lit((1 << HASH_BITS) - 1)
-    return F.sort_array(F.transform(words(line), lambda w: F.get(tiers, _bucket(w)).bitwiseOR(F.xxhash64(w).bitwiseAND(low))))
+    tier = lambda w: F.coalesce(F.get(tiers, _bucket(w)), F.lit(0).cast("long"))  # noqa: E731  never null, which makes sorting faster
+    return F.sort_array(F.array_distinct(F.transform(split_words(line), lambda w: tier(w).bitwiseOR(F.xxhash64(w).bitwiseAND(low)))))
 
 
 def _probe(n: Column, threshold: float) -> Column:
@@ -115,28 +124,20 @@ def _probe(n: Column, threshold: float) -> Column:
     return n - F.ceil(n * threshold - 1e-9).cast("int") + 1
 
 
-def _index(n: Column, threshold: float) -> Column:
-    """Length of the prefix that meets similar lines no shorter than this one."""
-    return n - F.ceil(n * (2 * threshold / (1 + threshold)) - 1e-9).cast("int") + 1
-
-
-def _parity(k: Column, bits: Column | None = None) -> Column:
-    """The parities of the numbers' bits; of those numbers only whose next three bits are ``bits``."""
-    one = lambda x: F.lit(1).cast("long") if bits is None else (F.shiftright(x, 6).bitwiseAND(F.lit(7).cast("long")) == bits).cast("long")
+def _parity(k: Column, one: Callable[[Column], Column]) -> Column:
+    """The parities of the numbers' low six bits, of those numbers for which ``one`` is 1."""
     return F.aggregate(k, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one(x), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
 
 
 def listed(distinct: DataFrame, tiers: Column, threshold: float) -> DataFrame:
-    """Each distinct line (number, line, ...) with n, the sketches s, t and wide, and prefix."""
+    """Each distinct line (number, line, ...) with n, its sketch (s, t and wide), prefix, and the most pools
+    of a word of the prefix, which are those of the last one."""
     ordered = distinct.withColumn("k", keys(F.col("line"), tiers))
-    n = F.size("k")
-    odd = F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(x, 6).bitwiseAND(F.lit(1).cast("long")), x.bitwiseAND(F.lit(63).cast("long")).cast("int"))))
-    wide = F.when(n >= LONG, F.array(*[_parity(F.col("k"), F.lit(j)) for j in range(WIDE)]))
-    made = ordered.select(*distinct.columns, n.alias("n"), _parity(F.col("k")).alias("s"), odd.alias("t"), wide.alias("wide"), F.slice("k", F.lit(1), _probe(n, threshold)).alias("prefix"))
-    return made.withColumn("s", F.col("s").bitwiseXOR(F.col("t")))
-
-
-SKETCH = ("s", "t", "wide")
+    n, bits = F.size("k"), lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(WIDE - 1).cast("long"))
+    half = F.when(n >= LONG, _parity(F.col("k"), lambda x: F.shiftright(x, 6).bitwiseAND(F.lit(1).cast("long")))).otherwise(F.lit(0).cast("long"))
+    wide = F.when(n >= LONGER, F.array(*[_parity(F.col("k"), lambda x, j=j: (bits(x) == j).cast("long")) for j in range(WIDE)]))
+    made = ordered.select(*distinct.columns, n.alias("n"), _parity(F.col("k"), lambda x: F.lit(1).cast("long")).alias("s"), half.alias("t"), wide.alias("wide"), F.slice("k", F.lit(1), _probe(n, threshold)).alias("prefix"))
+    return made.withColumns({"s": F.col("s").bitwiseXOR(F.col("t")), "pools": _pools(F.element_at("prefix", -1))})
 
 
 def may_match(x: dict[str, Column], y: dict[str, Column], threshold: float) -> Column:
@@ -146,16 +147,21 @@ def may_match(x: dict[str, Column], y: dict[str, Column], threshold: float) -> C
     length = F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9
     position = F.least(n - x["at"], m - y["at"]) >= need
     differ = lambda a, b: F.bit_count(a.bitwiseXOR(b))
-    narrow = differ(x["s"], y["s"]) + differ(x["t"], y["t"]) <= n + m - 2 * need
+    parts = F.when(F.least(n, m) >= LONG, differ(x["s"], y["s"]) + differ(x["t"], y["t"])).otherwise(differ(x["s"].bitwiseXOR(x["t"]), y["s"].bitwiseXOR(y["t"])))
+    narrow = parts <= n + m - 2 * need
     apart = sum((differ(F.get(x["wide"], j), F.get(y["wide"], j)) for j in range(1, WIDE)), differ(F.get(x["wide"], 0), F.get(y["wide"], 0)))
     return length & position & narrow & F.coalesce(apart <= n + m - 2 * need, F.lit(True))
 
 
 def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """The later lines (number) of ``pairs`` (later, earlier) that are similar."""
+    """The later lines (number) of a written table of ``pairs`` (later, earlier) that are similar. Few lines
+    are in a pair: Spark may build a Bloom filter of a bounded size for them, by which the scan leaves out others."""
     text = lines.select("number", "line")
-    one = pairs.join(text.withColumnsRenamed({"number": "b", "line": "earlier_line"}), F.col("earlier") == F.col("b")).select("later", "earlier_line")
-    two = one.join(text.withColumnsRenamed({"number": "a", "line": "later_line"}), F.col("later") == F.col("a"))
+    told = pairs.filter("earlier >= 0 AND later >= 0")  # of all numbers; Spark builds no filter from a side without a condition
+    ends = told.select(F.explode(F.array("later", "earlier")).alias("end")).distinct()
+    few = text.join(ends, F.col("number") == F.col("end"), "left_semi")
+    one = told.join(few.withColumnsRenamed({"number": "b", "line": "earlier_line"}), F.col("earlier") == F.col("b")).select("later", "earlier_line")
+    two = one.join(few.withColumnsRenamed({"number": "a", "line": "later_line"}), F.col("later") == F.col("a"))
     # bound as the elements of one-element arrays, so that words are split and intersected once a pair
     sets = F.array(F.struct(words(F.col("later_line")).alias("x"), words(F.col("earlier_line")).alias("y")))
     sizes = lambda s: F.array(F.struct(F.size(F.array_intersect(s.x, s.y)).alias("both"), (F.size(s.x) + F.size(s.y)).alias("all")))
@@ -169,47 +175,46 @@ def _pools(key: Column) -> Column:
 
 
 def first_matches(lines: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (later, earlier) of lines that may be similar: each line with the first one and the one
-    before it under each of its rarest words."""
-    rare = lines.select("number", "n", *SKETCH, F.posexplode(F.slice("prefix", 1, PIVOTS)).alias("at", "key"))
-    pool = Window.partitionBy("key", F.pmod(F.hash("number"), _pools(F.col("key")))).orderBy("number")
-    line = F.struct("number", "n", "at", *SKETCH)
-    met = rare.withColumns({"p": F.first(line).over(pool), "q": F.lag(line).over(pool)})
-    own = {c: F.col(c) for c in ("n", "at", *SKETCH)}
-    near = lambda p: F.when((F.col(f"{p}.number") < F.col("number")) & may_match(own, {c: F.col(f"{p}.{c}") for c in own}, threshold), F.col(f"{p}.number"))
-    found = met.select(F.col("number").alias("later"), near("p").alias("p"), near("q").alias("q")).filter(F.col("p").isNotNull() | F.col("q").isNotNull())
-    return found.select("later", F.explode(F.array_compact(F.array("p", "q"))).alias("earlier")).distinct()
+    """Pairs (later, earlier) of lines that may be similar: each line with the first one under each of its
+    rarest words."""
+    own = ("n", "at", "s", "t")
+    rare = lines.select("number", "n", "s", "t", F.slice("prefix", 1, PIVOTS).alias("ks")).select("number", "n", "s", "t", F.posexplode_outer("ks").alias("at", "key"))
+    pool = Window.partitionBy("key", F.pmod(F.hash("number"), _pools(F.col("key")))).orderBy("number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = rare.withColumn("p", F.first(F.struct("number", *own)).over(pool)).filter(F.col("p.number") < F.col("number"))
+    none = {"wide": F.lit(None).cast("array<long>")}
+    found = met.filter(may_match({c: F.col(c) for c in own} | none, {c: F.col(f"p.{c}") for c in own} | none, threshold))
+    return found.select(F.col("number").alias("later"), F.col("p.number").alias("earlier")).distinct()
 
 
 def all_matches(lines: DataFrame, threshold: float) -> DataFrame:
     """Pairs (later, earlier) of lines that may be similar, of which the later one is ``open``."""
-    # numbers are packed, since these rows are what is shuffled most
+    # numbers are packed, since these rows are what is shuffled most; both sides of the join are one shuffle
     code = F.shiftleft("number", 1).bitwiseOR(F.col("open").cast("long"))
-    each = lines.select(code.alias("code"), "n", *SKETCH, F.posexplode("prefix").alias("at", "key"))
-    each = each.withColumns({"pools": _pools(F.col("key")), "place": F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long"))})
-
-    def side(rows: DataFrame, name: str, cell: Column) -> DataFrame:
-        every = F.when(F.col("pools") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("pools") - 1))
-        dealt = rows.withColumn("pool", F.pmod(F.hash("code"), F.col("pools"))).withColumn("other", F.explode(every)).withColumn("cell", cell)
-        return dealt.select(*[F.col(c).alias(f"{name}_{c}") for c in ("key", "cell", "code", "place", *SKETCH)])
-
-    longer = side(each, "a", F.col("pool") * F.col("pools") + F.col("other"))
-    shorter = side(each.filter(F.col("at") < _index(F.col("n"), threshold)), "b", F.col("other") * F.col("pools") + F.col("pool"))
+    each = lines.select(code.alias("code"), "n", "pools", *SKETCH, F.posexplode_outer("prefix").alias("at", "key"))
+    place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("place")
+    plain = each.filter("pools = 1").select("key", "code", place, *SKETCH)
+    # lines with a word of several pools, which the parquet files' statistics mostly rule out
+    dealt = each.filter("pools > 1").withColumn("pools", _pools(F.col("key"))).withColumn("pool", F.pmod(F.hash("code"), F.col("pools")))
+    dealt = dealt.withColumn("others", F.sequence(F.lit(0), F.col("pools") - 1)).withColumn("other", F.explode_outer("others"))
+    meet = F.when(F.col("pools") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("pool", "other"), F.greatest("pool", "other")))
+    rows = plain.unionAll(dealt.select(meet.alias("key"), "code", place, *SKETCH))
+    longer, shorter = (rows.select(*[F.col(c).alias(f"{x}_{c}") for c in rows.columns]) for x in "ab")
     own = lambda x: {"n": F.shiftright(f"{x}_place", 32).cast("int"), "at": F.col(f"{x}_place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int"), **{c: F.col(f"{x}_{c}") for c in SKETCH}}
     a, b = own("a"), own("b")
     later, earlier = F.greatest("a_code", "b_code"), F.least("a_code", "b_code")
+    # of a pair the longer line, of equals the later, is on the left; positions leave only the index prefix of the right one
     ordered = (b["n"] < a["n"]) | ((b["n"] == a["n"]) & (F.col("b_code") < F.col("a_code")))
-    met = longer.join(shorter, (F.col("a_key") == F.col("b_key")) & (F.col("a_cell") == F.col("b_cell")) & ordered & (later.bitwiseAND(F.lit(1)) == 1) & may_match(a, b, threshold))
+    met = longer.join(shorter, (F.col("a_key") == F.col("b_key")) & ordered & (later.bitwiseAND(F.lit(1)) == 1) & may_match(a, b, threshold))
     return met.select(F.shiftright(later, 1).alias("later"), F.shiftright(earlier, 1).alias("earlier")).distinct()
 
 
 def repeats(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The numbers of the lines of a written table (see ``listed``) to which an earlier line is similar."""
     pairs = materialize(first_matches(lines, threshold), "first-pairs")
-    done = materialize(verified(pairs, lines, threshold), "first-repeats")
+    done = materialize(verified(pairs, lines, threshold), "first-repeats", BLOOM)
     flagged = lines.join(done.withColumnRenamed("number", "d"), F.col("number") == F.col("d"), "left").withColumn("open", F.col("d").isNull())
     rest = materialize(all_matches(flagged, threshold), "pairs")
-    more = materialize(verified(rest, lines, threshold), "more-repeats")
+    more = materialize(verified(rest, lines, threshold), "more-repeats", BLOOM)
     discard(pairs)
     discard(rest)
     return done.unionAll(more)
@@ -227,7 +232,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFram
     number = F.shiftleft(F.col("row"), PLACE_BITS) + F.col("place")
     found = lines_of(docs, row)
     distinct = found.groupBy("line").agg(F.min(number).alias("number"), F.count(F.lit(1)).alias("times"))
-    lines = materialize(listed(distinct, rarity(found), threshold), "lines")
+    lines = materialize(listed(distinct, rarity(docs), threshold), "lines")
     again = repeats(lines, threshold).withColumnRenamed("number", "r")
     # what becomes of the lines that occur more than once or go: all others stay
     state = lines.select("number", "times", *_marks(F.col("line"))).join(again, F.col("number") == F.col("r"), "left").filter((F.col("times") > 1) | F.col("r").isNotNull())
