@@ -33,7 +33,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchloom.llm.common import discard, internal, materialize
+from watchloom.llm.common import BLOOM, discard, internal, materialize
 
 THRESHOLD = 0.8
 PIVOTS = 2
@@ -52,10 +52,6 @@ WIDE = 8
 SKETCH = ("s", "t", "wide")
 
 
-#: Has Spark filter scans of any size by the other side of a join.
-BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t"}
-
-
 def split_words(line: Column) -> Column:
     """The words of a line, in order. Splitting at one fixed character is several times faster than at a
     pattern."""
@@ -98,13 +94,12 @@ def has_word(line: Column) -> Column:
 
 
 def rarity(docs: DataFrame) -> Column:
-    """The quarter-log counts of the word buckets, in the high bits of longs, as a constant array of
-    BUCKETS entries."""
+    """The quarter-log counts of the word buckets, as a constant array of BUCKETS entries."""
     each = docs.select(split_words(F.replace("text", F.lit("\n"), F.lit(" "))).alias("ws")).select(F.explode_outer("ws").alias("w"))
     counts = each.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     tier = F.coalesce(F.least(F.floor(F.log2(F.col("n") + 1) * 4), F.lit(126)), F.lit(0))
     every = docs.sparkSession.range(BUCKETS).join(counts, F.col("id") == F.col("b"), "left").select(F.struct("id", tier.alias("tier")).alias("e"))
-    text = every.agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: F.shiftleft(e.tier.cast("long"), HASH_BITS).cast("string")), ",")).first()[0]  # a fixed size
+    text = every.agg(F.array_join(F.transform(F.array_sort(F.collect_list("e")), lambda e: e.tier.cast("string")), ",")).first()[0]  # a fixed size
     return F.split(F.lit(text), ",").cast("array<long>")
 
 
@@ -115,7 +110,7 @@ def _bucket(word: Column) -> Column:
 def keys(line: Column, tiers: Column) -> Column:
     """The line's distinct words as numbers in the order of rarity."""
     low = F.lit((1 << HASH_BITS) - 1)
-    tier = lambda w: F.coalesce(F.get(tiers, _bucket(w)), F.lit(0).cast("long"))  # noqa: E731  never null, which makes sorting faster
+    tier = lambda w: F.shiftleft(F.coalesce(F.get(tiers, _bucket(w)), F.lit(0).cast("long")), HASH_BITS)  # noqa: E731  never null, which makes sorting faster
     return F.sort_array(F.array_distinct(F.transform(split_words(line), lambda w: tier(w).bitwiseOR(F.xxhash64(w).bitwiseAND(low)))))
 
 
@@ -140,17 +135,27 @@ def listed(distinct: DataFrame, tiers: Column, threshold: float) -> DataFrame:
     return made.withColumns({"s": F.col("s").bitwiseXOR(F.col("t")), "pools": _pools(F.element_at("prefix", -1))})
 
 
+def _need(n: Column, m: Column, threshold: float) -> Column:
+    """Words that similar lines of ``n`` and ``m`` words share at least."""
+    return F.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
+
+
+def sketches_allow(x: dict[str, Column], y: dict[str, Column], most: Column) -> Column:
+    """Whether sets with these sketches may differ in ``most`` words at most."""
+    differ = lambda a, b: F.bit_count(a.bitwiseXOR(b))
+    both = differ(x["s"], y["s"]) + differ(x["t"], y["t"])
+    narrow = F.when(F.least(x["n"], y["n"]) >= LONG, both).otherwise(differ(x["s"].bitwiseXOR(x["t"]), y["s"].bitwiseXOR(y["t"])))
+    apart = sum((differ(F.get(x["wide"], j), F.get(y["wide"], j)) for j in range(1, WIDE)), differ(F.get(x["wide"], 0), F.get(y["wide"], 0)))
+    return (narrow <= most) & F.coalesce(apart <= most, F.lit(True))
+
+
 def may_match(x: dict[str, Column], y: dict[str, Column], threshold: float) -> Column:
-    """Whether lines (their n, at, sketch and wide) that share the words at their places can be similar."""
+    """Whether lines (their n, at, s, t and wide) that share the words at their places can be similar."""
     n, m = x["n"], y["n"]
-    need = F.ceil(threshold / (1 + threshold) * (n + m) - 1e-9)
+    need = _need(n, m, threshold)
     length = F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9
     position = F.least(n - x["at"], m - y["at"]) >= need
-    differ = lambda a, b: F.bit_count(a.bitwiseXOR(b))
-    parts = F.when(F.least(n, m) >= LONG, differ(x["s"], y["s"]) + differ(x["t"], y["t"])).otherwise(differ(x["s"].bitwiseXOR(x["t"]), y["s"].bitwiseXOR(y["t"])))
-    narrow = parts <= n + m - 2 * need
-    apart = sum((differ(F.get(x["wide"], j), F.get(y["wide"], j)) for j in range(1, WIDE)), differ(F.get(x["wide"], 0), F.get(y["wide"], 0)))
-    return length & position & narrow & F.coalesce(apart <= n + m - 2 * need, F.lit(True))
+    return length & position & sketches_allow(x, y, n + m - 2 * need)
 
 
 def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
@@ -197,14 +202,20 @@ def all_matches(lines: DataFrame, threshold: float) -> DataFrame:
     dealt = each.filter("pools > 1").withColumn("pools", _pools(F.col("key"))).withColumn("pool", F.pmod(F.hash("code"), F.col("pools")))
     dealt = dealt.withColumn("others", F.sequence(F.lit(0), F.col("pools") - 1)).withColumn("other", F.explode_outer("others"))
     meet = F.when(F.col("pools") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("pool", "other"), F.greatest("pool", "other")))
-    rows = plain.unionAll(dealt.select(meet.alias("key"), "code", place, *SKETCH))
-    longer, shorter = (rows.select(*[F.col(c).alias(f"{x}_{c}") for c in rows.columns]) for x in "ab")
-    own = lambda x: {"n": F.shiftright(f"{x}_place", 32).cast("int"), "at": F.col(f"{x}_place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int"), **{c: F.col(f"{x}_{c}") for c in SKETCH}}
-    a, b = own("a"), own("b")
-    later, earlier = F.greatest("a_code", "b_code"), F.least("a_code", "b_code")
-    # of a pair the longer line, of equals the later, is on the left; positions leave only the index prefix of the right one
-    ordered = (b["n"] < a["n"]) | ((b["n"] == a["n"]) & (F.col("b_code") < F.col("a_code")))
-    met = longer.join(shorter, (F.col("a_key") == F.col("b_key")) & ordered & (later.bitwiseAND(F.lit(1)) == 1) & may_match(a, b, threshold))
+    rows = plain.unionAll(dealt.select(meet.alias("key"), "code", place, *SKETCH)).repartition("key")
+    n, at = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
+    index = n - F.ceil(n * (2 * threshold / (1 + threshold)) - 1e-9).cast("int")
+    sides = {"n": n, "least": F.ceil(n * threshold - 1e-9).cast("int"), "rest": n - at, **{c: F.col(c) for c in ("key", "code", *SKETCH)}}
+    # of a pair the longer line, of equals the later, is on the left; on the right the index prefix is enough. What
+    # depends on chance isn't pushed below the shuffle, which is thus one for both sides
+    longer = rows.select(*[c.alias(f"a_{k}") for k, c in sides.items()])
+    shorter = rows.filter((F.rand() >= 0) & (at <= index)).select(*[c.alias(f"b_{k}") for k, c in sides.items()])
+    a, b = ({k: F.col(f"{x}_{k}") for k in sides} for x in "ab")
+    later, earlier, need = F.greatest("a_code", "b_code"), F.least("a_code", "b_code"), _need(a["n"], b["n"], threshold)
+    length = (b["n"] <= a["n"]) & (b["n"] >= a["least"]) & ((b["n"] < a["n"]) | (b["code"] < a["code"]))
+    position = (a["rest"] >= need) & (b["rest"] >= need)
+    allowed = length & position & (later.bitwiseAND(F.lit(1)) == 1) & sketches_allow(a, b, a["n"] + b["n"] - 2 * need)
+    met = longer.join(shorter, (a["key"] == b["key"]) & allowed)
     return met.select(F.shiftright(later, 1).alias("later"), F.shiftright(earlier, 1).alias("earlier")).distinct()
 
 
