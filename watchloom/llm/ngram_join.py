@@ -3,14 +3,14 @@
 Band and row counts follow from the threshold and the wanted recall (:func:`banding`). Documents with
 equal n-gram sets are one node. Nodes that share a band hash are candidates; band buckets are joined
 to their least node rather than expanded into pairs, and candidate nodes of a connected piece are
-verified in units of two blocks of at most about ``BLOCK`` nodes: a unit's task compares full n-gram
+verified in units of two blocks of at most about ``BLOCK`` nodes and ``GRAMS`` n-grams: a unit's task compares full n-gram
 sets and gives, for each node, how many documents it links to and its piece's root, never the pairs. So
 no bucket or piece meets in a task, no link between different texts within a piece is lost, and rows
 grow with the documents, not the links.
 
 Defined results: words are runs of characters other than white space; a text of fewer than ``WORDS``
 words has one n-gram of all of them; null and empty texts have none and link to nothing; copies are
-counted as links; of a class, the row with the least id (of equal ids, the first row) stays; null ids
+counted as links; very long texts count whole; equal ids are told apart by the order of the table as written; of a class, the row with the least id (of equal ids, the first row) stays; null ids
 come last; extra columns pass through untouched.
 """
 
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.llm.common import materialize, release
+from watchloom.llm.common import BLOOM, materialize
 from watchloom.llm.components import components
 
 WORDS = 5
@@ -34,18 +34,22 @@ RECALL = 0.999
 MOST_HASHES = 192
 SEED = 0x5EED
 BLOCK = 64
+#: N-grams of a block on average, so that a unit's memory has a bound in bytes too.
+GRAMS = 1 << 20
 COLUMNS = 8192
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
     """(bands, rows): the most rows a band for which a pair at the threshold shares a band with
     probability ``recall``, within ``most`` hashes."""
-    best = (most, 1)
+    best = None
     for rows in range(1, most + 1):
         p = threshold**rows
         bands = math.ceil(math.log(1 - recall) / math.log1p(-p)) if p < 1 else 1
         if bands * rows <= most:
             best = (bands, rows)
+    if best is None:
+        raise ValueError(f"{most} hashes don't reach a recall of {recall} at {threshold}")
     return best
 
 
@@ -231,27 +235,27 @@ def _units(threshold: float):
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Rows (doc, n_ngrams, class_id, n_links, kept): ``doc`` holds the row of ``docs``."""
-    spark = docs.sparkSession
     bands, rows = banding(threshold, recall)
     own = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
     found = own.withColumn("s", sketch_column(F.col("doc.text"), words, bands, rows)).select("doc", "row", "s.digest", "s.n", "s.bands")
     table = materialize(found, "ngrams")
     best = F.struct(F.col("doc.doc_id").isNull().alias("no"), F.col("doc.doc_id").alias("id"), "row")
-    nodes = table.filter("n > 0").select("digest", best.alias("best"), "bands").groupBy("digest").agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("size"), F.first("bands").alias("bands"))
+    nodes = table.filter("n > 0").select("digest", best.alias("best"), "n", "bands").groupBy("digest").agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "nodes")
 
     keyed = nodes.select("digest", F.explode("bands").alias("key"))
     hubs = materialize(keyed.groupBy("key").agg(F.min("digest").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("k"), "hub"), "hubs")
     pieces = components(keyed.join(hubs, F.col("key") == F.col("k")).select(F.col("digest").alias("u"), F.col("hub").alias("v")))
-    release(spark)
-
-    sizes = materialize(pieces.groupBy("component").agg(F.count(F.lit(1)).alias("n")).select(F.col("component").alias("c"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "piece-sizes")
-    placed = pieces.join(sizes, F.col("component") == F.col("c")).select("node", "component", "blocks", F.pmod(F.xxhash64("node"), "blocks").cast("int").alias("block"))
-    placed = materialize(placed.join(nodes.select("digest", "size", F.col("best.row").alias("best_row")), F.col("node") == F.col("digest")).drop("node"), "placed")
-    # a sort-merge join at every size: the candidates grow with the documents, so no broadcast is planned for
-    texts = table.select("row", F.col("doc.text").alias("text")).hint("merge").join(placed, F.col("row") == F.col("best_row"))
-    full = materialize(texts.select("digest", "component", "blocks", "block", "size", set_column(F.col("text"), words).alias("grams")), "sets")
-    release(spark)
+
+    found = pieces.join(nodes.select("digest", "size", "n", F.col("best.row").alias("best_row")), F.col("node") == F.col("digest")).drop("node")
+    found = materialize(found, "candidates")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / GRAMS)).cast("int")
+    sizes = materialize(found.groupBy("component").agg(blocks.alias("blocks")).withColumnRenamed("component", "c"), "piece-sizes")
+    placed = materialize(found.join(sizes, F.col("component") == F.col("c")).drop("c", "n").withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int")), "placed")
+    # a sort-merge join at every size: the candidates grow with the documents, so no broadcast is planned for; Spark
+    # may leave out other documents' texts by a Bloom filter of a bounded size, for which it wants a condition
+    texts = table.select("row", F.col("doc.text").alias("text")).hint("merge").join(placed.filter("best_row >= 0"), F.col("row") == F.col("best_row"))
+    full = materialize(texts.select("digest", "component", "blocks", "block", "size", set_column(F.col("text"), words).alias("grams")), "sets", BLOOM)
     paired = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "digest", "block", "size", "grams")
     unit = ["component", "i", "j"]
     links = materialize(paired.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_units(threshold), "digest binary, links long, root binary"), "links")
