@@ -1,16 +1,18 @@
 """Licence notices and headers in text, word for word or edited.
 
 Templates are cut into words; hashes of ``GRAM`` consecutive words are winnowed (of each ``WINDOW`` of
-them, the least is kept) into an inverted index from fingerprint to (template, place). A text's grams
-probe the index; hits of a template on neighbouring diagonals are one candidate, and a banded
+them, the least is kept) into an inverted index from fingerprint to (template, place). Of templates under
+``SHORT`` words an edit may leave no gram that is kept; those are indexed by single words instead, as many of
+their rarest ones as a match may lack, and one. A text's grams and words probe the index; hits of a template on neighbouring diagonals are one candidate, and a banded
 alignment of the template with the text around it gives the words matched in order and the span.
 A candidate counts if it covers ``COVERAGE`` of the template. Of overlapping candidates the one with
 most matched words stays.
 
 The index is that of the templates, whose number is fixed; texts meet it where they lie, without a
 shuffle. Defined results: null and empty texts have no rows; spans are code points, end exclusive;
-words are runs of letters and digits, compared in lower case; repeated rows repeat; extra columns are
-ignored.
+words are runs of letters and digits, compared in lower case; of overlapping matches with equally many
+words the one with more coverage, then the earlier, then the first by name stays; very long texts are
+searched whole; repeated rows repeat; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql import DataFrame
 GRAM = 3
 WINDOW = 2
 COVERAGE = 0.8
+#: From this many words on, COVERAGE leaves a run of GRAM + 1 words, of whose grams winnowing keeps one.
+SHORT = 8
 WORD = re.compile(r"[^\W_]+")
 
 #: Notices and headers as their licences give them.
@@ -60,6 +64,32 @@ TEMPLATES = {
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "ARR": "All rights reserved.",
+    "MIT-disclaimer": (
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies."
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+        "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
+    "BSD-3-endorsement": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission."
+    ),
+    "LGPL-header": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "AGPL-header": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
 }
 
 
@@ -92,8 +122,22 @@ class Index:
         self.ids = {w: i for i, w in enumerate(sorted({x for ws in words for x in ws}))}
         self.words = [np.array([self.ids[x] for x in ws]) for ws in words]
         self.gram, self.base = gram, len(self.ids) + 1
+        uses = np.bincount(np.concatenate([np.unique(w) for w in self.words]), minlength=len(self.ids))
+        spelt = {i: w for w, i in self.ids.items()}
+        self.single: dict[int, list[tuple[int, int]]] = {}
         posts: dict[int, list[tuple[int, int]]] = {}
         for t, ws in enumerate(self.words):
+            if len(ws) < SHORT:
+                lack = len(ws) - int(np.ceil(COVERAGE * len(ws) - 1e-9))
+                rare = sorted(set(ws.tolist()), key=lambda i: (uses[i], -len(spelt[i]), i))
+                picked, have = set(), 0
+                while have <= lack:  # a word that a template repeats counts as often
+                    picked.add(rare.pop(0))
+                    have = sum(x in picked for x in ws.tolist())
+                for at, x in enumerate(ws.tolist()):
+                    if x in picked:
+                        self.single.setdefault(x, []).append((t, at))
+                continue
             codes = self.codes(ws)
             for at in winnow([self.mixed(int(c)) for c in codes], window):
                 posts.setdefault(int(codes[at]), []).append((t, at))
@@ -124,6 +168,9 @@ class Index:
         for p in at:
             for t, k in self.posts[int(np.searchsorted(self.keys, codes[p]))]:
                 hits.setdefault(t, []).append(int(p) - k)
+        for p in np.flatnonzero(np.isin(ids, list(self.single))):
+            for t, k in self.single[int(ids[p])]:
+                hits.setdefault(t, []).append(int(p) - k)
         out = []
         for t, diagonals in hits.items():
             diagonals.sort()

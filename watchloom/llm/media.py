@@ -139,6 +139,20 @@ def write_archives(docs: DataFrame, uri: str) -> DataFrame:
     return materialize(docs.select("doc_id", "text").mapInArrow(_pack(uri), "archive string, members long, bytes long"), "manifest")
 
 
+#: What reading a damaged or unreachable archive may raise.
+FAILURES = (OSError, EOFError, ValueError, struct.error, zlib.error, zipfile.BadZipFile)
+
+
+def again(work, tries: int):
+    """``work()``, tried up to ``tries`` times."""
+    for k in range(tries):
+        try:
+            return work()
+        except FAILURES:
+            if k == tries - 1:
+                raise
+
+
 class ByteRange(InputPartition):
     def __init__(self, archive: str, start: int, stop: int):
         self.archive, self.start, self.stop = archive, start, stop
@@ -184,7 +198,13 @@ class ArchiveReader(DataSourceReader):
         rows: list[tuple] = []
         held = 0
         with fs.open_input_file(partition.archive) as f:
-            members = sorted((m for m in zipfile.ZipFile(f).infolist() if partition.start <= m.header_offset < partition.stop), key=lambda m: m.header_offset)
+            try:
+                directory = again(lambda: zipfile.ZipFile(f).infolist(), self.tries)
+            except FAILURES as e:  # the archive's directory can't be read: one row says so
+                if partition.start == 0:
+                    yield _batch([(partition.archive.rpartition("/")[2], None, None, None, f"directory: {e}")])
+                return
+            members = sorted((m for m in directory if partition.start <= m.header_offset < partition.stop), key=lambda m: m.header_offset)
             at = 0
             while at < len(members):  # members of a batch are fetched in one read
                 some, size = [], 0
@@ -193,15 +213,18 @@ class ArchiveReader(DataSourceReader):
                     size += members[at].compress_size
                     at += 1
                 base, last = some[0].header_offset, some[-1]
-                f.seek(base)
-                buffer = memoryview(f.read(last.header_offset + 30 + 2 * len(last.filename) + 64 + last.compress_size - base))
+                try:
+                    f.seek(base)
+                    buffer = memoryview(f.read(last.header_offset + 30 + 2 * len(last.filename) + 64 + last.compress_size - base))
+                except OSError:
+                    buffer = None  # each member is then read by itself
                 for m in some:
                     media, error = None, None
                     for k in range(self.tries):
                         try:
                             media, error = read_member(f, m, None if k else buffer, base), None
                             break
-                        except OSError as e:
+                        except FAILURES as e:
                             error = str(e)
                     rows.append((partition.archive.rpartition("/")[2], m.filename, m.header_offset, media, error))
                     held += len(media or b"")
@@ -240,12 +263,15 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
         for member, media, error in zip(batch.column("member").to_pylist(), batch.column("media").to_pylist(), batch.column("error").to_pylist(), strict=True):
-            doc = member.rpartition("_")[2].removesuffix(".png")
-            doc_id = None if doc == "null" else int(doc)
-            if media is None:
+            doc = (member or "").rpartition("_")[2].removesuffix(".png")
+            doc_id = int(doc) if doc.lstrip("-").isdigit() else None
+            try:
+                payload, n = decode_image(media) if media is not None else (None, None)
+            except FAILURES as e:
+                payload, error = None, f"{member}: {e}"
+            if payload is None:
                 out.append((doc_id, None, None, None, None, None, None, None, error))
                 continue
-            payload, n = decode_image(media)
             out.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(payload), None))
         ints, text = pa.int64(), pa.string()
         columns = list(zip(*out, strict=True)) or [()] * 9
