@@ -51,6 +51,58 @@ def test_field_on_rows_it_was_not_trained_on():
     assert right / sum(len(w) for w, _ in table) > 0.97
 
 
+#: Labelled by hand like those that train the field, which doesn't see these.
+UNSEEN = """
+Ring {phone:(646) 555-0112} after six, the bell is broken.
+Our helpdesk is {phone:+44 20 7946 0999} from 8 to 18.
+Write {email:ben at shop.example.net} if item 3 of 12 is missing.
+Node {ip:172.16.4.20} lost 14 packets on 2022-11-02.
+The total of 1,204.50 was due on 01.02.2023, see page 14.
+Build 3.11.4 runs at half speed on port 8443.
+They stood at the gate at 7:45 with 200 others.
+Fax {phone:555-010-2233}, or come to 9 Elm Street.
+{card:4012888888881881} was declined at 23:10.
+"""
+
+
+def test_field_on_sentences_it_was_not_trained_on():
+    table = P.by_hand(UNSEEN)
+    said = P.viterbi([w for w, _ in table])
+    pairs = [(a, b) for (_, want), got in zip(table, said, strict=True) for a, b in zip(want, got, strict=True)]
+    plain = [b for a, b in pairs if a == "O"]
+    assert sum(a == b for a, b in pairs) / len(pairs) > 0.9 and plain.count("O") / len(plain) > 0.95
+
+
+def test_whole_texts_are_decoded():
+    """The labels of a long text are those of the best path over all of it, in one block or many."""
+    r = random.Random(3)
+    rows = [x for words, _ in P.labelled_table(rows=40, seed=5) for x in words]
+    r.shuffle(rows)
+    want = P.viterbi([rows])[0]
+    old, P.CELLS = P.CELLS, 16
+    try:
+        assert P.viterbi([rows, rows[:3]]) == [want, P.viterbi([rows[:3]])[0]]
+    finally:
+        P.CELLS = old
+    ids, w, trans, start = P.trained()
+    e = [w[[ids[f] for f in P.features(rows, k) if f in ids]].sum(0) for k in range(len(rows))]
+    best, back = start + e[0], []
+    for x in e[1:]:
+        back.append((best[:, None] + trans).argmax(0))
+        best = (best[:, None] + trans).max(0) + x
+    path = [int(best.argmax())]
+    for b in back[::-1]:
+        path.append(int(b[path[-1]]))
+    assert want == [P.LABELS[k] for k in path[::-1]]
+
+
+def test_long_texts_and_words():
+    text = "call (743) 555-3824 " + "12 " * 40_000 + "mail kalo at miter dot com " + "x" * 200_000 + "1"
+    base, found = P.scan([text])[0]
+    assert base == P.base_spans(text) and {k for k, _, _ in found} >= {"phone", "email"}
+    assert P.shape("a" * 100 + "7") == "a0"
+
+
 def test_viterbi_is_the_best_path():
     import itertools
 
