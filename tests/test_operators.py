@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 import watchloom.plans.knowledge  # noqa: F401
 from watchloom.functions import geometry
 from watchloom.functions.scalar import uuid5
-from watchloom.functions.text import redact, redact_fields
+from watchloom.functions.text import redact, redact_fields, redact_value
 from watchloom.functions.verdicts import read_answer
-from watchloom.operators import fusion, governance, intervals, rules, tables, tracking, windows
+from watchloom.operators import fusion, governance, intervals, rules, search, tables, tracking, windows
 from watchloom.plans.registry import QUERIES
 
 SUBJECT = "track string, arrival long, event_id string, ts double, zone_types array<string>, objects array<string>, object_near_hand boolean, has_item boolean, camera_health_score double"
@@ -134,26 +134,84 @@ def test_merge_reports(spark):
 @pytest.mark.parametrize(
     ("text", "verdict", "ok"),
     [
-        ('{"verdict": "confirmed", "confidence": 0.9}', "confirmed", True), ('```json\n{"verdict": "rejected"}\n```', "rejected", True), ('{"verdict": "confirmed"} and so on', "confirmed", True),
-        ('{"verdict": "confirmed", "observed_actions": ["a", "b")}', "confirmed", True), ('{"verdict": "confirmed", "expl', "confirmed", True), ("nothing", "unclear", False), (None, "unclear", False), ('{"verdict": "maybe"}', "unclear", True),
+        ('{"verdict": "suspicious", "confidence": 0.9}', "suspicious", True), ('```json\n{"verdict": "benign"}\n```', "benign", True), ('{"verdict": " Benign"} and so on', "benign", True),
+        ('{"verdict": "suspicious", ("observed_actions": ["a", "b")}', "suspicious", True), ('{"verdict": "suspicious", "expl', "suspicious", True), ('{"verdict": "confirmed"}', "unclear", True), ("nothing", "unclear", False), (None, "unclear", False), ('{"verdict": "maybe"}', "unclear", True),
     ],
 )
 def test_read_answer(text, verdict, ok):
     got = read_answer(text)
     assert (got["verdict"], got["parse_success"]) == (verdict, ok)
+    assert ok or (got["confidence"], got["missing_evidence"], got["recommended_next_step"], got["structured_event_type"]) == (0.0, ["model output was not valid JSON"], "manual_review", "parse_error")
+
+
+def test_answer_fields():
+    got = read_answer('{"verdict": "benign", "confidence": 85, "observed_actions": "look; take\\n", "missing_evidence": 3, "recommended_next_step": null}')
+    assert (got["confidence"], got["observed_actions"], got["missing_evidence"], got["recommended_next_step"]) == (0.85, ["look", "take"], ["3"], "")
 
 
 def test_redaction(spark):
-    df = spark.createDataFrame([("rtsp://u:p@h/x Bearer abc.def token=zzz plain", {"password": "x", "note": "hf_abcdefghij"})], "t string, m map<string, string>")
-    got = df.select(redact(F.col("t")).alias("t"), redact_fields(F.col("m")).alias("m")).first()
-    assert got.t == "rtsp://***:***@h/x Bearer *** token=*** plain" and got.m == {"password": "***", "note": "hf_***"}
+    texts = {
+        "rtsp://u:p@h/x": "rtsp://u:***REDACTED***@h/x",
+        "Authorization: Bearer abc.def-1": "Authorization: Bearer ***REDACTED***",
+        "use hf_abcdefghij1 now": "use ***REDACTED*** now",
+        "sk-12345678_x and key-short": "***REDACTED*** and key-short",
+        "db_password = 'a b' next": "db_password=***REDACTED*** next",
+        'api-key: "x y", token=zzz': "api-key=***REDACTED***, token=***REDACTED***",
+        "plain text: nothing here": "plain text: nothing here",
+    }
+    df = spark.createDataFrame(list(texts.items()), "t string, w string")
+    assert [(r.t, r.g) for r in df.select("t", "w", redact(F.col("t")).alias("g")).filter("g <> w").collect()] == []
+
+
+def test_redaction_reaches_nested_values(spark):
+    df = spark.sql("SELECT named_struct('user', 'hf_abcdefghij1', 'auth', 'x', 'list', array(map('Token', 'y', 'note', 'pk-123456789')), 'n', 7, 'dsn', 5) AS v")
+    got = df.select(redact_value(F.col("v"), df.schema["v"].dataType).alias("v")).first().v.asDict()
+    assert got == {"user": "***REDACTED***", "auth": "***REDACTED***", "list": [{"Token": "***REDACTED***", "note": "***REDACTED***"}], "n": 7, "dsn": None}
+    assert df.select(redact_fields(F.create_map(F.lit("secret"), F.lit("x"))).alias("m")).first().m == {"secret": "***REDACTED***"}
 
 
 def test_roles(spark):
-    df = spark.createDataFrame([("admin", "purge", True), ("viewer", "approve", False), ("ghost", "search", False), ("viewer", "search", True), ("admin", "no_such", False)], "r string, a string, w boolean")
+    df = spark.createDataFrame([("admin", "backup", True), ("viewer", "approve", False), ("reviewer", "reject", True), ("reviewer", "retention", False), ("ghost", "read", False), ("viewer", "read", True), ("admin", "no_such", False)], "r string, a string, w boolean")
     assert df.filter(governance.may(F.col("r"), F.col("a")) != F.col("w")).count() == 0
 
 
+def test_repeated_keys_of_incoming_rows(spark):
+    old, new = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string"), spark.createDataFrame([(2, "y"), (2, "x"), (3, "q"), (3, "p")], "k long, v string")
+    assert sorted(map(tuple, tables.upsert(old, new, ["k"], ["v"]).collect())) == [(1, "a"), (2, "x"), (3, "p")]
+    parents = spark.createDataFrame([("x",), ("p",), ("q",)], "id string")
+    assert sorted(map(tuple, tables.insert_with_parent(old, new, "k", parents, "v", "id").collect())) == [(1, "a"), (2, "b"), (3, "p")]
+
+
+@pytest.mark.parametrize(
+    ("text", "kinds", "routes", "objects"),
+    [
+        ("show a person who picked an item and walked away", ["billing_bypass", "possible_billing_bypass", "possible_loss", "suspicious_item_interaction"], [], ["item"]),
+        ("bottles left by the shelf", ["possible_billing_bypass", "possible_loss"], ["shelf"], ["bottle"]),
+        ("camera covered at the exit", ["camera_health_issue"], ["exit"], []),
+        ("anything", [], [], []),
+    ],
+)
+def test_requests(spark, text, kinds, routes, objects):
+    got = search.parse_request(text)
+    assert (got["kinds"], got["routes"], got["objects"]) == (kinds, routes, objects)
+    assert tuple(spark.createDataFrame([(text,)], "q string").select(search.request_columns(F.col("q")).alias("r")).first().r) == (kinds, routes, objects)
+
+
+def test_vectors(spark):
+    import hashlib
+
+    import numpy as np
+
+    v = search.hash_vector("abc")
+    first = int.from_bytes(hashlib.sha256(b"text:abc|0").digest()[:2], "big") / 65535 * 2 - 1
+    assert len(v) == 768 and abs(sum(x * x for x in v) - 1) < 1e-9 and v[0] * first > 0
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (2, [0.0, 0.0, 0.0])], "k long, e array<double>")
+    got = {r.k: r.vector for r in search.project_vectors(df, "k", "e", 3, 2).collect()}
+    m = np.random.default_rng(3 * 1_000_003 + 2).standard_normal((2, 3)) / np.sqrt(2)
+    want = m @ np.array([1.0, 2.0, 3.0])
+    assert np.allclose(got[1], want / np.linalg.norm(want)) and got[2] == [0.0, 0.0]
+
+
 def test_retention_keeps_rows_without_a_time(spark):
     df = spark.sql("SELECT * FROM VALUES ('a', TIMESTAMP_NTZ'2024-01-01'), ('b', TIMESTAMP_NTZ'2024-01-20'), ('c', NULL) t(id, ts)")
     got = df.filter(governance.expired(F.col("ts"), F.lit("2024-01-21 00:00:00").cast("timestamp_ntz"), 14)).collect()
@@ -190,7 +248,7 @@ def plain_tracks(rows):
         tracker = tracking.Tracker()
         for t in sorted(by):
             found = sorted(by[t])
-            out |= {i: (camera, n, label, t) for (i, label, _), n in zip(found, tracker.frame(t, [x[1:] for x in found]), strict=True)}
+            out |= {i: (camera, f"{camera}:{n}", label, t) for (i, label, _), n in zip(found, tracker.frame(t, [x[1:] for x in found]), strict=True)}
     return out
 
 

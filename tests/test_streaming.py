@@ -46,3 +46,16 @@ def test_dead_letters(spark, tmp_path):
     streams.with_dead_letters(fail, str(tmp_path / "ok"), str(tmp_path / "dead"))(df, 7)
     streams.with_dead_letters(lambda b: b, str(tmp_path / "ok"), str(tmp_path / "dead"))(df, 8)
     assert spark.read.parquet(str(tmp_path / "dead")).count() == 3 and spark.read.parquet(str(tmp_path / "ok")).count() == 3
+
+
+def test_an_item_flag_counts_as_in_batch(spark, tmp_path):
+    schema = "track string, arrival long, event_id string, ts double, zone_types array<string>, objects array<string>, object_near_hand boolean, has_item boolean, camera_health_score double"
+    rows = [("t", k, f"e{k}", float(k), z, ["person"], None, k == 1, None) for k, z in enumerate((["shelf"], ["shelf"], ["exit"]))]
+    events = spark.createDataFrame(rows, schema)
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    state = streams.History()
+    for e in events.orderBy("arrival").collect():
+        state.add(e)
+    assert state.item and state.holds("person_has_item", True)
+    assert [r.rule_id for r in rules.first_firings(events).collect() if r.rule_id == "possible_billing_bypass"] == ["possible_billing_bypass"]
+    assert all(state.holds(k, v) for r in streams.RULES if r.id == "possible_billing_bypass" for k, v in r.conditions)

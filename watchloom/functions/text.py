@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 
 def tokens(text: Column) -> Column:
@@ -23,15 +26,22 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]{3,}"), F.lit(0)))
 
 
-#: What is masked in text, in this order (pattern, replacement).
+MASK = "***REDACTED***"
+#: What is masked in text, in this order (pattern, replacement). The last one leaves alone what
+#: an earlier one masked.
 MASKS = (
-    (r"://[^/\s:@]+:[^/\s@]+@", "://***:***@"),
-    (r"(?i)bearer\s+[A-Za-z0-9._~+/-]+=*", "Bearer ***"),
-    (r"hf_[A-Za-z0-9]{8,}", "hf_***"),
-    (r"AKIA[0-9A-Z]{16}", "AKIA***"),
-    (r"(?i)(password|passwd|secret|token|api_key)(\s*[=:]\s*)[^\s,;]+", "$1$2***"),
+    (r"([a-zA-Z][\w+.-]*://)([^:/?#\s]+):([^@/?#\s]+)@", f"$1$2:{MASK}@"),
+    (r"(?i)\bbearer\s+[A-Za-z0-9._\-]+", f"Bearer {MASK}"),
+    (r"\bhf_[A-Za-z0-9]{10,}\b", MASK),
+    (r"\b(sk|pk|key|tok)-[A-Za-z0-9_\-]{8,}\b", MASK),
+    (
+        r"(?i)\b([\w.-]*(?:password|passwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth)[\w.-]*)\s*[=:]\s*"
+        r"""(?!\S*\*\*\*REDACTED|"[^"]*\*\*\*REDACTED|'[^']*\*\*\*REDACTED|bearer(?!\S))("[^"]*"|'[^']*'|[^\s]+)""",
+        f"$1={MASK}",
+    ),
 )
-SECRET_NAMES = "password|passwd|secret|token|api_key|apikey|authorization|credential"
+#: Names of fields whose values are masked whole.
+SECRET_NAMES = r"(?i)(pass(word)?|secret|token|api[_-]?key|auth|credential|access[_-]?key|private[_-]?key|dsn|database_url|bearer)"
 
 
 def redact(text: Column) -> Column:
@@ -40,18 +50,39 @@ def redact(text: Column) -> Column:
     return text
 
 
+def redact_value(value: Column, kind: DataType) -> Column:
+    """A column of type ``kind`` with all its text redacted, however deep, and the values of secret-named
+    fields and map entries masked (where they aren't text, emptied)."""
+    if isinstance(kind, StringType):
+        return redact(value)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: redact_value(x, kind.elementType))
+    if isinstance(kind, MapType) and isinstance(kind.keyType, StringType):
+        masked = F.lit(MASK) if isinstance(kind.valueType, StringType) else F.lit(None).cast(kind.valueType)
+        return F.transform_values(value, lambda k, v: F.when(k.rlike(SECRET_NAMES), masked).otherwise(redact_value(v, kind.valueType)))
+    if isinstance(kind, StructType):
+        hidden = lambda f: F.lit(MASK if isinstance(f.dataType, StringType) else None).cast(f.dataType)
+        fields = [hidden(f) if re.search(SECRET_NAMES, f.name) else redact_value(value[f.name], f.dataType) for f in kind.fields]
+        return F.when(value.isNotNull(), F.struct(*[c.alias(f.name) for c, f in zip(fields, kind.fields, strict=True)]))
+    return value
+
+
 def redact_fields(fields: Column) -> Column:
-    """A map with secret-named entries masked and the others' text redacted."""
-    return F.transform_values(fields, lambda k, v: F.when(F.lower(k).rlike(SECRET_NAMES), "***").otherwise(redact(v)))
+    """A map of text with secret-named entries masked and the others' text redacted."""
+    return redact_value(fields, MapType(StringType(), StringType()))
 
 
 def describe_event(event_type: Column, camera: Column, zones: Column, objects: Column, severity: Column) -> Column:
     """What an event is searched by."""
-    return F.concat_ws(
-        " ", F.regexp_replace(event_type, "_", " "), F.concat(F.lit("at "), camera), F.when(F.size(zones) > 0, F.concat(F.lit("["), F.array_join(zones, ", "), F.lit("]"))),
-        F.when(F.size(objects) > 0, F.concat(F.lit("objects: "), F.array_join(objects, ", "))), F.when(severity != "info", F.concat(F.lit("severity="), severity)))
+    listed = lambda before, items, after="": F.when(F.size(items) > 0, F.concat(F.lit(before), F.array_join(items, ", "), F.lit(after)))
+    seen_by = F.when(camera != "", F.concat(F.lit("at "), camera))
+    grave = F.when((severity != "") & (severity != "info"), F.concat(F.lit("severity="), severity))
+    return F.concat_ws(" ", F.coalesce(event_type, F.lit("event")), seen_by, listed("[", zones, "]"), listed("objects: ", objects), grave)
 
 
 def describe_observation(verdict: Column, kind: Column, actions: Column, explanation: Column) -> Column:
-    said = F.concat_ws("; ", F.nullif(verdict, F.lit("")), F.nullif(kind, F.lit("")), F.when(F.size(actions) > 0, F.array_join(actions, ", ")), F.nullif(F.substring(explanation, 1, 400), F.lit("")))
-    return F.coalesce(F.nullif(said, F.lit("")), F.lit("observation"))
+    """What a model's observation is searched by."""
+    judged = F.when(verdict != "", F.concat(F.lit("verdict: "), verdict))
+    acted = F.when(F.size(actions) > 0, F.concat(F.lit("actions: "), F.array_join(actions, ", ")))
+    said = F.concat_ws(" ", judged, F.nullif(kind, F.lit("")), acted, F.nullif(F.substring(explanation, 1, 400), F.lit("")))
+    return F.coalesce(F.nullif(said, F.lit("")), F.lit("vlm observation"))

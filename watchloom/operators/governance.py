@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Roles by rank, and the least role of each action.
-RANKS = {"viewer": 0, "reviewer": 1, "operator": 2, "admin": 3}
-ACTIONS = {"search": "viewer", "approve": "reviewer", "replay": "operator", "purge": "admin"}
+#: Roles by rank, and the least role of each action.
+RANKS = {"viewer": 0, "reviewer": 1, "admin": 2}
+ACTIONS = {"read": "viewer", "approve": "reviewer", "reject": "reviewer", "activate-profile": "admin", "retention": "admin", "backup": "admin"}
 
 
 def _lookup(table: dict, key: Column) -> Column:

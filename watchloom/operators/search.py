@@ -13,24 +13,53 @@ from pyspark.sql import functions as F
 
 from watchloom.functions.text import terms
 
-#: Words of a request and the kinds of event that they stand for.
-INTENTS = ((r"error|fail|broken", ("error",)), (r"b(?:uy|ought)|purchase|paid", ("purchase",)), (r"look|view|watch", ("view",)), (r"click|touch|pick", ("click",)), (r"sign|join", ("signup",)))
+#: Patterns of a request and the kinds of event that they stand for.
+INTENTS = (
+    (
+        r"without (billing|paying|scan|checkout)|skip(ped)? (the )?(bill|counter)|not (pay|bill)|missing billing|bypass|walk(ed|s|ing)? away|left without",
+        ("possible_billing_bypass", "possible_loss", "billing_bypass"),
+    ),
+    (
+        r"pick(ed|s|ing)?( up)?|took|grab(bed|s|bing)?|interact|touch(ed|ing)?|remov(e|ed|ing)|put (it )?in (a )?(bag|pocket)",
+        ("suspicious_item_interaction",),
+    ),
+    (r"camera (block|cover|down|black|frozen|tamper)|obscured|blind", ("camera_health_issue",)),
+)
+#: Patterns of a request and the zone that they hint at.
+ROUTES = (
+    (r"\bexit\b|left the store|out the door|walked out", "exit"),
+    (r"\bentry\b|entered|came in", "entry"),
+    (r"\bshelf|aisle|rack", "shelf"),
+    (r"\bbilling|counter|checkout|cashier|till", "billing_counter"),
+)
+#: Things that a request may name, in this order.
+OBJECTS = ("item", "product", "bottle", "box", "bag", "handbag", "backpack", "goods", "merchandise")
+#: A thing and a leaving stand for a loss.
+LEAVING = r"walk(ed|s|ing)? away|left|away"
+LOSSES = ("possible_billing_bypass", "possible_loss")
 WEIGHTS = (0.7, 0.2, 0.1)
 
 
 def parse_request(text: str) -> dict:
-    """Kinds of event and terms of a request."""
+    """Kinds of event, zones, things and terms of a request."""
     low = text.lower()
-    kinds = sorted({k for pattern, ks in INTENTS if re.search(pattern, low) for k in ks})
-    return {"kinds": kinds, "terms": sorted(set(re.findall("[a-z]{3,}", low)))}
+    kinds = {k for pattern, ks in INTENTS if re.search(pattern, low) for k in ks}
+    objects = [w for w in OBJECTS if re.search(rf"\b{w}s?\b", low)]
+    if objects and re.search(LEAVING, low):
+        kinds |= set(LOSSES)
+    return {"kinds": sorted(kinds), "routes": [z for pattern, z in ROUTES if re.search(pattern, low)], "objects": objects, "terms": sorted(set(re.findall("[a-z]{3,}", low)))}
 
 
-def request_kinds(text: Column) -> Column:
-    """The same for a column of requests."""
-    found = F.array_union(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    for pattern, kinds in INTENTS:
-        found = F.when(F.lower(text).rlike(pattern), F.array_union(found, F.array(*[F.lit(k) for k in kinds]))).otherwise(found)
-    return F.array_sort(found)
+def request_columns(text: Column) -> Column:
+    """The same for a column of requests: a struct of kinds, routes and objects."""
+    low = F.lower(text)
+    some = lambda found: F.flatten(F.array_compact(F.array(*found)))
+    texts = lambda items: F.array(*[F.lit(x) for x in items])
+    objects = some([F.when(low.rlike(rf"\b{w}s?\b"), texts([w])) for w in OBJECTS])
+    kinds = [F.when(low.rlike(pattern), texts(ks)) for pattern, ks in INTENTS]
+    kinds.append(F.when((F.size(objects) > 0) & low.rlike(LEAVING), texts(LOSSES)))
+    routes = some([F.when(low.rlike(pattern), texts([zone])) for pattern, zone in ROUTES])
+    return F.struct(F.array_sort(F.array_distinct(some(kinds))).alias("kinds"), routes.alias("routes"), objects.alias("objects"))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -62,17 +91,14 @@ def rerank(scored: DataFrame, wanted: list[str], k: int | None, tie: str) -> Dat
     return out.limit(k) if k else out
 
 
-def hash_vector(text: str, dim: int = 64) -> list[float]:
+def hash_vector(text: str, dim: int = 768) -> list[float]:
     """A unit vector from a text's digests: pairs of bytes between -1 and 1."""
-    raw, n = b"", 0
-    while len(raw) < 2 * dim:
-        raw += hashlib.sha256(f"{n}:text:{text}".encode()).digest()
-        n += 1
+    raw = b"".join(hashlib.sha256(f"text:{text}|{n}".encode()).digest() for n in range(-(-dim // 16)))
     v = np.frombuffer(raw[: 2 * dim], ">u2").astype(float) / 65535 * 2 - 1
-    return (v / max(float(np.linalg.norm(v)), 1e-12)).tolist()
+    return (v / (float(np.linalg.norm(v)) or 1.0)).tolist()
 
 
-def hash_vectors(rows: DataFrame, key: str, text: str, dim: int = 64) -> DataFrame:
+def hash_vectors(rows: DataFrame, key: str, text: str, dim: int = 768) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hash_vector(x or "", dim) for x in b.column(1).to_pylist()], pa.list_(pa.float64()))], [key, "vector"])
@@ -81,14 +107,16 @@ def hash_vectors(rows: DataFrame, key: str, text: str, dim: int = 64) -> DataFra
 
 
 def project_vectors(rows: DataFrame, key: str, column: str, source: int, target: int) -> DataFrame:
-    """Gaussian random projection to ``target`` dimensions, unit length; the matrix follows from the shapes."""
+    """Gaussian random projection to ``target`` dimensions, unit length; the matrix follows from the shapes.
+    Vectors that have ``target`` dimensions are only scaled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = np.random.default_rng(source * 1_000_003 + target).normal(0, 1 / target, (source, target))
+        m = np.random.default_rng(source * 1_000_003 + target).standard_normal((target, source)) / target**0.5
         for b in batches:
-            x = np.array([v for v in b.column(1).to_pylist()], float).reshape(-1, source) @ m
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x.tolist(), pa.list_(pa.float64()))], [key, "vector"])
+            x = np.array(b.column(1).to_pylist(), float).reshape(-1, source)
+            x = x if source == target else x @ m.T
+            norms = np.linalg.norm(x, axis=1, keepdims=True)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array((x / np.where(norms > 0, norms, 1)).tolist(), pa.list_(pa.float64()))], [key, "vector"])
 
     return rows.select(key, column).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, vector array<double>")
 

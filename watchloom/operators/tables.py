@@ -16,15 +16,21 @@ def insert_new(target: DataFrame, rows: DataFrame, keys: list[str], *order: Colu
     return target.unionByName(latest(rows, keys, *order).join(target.select(*keys), keys, "left_anti"))
 
 
-def insert_with_parent(target: DataFrame, rows: DataFrame, key: str, parent: DataFrame, ref: str, parent_key: str) -> DataFrame:
-    """``target`` and those of ``rows`` that have a parent and whose key is new."""
-    has = rows.join(parent.select(F.col(parent_key).alias(ref)), ref, "left_semi").select(*rows.columns)
+def _order(rows: DataFrame, keys: list[str], order: tuple[Column, ...]) -> list[Column]:
+    """``order``, or all columns that aren't keys."""
+    return list(order) or [F.col(c) for c in rows.columns if c not in keys] or [F.lit(0)]
+
+
+def insert_with_parent(target: DataFrame, rows: DataFrame, key: str, parent: DataFrame, ref: str, parent_key: str, *order: Column) -> DataFrame:
+    """``target`` and those of ``rows`` that have a parent and whose key is new, the first of each key."""
+    has = latest(rows, [key], *_order(rows, [key], order)).join(parent.select(F.col(parent_key).alias(ref)), ref, "left_semi").select(*rows.columns)
     return target.unionByName(has.join(target.select(key), key, "left_anti").select(*rows.columns))
 
 
-def upsert(target: DataFrame, rows: DataFrame, keys: list[str], change: list[str]) -> DataFrame:
-    """``target`` with the columns ``change`` of rows that meet a key, and the rows that meet none."""
-    t, r = target.alias("t"), rows.withColumn("_new", F.lit(True)).alias("r")
+def upsert(target: DataFrame, rows: DataFrame, keys: list[str], change: list[str], *order: Column) -> DataFrame:
+    """``target`` with the columns ``change`` of rows that meet a key, and the rows that meet none; of
+    several rows with a key the first in ``order``."""
+    t, r = target.alias("t"), latest(rows, keys, *_order(rows, keys, order)).withColumn("_new", F.lit(True)).alias("r")
     both = t.join(r, [F.col(f"t.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], "full_outer")
     met = F.col("r._new").isNotNull() & F.coalesce(*[F.col(f"t.{k}").isNotNull() for k in keys])
     columns = []

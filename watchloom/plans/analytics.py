@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from watchloom.functions import geometry
 from watchloom.functions.scalar import micros, seconds, uuid5
 from watchloom.operators import rules, windows
+from watchloom.operators.health import health_scores
 from watchloom.plans.registry import Tables, query
 
 K = "json_extract_string(props, '$.k')::INT"
@@ -28,9 +29,9 @@ def agg_group_count(t: Tables):
     return t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("agg_group_list", "SELECT user_id, list(event_type ORDER BY event_id) AS kinds FROM events WHERE event_id < 2000 GROUP BY 1")
+@query("agg_group_list", "SELECT user_id, list(event_type ORDER BY event_id) AS kinds FROM events GROUP BY 1")
 def agg_group_list(t: Tables):
-    return t.events.filter("event_id < 2000").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("kinds"))
+    return t.events.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("kinds"))
 
 
 @query("agg_span", "SELECT user_id, epoch_us(max(ts)) - epoch_us(min(ts)) AS dwell_us, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
@@ -109,17 +110,17 @@ def window_tumbling(t: Tables):
     return t.events.groupBy(F.window("ts", "10 minutes").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select("w.start", "event_type", "n")
 
 
-@query("window_sliding_clips", "WITH e AS (SELECT (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 AS s FROM events WHERE event_id < 3000), k AS (SELECT unnest(generate_series(greatest(0, floor((s - 30) / 25) + 1)::BIGINT, floor(s / 25)::BIGINT)) AS clip FROM e) SELECT clip, count(*) AS n FROM k GROUP BY 1")
+@query("window_sliding_clips", "WITH e AS (SELECT (epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1e6 AS s FROM events), k AS (SELECT unnest(generate_series(greatest(0, floor((s - 30) / 25) + 1)::BIGINT, floor(s / 25)::BIGINT)) AS clip FROM e) SELECT clip, count(*) AS n FROM k GROUP BY 1")
 def window_sliding_clips(t: Tables):
     """Clips of 30 s every 25 s that hold each event."""
     start = F.timestamp_diff("MICROSECOND", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) / 1e6
-    return t.events.filter("event_id < 3000").select(F.explode(windows.clips_of(start, 30, 25)).alias("clip")).groupBy("clip").agg(F.count(F.lit(1)).alias("n"))
+    return t.events.select(F.explode(windows.clips_of(start, 30, 25)).alias("clip")).groupBy("clip").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("window_sliding_ai", "WITH s AS (SELECT o_orderkey AS id, round(o_totalprice / 1000, 3) AS d, o_orderkey % 2 AS i FROM orders WHERE o_orderkey < 2000), c AS (SELECT id, d, i, (unnest(generate_series(0, greatest(ceil((d - 5) / 2), 0)::BIGINT)) * 2)::DOUBLE AS a FROM s WHERE d > 0), w AS (SELECT id, i, a AS start, round(least(a + 5, d), 3) AS stop FROM c WHERE a < d) SELECT id, start, stop FROM w WHERE stop > CASE WHEN i > 0 THEN 5 ELSE 0 END")
+@query("window_sliding_ai", "WITH s AS (SELECT o_orderkey AS id, round(o_totalprice / 1000, 3) AS d, o_orderkey % 2 AS i FROM orders), c AS (SELECT id, d, i, (unnest(generate_series(0, greatest(ceil((d - 5) / 2), 0)::BIGINT)) * 2)::DOUBLE AS a FROM s WHERE d > 0), w AS (SELECT id, i, a AS start, round(least(a + 5, d), 3) AS stop FROM c WHERE a < d) SELECT id, start, stop FROM w WHERE stop > CASE WHEN i > 0 THEN 5 ELSE 0 END")
 def window_sliding_ai(t: Tables):
     """Windows of 5 s every 2 s of segments, less those that end within the overlap."""
-    s = t.orders.filter("o_orderkey < 2000").select(F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") / 1000, 3).alias("d"), (F.col("o_orderkey") % 2).alias("i"))
+    s = t.orders.select(F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") / 1000, 3).alias("d"), (F.col("o_orderkey") % 2).alias("i"))
     return s.select("id", F.inline(windows.new_windows(windows.window_bounds(F.col("d"), 5, 2), 5, F.col("i"))).alias("start", "stop"))
 
 
@@ -234,9 +235,9 @@ def geo_zone_attribution(t: Tables):
     return j.select("event_id", F.coalesce(found, F.array().cast("array<string>")).alias("zone_types"))
 
 
-@query("geo_box_overlap", f"WITH b AS (SELECT event_id, value / 500 AS x, {K} / 100 AS y FROM events), p AS (SELECT event_id, x, y, lead(x) OVER (ORDER BY event_id) AS x2, lead(y) OVER (ORDER BY event_id) AS y2 FROM b WHERE event_id < 500), o AS (SELECT event_id, greatest(least(x + 0.3, x2 + 0.3) - greatest(x, x2), 0) * greatest(least(y + 0.4, y2 + 0.4) - greatest(y, y2), 0) AS i, x, y, x2, y2 FROM p WHERE x2 IS NOT NULL) SELECT event_id, round(i / (0.24 - i), 9) AS iou, round(sqrt((x - x2) * (x - x2) + (y - y2) * (y - y2)), 9) AS distance FROM o")
+@query("geo_box_overlap", f"WITH b AS (SELECT event_id, value / 500 AS x, {K} / 100 AS y FROM events), p AS (SELECT event_id, x, y, lead(x) OVER (ORDER BY event_id) AS x2, lead(y) OVER (ORDER BY event_id) AS y2 FROM b), o AS (SELECT event_id, greatest(least(x + 0.3, x2 + 0.3) - greatest(x, x2), 0) * greatest(least(y + 0.4, y2 + 0.4) - greatest(y, y2), 0) AS i, x, y, x2, y2 FROM p WHERE x2 IS NOT NULL) SELECT event_id, round(i / (0.24 - i), 9) AS iou, round(sqrt((x - x2) * (x - x2) + (y - y2) * (y - y2)), 9) AS distance FROM o")
 def geo_box_overlap(t: Tables):
-    b = t.events.filter("event_id < 500").select("event_id", F.array(F.col("value") / 500, k_of() / 100, F.lit(0.3), F.lit(0.4)).alias("a"))
+    b = t.events.select("event_id", F.array(F.col("value") / 500, k_of() / 100, F.lit(0.3), F.lit(0.4)).alias("a"))
     p = b.join(b.select((F.col("event_id") - 1).alias("n"), F.col("a").alias("b")), F.col("event_id") == F.col("n"))
     return p.select("event_id", F.round(geometry.iou(F.col("a"), F.col("b")), 9).alias("iou"), F.round(geometry.centroid_distance(F.col("a"), F.col("b")), 9).alias("distance"))
 
@@ -261,12 +262,10 @@ def geo_parse_boxes(t: Tables):
     return t.benchmark.select("item_id", F.transform(boxes, lambda b: F.transform(b, lambda v: F.round(v, 9))).alias("boxes"))
 
 
-@query("geo_camera_health", "WITH f AS (SELECT user_id, avg(value) AS mean, var_pop(value) AS lap FROM events GROUP BY 1) SELECT user_id, round(least(1, mean / 255) * least(1, lap / 100) * 1.0 * (1 - (mean < 15)::INT), 3) AS health FROM f")
+@query("geo_camera_health", f"WITH s AS (SELECT user_id, event_id, least(value, 255) AS luma, {K} * 4 AS sharp FROM events), d AS (SELECT *, abs(luma - lag(luma) OVER (PARTITION BY user_id ORDER BY event_id)) AS moved FROM s), f AS (SELECT user_id, avg(luma) AS light, avg((luma < 15)::INT) AS black, 1 - least(1, avg(sharp) / 100) AS blur, CASE WHEN count(*) = 1 THEN 0.5 WHEN avg(moved) < 0.5 THEN 1 ELSE greatest(0, 1 - avg(moved) / 5) END AS still FROM d GROUP BY 1) SELECT user_id, round(black, 3) AS black_frame_score, round(blur, 3) AS blur_score, round(still, 3) AS freeze_score, round(greatest(0, least(1, least(1, light / 40) * (1 - blur) * (1 - still) * (1 - black))), 3) AS health_score FROM f")
 def geo_camera_health(t: Tables):
-    """Brightness, blur and blackness of a camera's frames as one score."""
-    f = t.events.groupBy("user_id").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("lap"))
-    blur = 1 - F.least(F.lit(1.0), F.col("lap") / 100)
-    return f.select("user_id", F.round(F.least(F.lit(1.0), F.col("mean") / 255) * (1 - blur) * (1 - (F.col("mean") < 15).cast("int")), 3).alias("health"))
+    samples = t.events.select(F.col("user_id").alias("camera"), F.col("event_id").alias("at"), F.least("value", F.lit(255.0)).alias("luma"), (k_of() * 4).alias("sharpness"))
+    return health_scores(samples).withColumnRenamed("camera", "user_id")
 
 
 @query("geo_motion_fraction", "SELECT user_id, avg((abs(value - p) > 25)::INT) AS changed FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p IS NOT NULL GROUP BY 1")

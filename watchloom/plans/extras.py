@@ -24,9 +24,9 @@ def read_range_average(t: Tables):
     return t.events.filter(F.col("ts").between(at("2024-01-05 00:00:00"), at("2024-01-20 00:00:00"))).groupBy("event_type").agg(F.avg("value").alias("mean"), F.max_by("value", F.struct("ts", "event_id")).alias("latest"))
 
 
-@query("model_detections", "SELECT event_id AS id, value + 0.5 AS frame_time_sec, unnest(['person', 'item']) AS label, unnest([0.92, 0.71])::DOUBLE AS confidence FROM events WHERE event_id < 500")
+@query("model_detections", "SELECT event_id AS id, value + 0.5 AS frame_time_sec, unnest(['person', 'item']) AS label, unnest([0.92, 0.71])::DOUBLE AS confidence FROM events")
 def model_detections(t: Tables):
-    return inference.stand_in_detections(t.events.filter("event_id < 500").select(F.col("event_id").alias("id"), F.col("value").alias("start"))).drop("bbox")
+    return inference.stand_in_detections(t.events.select(F.col("event_id").alias("id"), F.col("value").alias("start"))).drop("bbox")
 
 
 @query("model_verdicts", "SELECT event_id, 'unclear' AS verdict, 0.5::DOUBLE AS confidence FROM events WHERE event_type = 'error'")
@@ -39,12 +39,12 @@ def model_prompts(t: Tables):
     return t.events.select("event_id", inference.prompt(F.col("event_type"), F.concat(F.lit("cam"), F.col("user_id").cast("string")), F.array(F.lit("shelf"))).alias("prompt"))
 
 
-@query("model_answers", "SELECT event_id, 'confirmed' AS verdict, value / 500 AS confidence, user_id % 3 <> 2 AS whole FROM events WHERE event_id < 1000 AND user_id % 4 <> 3 UNION ALL SELECT event_id, 'unclear', 0.5, user_id % 3 <> 2 FROM events WHERE event_id < 1000 AND user_id % 4 = 3")
+@query("model_answers", "SELECT event_id, 'suspicious' AS verdict, value / 500 AS confidence, user_id % 3 <> 2 AS whole FROM events WHERE user_id % 4 <> 3 UNION ALL SELECT event_id, 'unclear', 0.0, user_id % 3 <> 2 FROM events WHERE user_id % 4 = 3")
 def model_answers(t: Tables):
     """Answers that are fenced, cut short or junk, as fields."""
-    body = F.concat(F.lit('{"verdict": "confirmed", "confidence": '), (F.col("value") / 500).cast("string"), F.lit(', "observed_actions": ["a"'))
+    body = F.concat(F.lit('{"verdict": "Suspicious", "confidence": '), (F.col("value") / 500).cast("string"), F.lit(', "observed_actions": ["a"'))
     text = F.when(F.col("user_id") % 4 == 3, "no answer").when(F.col("user_id") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("]}\n```"))).when(F.col("user_id") % 3 == 1, F.concat(body, F.lit(")}"))).otherwise(body)
-    a = t.events.filter("event_id < 1000").withColumn("a", answer(text))
+    a = t.events.withColumn("a", answer(text))
     return a.select("event_id", "a.verdict", "a.confidence", (F.col("user_id") % 3 != 2).alias("whole"))
 
 
@@ -104,11 +104,11 @@ def decode_savings(t: Tables, queries: int = 21):
     return t.events.groupBy("user_id").agg((n * queries).alias("separate"), n.alias("shared"), (n * (queries - 1)).alias("saved"))
 
 
-@query("track_upsert", "WITH a AS (SELECT user_id, min(event_id) AS first_seen, max(event_id) AS last_seen FROM events WHERE event_id < 1000 GROUP BY 1), b AS (SELECT user_id, min(event_id) AS f, max(event_id) AS l FROM events WHERE event_id >= 1000 AND event_id < 1500 GROUP BY 1) SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(first_seen, f) AS first_seen, coalesce(l, last_seen) AS last_seen FROM a FULL OUTER JOIN b ON a.user_id = b.user_id")
+@query("track_upsert", "WITH a AS (SELECT user_id, min(event_id) AS first_seen, max(event_id) AS last_seen FROM events WHERE event_id < 1000 GROUP BY 1), b AS (SELECT user_id, min(event_id) AS f, max(event_id) AS l FROM events WHERE event_id >= 1000 GROUP BY 1) SELECT coalesce(a.user_id, b.user_id) AS user_id, coalesce(first_seen, f) AS first_seen, coalesce(l, last_seen) AS last_seen FROM a FULL OUTER JOIN b ON a.user_id = b.user_id")
 def track_upsert(t: Tables):
     """Tracks that are known are seen later; others come in."""
     seen = lambda rows: rows.groupBy("user_id").agg(F.min("event_id").alias("first_seen"), F.max("event_id").alias("last_seen"))
-    return tables.upsert(seen(t.events.filter("event_id < 1000")), seen(t.events.filter("event_id >= 1000 AND event_id < 1500")), ["user_id"], ["last_seen"])
+    return tables.upsert(seen(t.events.filter("event_id < 1000")), seen(t.events.filter("event_id >= 1000")), ["user_id"], ["last_seen"])
 
 
 @query("evidence_model_version", "SELECT c.conv_id, coalesce(arg_max(CASE WHEN role = 'assistant' THEN text END, turn) FILTER (role = 'assistant'), arg_max(text, turn)) AS version FROM conversations c GROUP BY 1")

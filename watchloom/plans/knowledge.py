@@ -87,8 +87,7 @@ def search_knn(t: Tables):
 
 @query("search_metadata_filter", "SELECT event_id, event_type, ts FROM events WHERE event_type IN ('error', 'purchase') AND user_id < 50 ORDER BY ts DESC, event_id LIMIT 200")
 def search_metadata_filter(t: Tables):
-    wanted = search.parse_request("who bought or failed")["kinds"]
-    return t.events.filter(F.col("event_type").isin(wanted) & (F.col("user_id") < 50)).orderBy(F.desc("ts"), "event_id").limit(200).select("event_id", "event_type", "ts")
+    return t.events.filter(F.col("event_type").isin("error", "purchase") & (F.col("user_id") < 50)).orderBy(F.desc("ts"), "event_id").limit(200).select("event_id", "event_type", "ts")
 
 
 @query("search_fused", f"""WITH v AS (SELECT vec_id AS id, greatest(0, list_cosine_similarity(embedding::DOUBLE[], {COS})) AS vector FROM embeddings),
@@ -105,25 +104,42 @@ def search_fused(t: Tables):
     return search.rerank(search.fuse(c), ["the", "with", "from", "this", "errors"], 20, "id").select("id", "score")
 
 
-@query("search_request_kinds", "SELECT item_id, list_sort(list_filter([CASE WHEN regexp_matches(lower(text), 'error|fail|broken') THEN 'error' END, CASE WHEN regexp_matches(lower(text), 'b(?:uy|ought)|purchase|paid') THEN 'purchase' END, CASE WHEN regexp_matches(lower(text), 'look|view|watch') THEN 'view' END, CASE WHEN regexp_matches(lower(text), 'click|touch|pick') THEN 'click' END, CASE WHEN regexp_matches(lower(text), 'sign|join') THEN 'signup' END], lambda x: x IS NOT NULL)) AS kinds FROM benchmark")
+REQUEST = "CASE item_id % 5 WHEN 0 THEN 'show a person who picked an item and walked away ' WHEN 1 THEN 'camera black near the EXIT ' WHEN 2 THEN 'who left without paying at the till ' WHEN 3 THEN 'bags by the shelf, came in ' ELSE '' END || text"
+_CASE = lambda pattern, value: f"CASE WHEN regexp_matches(q, '{pattern}') THEN {value} END"
+
+
+@query("search_request_kinds", f"""WITH r AS (SELECT item_id, lower({REQUEST}) AS q FROM benchmark),
+p AS (SELECT item_id, q,
+  {_CASE("without (billing|paying|scan|checkout)|skip(ped)? (the )?(bill|counter)|not (pay|bill)|missing billing|bypass|walk(ed|s|ing)? away|left without", "['possible_billing_bypass', 'possible_loss', 'billing_bypass']")} AS a,
+  {_CASE("pick(ed|s|ing)?( up)?|took|grab(bed|s|bing)?|interact|touch(ed|ing)?|remov(e|ed|ing)|put (it )?in (a )?(bag|pocket)", "['suspicious_item_interaction']")} AS b,
+  {_CASE("camera (block|cover|down|black|frozen|tamper)|obscured|blind", "['camera_health_issue']")} AS c,
+  list_filter(['item', 'product', 'bottle', 'box', 'bag', 'handbag', 'backpack', 'goods', 'merchandise'], lambda w: regexp_matches(q, '\\b' || w || 's?\\b')) AS objects,
+  list_filter([{_CASE(r"\bexit\b|left the store|out the door|walked out", "'exit'")}, {_CASE(r"\bentry\b|entered|came in", "'entry'")}, {_CASE(r"\bshelf|aisle|rack", "'shelf'")}, {_CASE(r"\bbilling|counter|checkout|cashier|till", "'billing_counter'")}], lambda z: z IS NOT NULL) AS routes FROM r)
+SELECT item_id, list_sort(list_distinct(list_concat(coalesce(a, []), coalesce(b, []), coalesce(c, []), CASE WHEN len(objects) > 0 AND regexp_matches(q, 'walk(ed|s|ing)? away|left|away') THEN ['possible_billing_bypass', 'possible_loss'] ELSE [] END))) AS kinds, routes, objects FROM p""")
 def search_request_kinds(t: Tables):
-    return t.benchmark.select("item_id", search.request_kinds(F.col("text")).alias("kinds"))
+    """Requests of several wordings as kinds of event, zones and things."""
+    said = ("show a person who picked an item and walked away ", "camera black near the EXIT ", "who left without paying at the till ", "bags by the shelf, came in ", "")
+    prefix = F.element_at(F.array(*[F.lit(x) for x in said]), (F.col("item_id") % 5 + 1).cast("int"))
+    return t.benchmark.select("item_id", search.request_columns(F.concat(prefix, "text")).alias("r")).select("item_id", "r.kinds", "r.routes", "r.objects")
 
 
-@query("search_text_repr_events", "SELECT event_id, event_type || ' at cam' || user_id || CASE WHEN event_type = 'view' THEN ' [shelf]' ELSE '' END || ' objects: person' || CASE WHEN value > 400 THEN ' severity=high' ELSE '' END AS text FROM events")
+@query("search_text_repr_events", "SELECT event_id, 'seen_' || event_type || ' at cam' || user_id || CASE WHEN event_type = 'view' THEN ' [shelf]' ELSE '' END || ' objects: person' || CASE WHEN value > 400 THEN ' severity=high' ELSE '' END AS text FROM events")
 def search_text_repr_events(t: Tables):
     z = F.when(F.col("event_type") == "view", F.array(F.lit("shelf"))).otherwise(F.array().cast("array<string>"))
-    return t.events.select("event_id", describe_event(F.col("event_type"), F.concat(F.lit("cam"), F.col("user_id").cast("string")), z, F.array(F.lit("person")), F.when(F.col("value") > 400, "high").otherwise("info")).alias("text"))
+    return t.events.select("event_id", describe_event(F.concat(F.lit("seen_"), F.col("event_type")), F.concat(F.lit("cam"), F.col("user_id").cast("string")), z, F.array(F.lit("person")), F.when(F.col("value") > 400, "high").otherwise("info")).alias("text"))
 
 
-@query("search_text_repr_observations", "SELECT conv_id, turn, role || '; ' || left(text, 400) AS text FROM conversations WHERE text <> ''")
+@query("search_text_repr_observations", "SELECT conv_id, turn, 'verdict: ' || role || CASE WHEN turn % 2 = 0 THEN ' actions: look, take' ELSE '' END || CASE WHEN text <> '' THEN ' ' || left(text, 400) ELSE '' END AS text FROM conversations")
 def search_text_repr_observations(t: Tables):
-    return t.conversations.filter("text <> ''").select("conv_id", "turn", describe_observation(F.col("role"), F.lit(None).cast("string"), F.array().cast("array<string>"), F.col("text")).alias("text"))
+    acts = F.when(F.col("turn") % 2 == 0, F.array(F.lit("look"), F.lit("take"))).otherwise(F.array().cast("array<string>"))
+    return t.conversations.select("conv_id", "turn", describe_observation(F.col("role"), F.lit(None).cast("string"), acts, F.col("text")).alias("text"))
 
 
-@query("search_hash_vectors")
+@query("search_hash_vectors", """WITH h AS (SELECT item_id, list_aggregate([sha256('text:' || text || '|' || i) for i in range(48)], 'string_agg', '') AS h FROM benchmark),
+v AS (SELECT item_id, [('0x' || substr(h, 4 * j + 1, 4))::BIGINT / 65535 * 2 - 1 for j in range(768)] AS v FROM h)
+SELECT item_id, [round(x / sqrt(list_sum([y * y for y in v])), 9) for x in v] AS vector FROM v""")
 def search_hash_vectors(t: Tables):
-    return search.hash_vectors(t.benchmark, "item_id", "text")
+    return search.hash_vectors(t.benchmark, "item_id", "text").select("item_id", F.transform("vector", lambda x: F.round(x, 9)).alias("vector"))
 
 
 @query("search_projection")
@@ -144,10 +160,10 @@ def infer_once_per_key(t: Tables):
     return t.events.join(keys, F.col("event_type") == F.col("k")).select("event_id", "verdict")
 
 
-@query("evidence_timeline", "SELECT 'turn' AS kind, conv_id AS id, NULL::TIMESTAMP AS at, turn AS sub FROM conversations UNION ALL SELECT 'event', event_id, ts, 0 FROM events WHERE event_id < 1000")
+@query("evidence_timeline", "SELECT 'turn' AS kind, conv_id AS id, NULL::TIMESTAMP AS at, turn AS sub FROM conversations UNION ALL SELECT 'event', event_id, ts, 0 FROM events")
 def evidence_timeline(t: Tables):
     """Events and observations in one order, those without a time last."""
-    a = t.events.filter("event_id < 1000").select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.col("ts").alias("at"), F.lit(0).cast("long").alias("sub"))
+    a = t.events.select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), F.col("ts").alias("at"), F.lit(0).cast("long").alias("sub"))
     b = t.conversations.select(F.lit("turn").alias("kind"), F.col("conv_id").alias("id"), F.lit(None).cast("timestamp_ntz").alias("at"), F.col("turn").cast("long").alias("sub"))
     return a.unionByName(b).orderBy(F.col("at").asc_nulls_last(), "kind", "id", "sub")
 
@@ -182,50 +198,80 @@ def evidence_audit_append(t: Tables):
     return t.conversations.filter("turn = 0").select("conv_id", F.array_append(F.array("role"), F.lit("approve")).alias("log"))
 
 
-LINES = "SELECT epoch_us(ts) / 1e6 AS s, event_id AS o, strftime(ts, '%H:%M:%S') || ' cam' || user_id || ': ' || event_type AS line FROM events WHERE event_type IN ('error', 'purchase')"
+LINES = f"SELECT epoch_us(ts) / 1e6 AS s, event_id AS o, 'cam' || user_id % 4 AS camera, strftime(ts, '%H:%M:%S') || ' cam' || user_id % 4 || ': ' || event_type || ' seen' || CASE WHEN {K} % 2 = 0 THEN ' near shelf, exit' ELSE '' END || ' (objects: person)' || CASE WHEN {K} % 3 = 0 THEN ' — VLM: took ' || {K} WHEN {K} % 3 = 1 THEN ' — VLM verdict: benign' ELSE '' END AS line FROM events WHERE event_type IN ('error', 'purchase')"
+MODE = "loss_prevention"
 
 
-def _fold_sql(level: str, source: str, span: int) -> str:
-    return f"SELECT floor(s / {span})::BIGINT AS bucket, list(line ORDER BY o) AS items FROM {source} GROUP BY 1"
+def _fold_sql(level: str, lead: str, source: str, bucket: str, order: str, camera: str) -> str:
+    rows = f"SELECT {bucket} AS bucket, list(line ORDER BY {order}) AS items, {camera} AS camera FROM {source} GROUP BY 1"
+    if level == "clip":
+        body, scope = "array_to_string(items[1:4], '; ') || CASE WHEN len(items) > 4 THEN '; (+' || len(items) - 4 || ' more)' ELSE '' END", f"' [camera=' || camera || ', mode={MODE}]'"
+    else:
+        body, scope = f"'{lead}: ' || len(items) || ' sub-summaries. ' || items[1] || CASE WHEN len(items) > 1 THEN ' Other notable: ' || items[2] ELSE '' END", f"' [mode={MODE}]'"
+    return f"SELECT bucket, len(items)::INT AS n, {body} || {scope} || ' (sum:' || left(sha256(array_to_string(items, '|') || '#{level}'), 8) || ')' AS line FROM ({rows})"
 
 
-def _body(level: str, source: str, span: int) -> str:
-    return f"SELECT bucket, len(items) AS n, '{level}: ' || array_to_string(items[1:4], '; ') || ' (' || len(items) || ') [' || left(sha256(array_to_string(items, '|') || '#{level}'), 8) || ']' AS line, bucket * {span} AS s, bucket AS o FROM {source}"
+FOLD = f"""WITH e AS ({LINES}),
+c AS ({_fold_sql("clip", "", "e", "floor((s - (SELECT min(s) FROM e)) / 10)::BIGINT", "o", "arg_min(camera, o)")}),
+f AS ({_fold_sql("5min", "5-minute window", "c", "bucket * 10 // 300", "bucket", "''")}),
+h AS ({_fold_sql("hour", "1-hour window", "f", "bucket * 300 // 3600", "bucket", "''")}),
+r AS ({_fold_sql("report", "incident-aware report", "h", "0", "bucket", "''")})"""
 
 
-FOLD = f"WITH e AS ({LINES}), c0 AS ({_fold_sql('clip', 'e', 10)}), c AS ({_body('clip', 'c0', 10)}), f0 AS ({_fold_sql('five', 'c', 300)}), f AS ({_body('five', 'f0', 300)}), h0 AS ({_fold_sql('hour', 'f', 3600)}), h AS ({_body('hour', 'h0', 3600)})"
+def _suspicious(t: Tables):
+    """Events as a summary takes them."""
+    k, none = k_of(), F.array().cast("array<string>")
+    zones = F.when(k % 2 == 0, F.array(F.lit("shelf"), F.lit("exit"))).otherwise(none)
+    said = F.when(k % 3 == 0, F.concat(F.lit("took "), k.cast("string")))
+    e = t.events.filter(F.col("event_type").isin("error", "purchase"))
+    return e.select(
+        seconds("ts").alias("s"), "ts", F.col("event_id").alias("order"), F.concat(F.lit("cam"), (F.col("user_id") % 4).cast("string")).alias("camera"), F.concat("event_type", F.lit("_seen")).alias("kind"),
+        zones.alias("zones"), F.when(k % 3 == 1, "benign").alias("verdict"), said.alias("explanation"), F.when(k % 5 == 0, F.array(F.lit("billing footage"))).alias("missing"))
 
 
 def _staged(t: Tables):
-    e = t.events.filter(F.col("event_type").isin("error", "purchase"))
-    line = summary.caption(F.col("ts"), F.concat(F.lit("cam"), F.col("user_id").cast("string")), F.col("event_type"))
-    return summary.staged(e.select(seconds("ts").alias("s"), F.col("event_id").alias("order"), line.alias("line")))
+    line = summary.caption(F.col("ts"), F.col("camera"), F.col("kind"), F.col("zones"), F.array(F.lit("person")), F.col("verdict"), F.col("explanation"))
+    return summary.staged(_suspicious(t).withColumn("line", line), MODE)
 
 
-@query("summary_clips", f"{FOLD} SELECT bucket, n::INT AS n, line FROM c")
+@query("summary_clips", f"{FOLD} SELECT bucket, n, line FROM c")
 def summary_clips(t: Tables):
-    return _staged(t)["clip"].select("bucket", "n", "line")
+    return _staged(t)["clip"]
 
 
-@query("summary_five_minutes", f"{FOLD} SELECT bucket, n::INT AS n, line FROM f")
+@query("summary_five_minutes", f"{FOLD} SELECT bucket, n, line FROM f")
 def summary_five_minutes(t: Tables):
-    return _staged(t)["five"].select("bucket", "n", "line")
+    return _staged(t)["5min"]
 
 
-@query("summary_hours", f"{FOLD} SELECT bucket, n::INT AS n, line FROM h")
+@query("summary_hours", f"{FOLD} SELECT bucket, n, line FROM h")
 def summary_hours(t: Tables):
-    return _staged(t)["hour"].select("bucket", "n", "line")
+    return _staged(t)["hour"]
+
+
+@query("summary_report", f"{FOLD} SELECT n, line FROM r")
+def summary_report(t: Tables):
+    return _staged(t)["report"]
 
 
 @query("summary_stats", f"{FOLD} SELECT (SELECT count(*) FROM c) AS clips, (SELECT count(*) FROM f) AS fives, (SELECT count(*) FROM h) AS hours")
 def summary_stats(t: Tables):
-    count = lambda s: t.events.filter(F.col("event_type").isin("error", "purchase")).agg(F.countDistinct(F.floor(F.floor(seconds("ts") / 10) * 10 / s)))
-    return count(10).toDF("clips").withColumns({"fives": count(300).scalar(), "hours": count(3600).scalar()})
+    e = _suspicious(t)
+    clip = F.floor((F.col("s") - e.agg(F.min("s")).scalar()) / 10)
+    count = lambda span: F.countDistinct(F.floor(F.col("clip") * 10 / span))
+    return e.select(clip.alias("clip")).agg(count(10).alias("clips"), count(300).alias("fives"), count(3600).alias("hours"))
+
+
+@query("summary_timeline", f"SELECT strftime(ts, '%H:%M:%S') AS time, 'cam' || user_id % 4 AS camera, CASE WHEN {K} % 3 = 0 THEN 'took ' || {K} ELSE event_type || ' seen' || CASE WHEN {K} % 2 = 0 THEN ' near shelf, exit' ELSE '' END END AS event, event_id AS evidence_segment_id FROM events WHERE event_type IN ('error', 'purchase')")
+def summary_timeline(t: Tables):
+    """The suspicious moments of a report."""
+    e = _suspicious(t)
+    return e.select(F.date_format("ts", "HH:mm:ss").alias("time"), "camera", summary.moment(F.col("kind"), F.col("zones"), F.col("explanation")).alias("event"), F.col("order").alias("evidence_segment_id"))
 
 
-@query("summary_open_questions", "SELECT event_type AS question, min(event_id) AS first FROM events WHERE value > 480 GROUP BY 1 ORDER BY 2")
+@query("summary_open_questions", f"WITH e AS (SELECT event_id AS o, strftime(ts, '%H:%M') AS clock, 'cam' || user_id % 4 AS camera, {K} AS k FROM events WHERE event_type IN ('error', 'purchase')), c AS (SELECT list(DISTINCT camera ORDER BY camera) AS cs FROM e), q AS (SELECT o, 'Around ' || clock || ' on ' || camera || ': obtain billing footage.' AS question FROM e WHERE k % 5 = 0 UNION ALL SELECT o, 'Check ' || array_to_string(list_filter(cs, lambda x: x <> camera), ', ') || ' for the same person around ' || clock || ' (suspicious activity on ' || camera || ').' FROM e, c WHERE len(cs) > 1) SELECT question, min(o) AS first FROM q GROUP BY 1")
 def summary_open_questions(t: Tables):
-    return summary.open_questions(t.events.filter("value > 480").select(F.col("event_type").alias("question"), F.col("event_id").alias("pos")))
+    return summary.open_questions(_suspicious(t))
 
 
 @query("summary_review_items", "SELECT coalesce(CASE WHEN user_id % 2 = 0 THEN user_id END, event_id) AS item, min(event_id) AS first FROM events WHERE event_type = 'error' AND value > 300 GROUP BY 1")
@@ -365,16 +411,21 @@ def gov_retention_apply(t: Tables):
     return tables.delete_where(t.events.select("event_id", "ts", "user_id"), gone, t.events.filter("event_type = 'signup' AND value > 100").select("user_id"), "user_id").select("event_id")
 
 
-@query("gov_redact", r"SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '://[^/\s:@]+:[^/\s@]+@', '://***:***@', 'g'), '(?i)bearer\s+[A-Za-z0-9._~+/-]+=*', 'Bearer ***', 'g'), 'hf_[A-Za-z0-9]{8,}', 'hf_***', 'g'), 'AKIA[0-9A-Z]{16}', 'AKIA***', 'g'), '(?i)(password|passwd|secret|token|api_key)(\s*[=:]\s*)[^\s,;]+', '\1\2***', 'g') AS text FROM documents")
+_MARKED = r"regexp_replace(regexp_replace({}, '(?i)([=:]\s*)(\S*\*\*\*REDACTED)', '\1' || chr(1) || '\2', 'g'), '(?i)([=:]\s*)(bearer)(\s|$)', '\1' || chr(1) || '\2\3', 'g')"
+_VALUES = r"""(?i)\b([\w.-]*(?:password|passwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth)[\w.-]*)\s*[=:]\s*("[^"]*"|''[^'']*''|[^\s\x01]\S*)"""
+
+
+# RE2 has no lookahead: values that stay as they are are marked before and unmarked after
+@query("gov_redact", r"WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '([a-zA-Z][\w+.-]*://)([^:/?#\s]+):([^@/?#\s]+)@', '\1\2:***REDACTED***@', 'g'), '(?i)\bbearer\s+[A-Za-z0-9._\-]+', 'Bearer ***REDACTED***', 'g'), '\bhf_[A-Za-z0-9]{10,}\b', '***REDACTED***', 'g'), '\b(sk|pk|key|tok)-[A-Za-z0-9_\-]{8,}\b', '***REDACTED***', 'g') AS x FROM documents) SELECT doc_id, replace(regexp_replace(" + _MARKED.format("x") + ", '" + _VALUES + r"', '\1=***REDACTED***', 'g'), chr(1), '') AS text FROM a")
 def gov_redact(t: Tables):
     return t.documents.select("doc_id", redact(F.col("text")).alias("text"))
 
 
-@query("gov_roles", "SELECT n_name, n_nationkey % 4 >= n_nationkey % 3 AS may FROM nation")
+@query("gov_roles", "WITH r(k, role_rank) AS (VALUES (0, 0), (1, 1), (2, 2), (3, NULL)), a(j, least_rank) AS (VALUES (0, 0), (1, 1), (2, 1), (3, 2), (4, 2), (5, 2), (6, NULL)) SELECT n_name, coalesce(role_rank >= least_rank, FALSE) AS may FROM nation JOIN r ON n_nationkey % 4 = k JOIN a ON n_nationkey % 7 = j")
 def gov_roles(t: Tables):
-    roles, acts = list(governance.RANKS), ["search", "approve", "replay"]
-    role = F.element_at(F.array(*[F.lit(r) for r in roles]), (F.col("n_nationkey") % 4 + 1).cast("int"))
-    act = F.element_at(F.array(*[F.lit(a) for a in acts]), (F.col("n_nationkey") % 3 + 1).cast("int"))
+    pick = lambda names: F.element_at(F.array(*[F.lit(x) for x in names]), (F.col("n_nationkey") % len(names) + 1).cast("int"))
+    role = pick(["viewer", "reviewer", "admin", "guest"])
+    act = pick(["read", "approve", "reject", "activate-profile", "retention", "backup", "purge"])
     return t.nation.select("n_name", governance.may(role, act).alias("may"))
 
 

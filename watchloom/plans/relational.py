@@ -118,10 +118,10 @@ def join_overlap(t: Tables):
     return overlap_join(s.filter("event_type = 'error'"), s.filter("event_type = 'purchase'"), ["user_id"], "a", "z", 3600).select("l_id", "r_id")
 
 
-@query("join_overlap_no_key", "WITH s AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) / 1e6 AS a, epoch_us(o_orderdate) / 1e6 + 7200 AS z FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 20 = 0) SELECT x.id AS l_id, y.id AS r_id FROM s x JOIN s y ON x.a <= y.z AND y.a <= x.z AND x.id < y.id")
+@query("join_overlap_no_key", "WITH s AS (SELECT o_orderkey AS id, epoch_us(o_orderdate) / 1e6 AS a, epoch_us(o_orderdate) / 1e6 + 7200 AS z FROM orders WHERE o_orderpriority = '1-URGENT') SELECT x.id AS l_id, y.id AS r_id FROM s x JOIN s y ON x.a <= y.z AND y.a <= x.z AND x.id < y.id")
 def join_overlap_no_key(t: Tables):
     """Closed intervals without a key: buckets keep it from comparing all pairs."""
-    s = t.orders.filter("o_orderpriority = '1-URGENT' AND o_custkey % 20 = 0").select(F.col("o_orderkey").alias("id"), seconds("o_orderdate").alias("a"), (seconds("o_orderdate") + 7200).alias("z"))
+    s = t.orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("id"), seconds("o_orderdate").alias("a"), (seconds("o_orderdate") + 7200).alias("z"))
     return overlap_join(s, s, [], "a", "z", 86400, closed=True).filter("l_id < r_id").select("l_id", "r_id")
 
 
@@ -224,7 +224,7 @@ def sink_insert_new(t: Tables):
     return tables.insert_new(c.filter("c_custkey % 2 = 0"), c.filter("c_custkey % 3 = 0"), ["c_custkey"], F.col("c_name"))
 
 
-@query("sink_insert_with_parent", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 4 = 0 UNION ALL SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 4 <> 0 AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+@query("sink_insert_with_parent", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 4 = 0 UNION ALL SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 4 <> 0 AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
 def sink_insert_with_parent(t: Tables):
     rows = t.lineitem.filter("l_linenumber = 1").select("l_orderkey", "l_linenumber")
     return tables.insert_with_parent(rows.filter("l_orderkey % 4 = 0"), rows, "l_orderkey", t.orders.filter("o_orderstatus = 'F'"), "l_orderkey", "o_orderkey")
@@ -257,7 +257,7 @@ def sink_exclusive_flag(t: Tables):
     return tables.activate(names, "n_name", wanted) if names.filter(F.col("n_name") == wanted).limit(1).count() else names.withColumn("active", F.lit(False))
 
 
-@query("sink_audit_redacted", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '***' ELSE role END AS val FROM conversations")
+@query("sink_audit_redacted", "SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN '***REDACTED***' ELSE role END AS val FROM conversations")
 def sink_audit_redacted(t: Tables):
     """Audit fields with secret names masked before they are written."""
     name = F.when(F.col("turn") % 2 == 0, "api_token").otherwise("role")

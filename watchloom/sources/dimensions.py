@@ -6,12 +6,14 @@ import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from watchloom.schemas import ZONES
 
 
-def from_json(spark: SparkSession, path: str, schema) -> DataFrame:
+def from_json(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """A configuration file of a list of records; a missing file is an empty table."""
+    schema = StructType.fromDDL(ddl)
     if not os.path.exists(path):
         return spark.createDataFrame([], schema)
     with open(path) as f:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +13,12 @@ from watchloom.functions.text import redact_fields
 NOT_RESULTS = ("summary.json", "fused.json", "economy.json")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder under the checkpoint folder, else the warehouse: both are shared with the executors."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def json_lines(spark: SparkSession, path: str, schema, tolerant: bool = True, limit: int | None = None) -> DataFrame:
     """A JSON-lines file or folder; blank lines are skipped, malformed ones dropped or an error."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").json(path)

@@ -54,10 +54,12 @@ class History:
         self.zones, self.latest_ts, self.latest_zones, self.health, self.fired = set(zones), lt, list(lz), health, set(fired)
 
     def add(self, e) -> None:
+        if e.ts is None or e.ts != e.ts:
+            return  # an event without a time proves nothing
         self.low, self.high = (min(self.low, e.ts), max(self.high, e.ts)) if self.n else (e.ts, e.ts)
         self.n += 1
         self.near |= bool(e.object_near_hand)
-        self.item |= any(o != "person" for o in e.objects)
+        self.item |= bool(e.has_item) or any(o != "person" for o in e.objects)
         self.zones |= set(e.zone_types)
         if e.ts >= self.latest_ts:
             self.latest_ts, self.latest_zones = e.ts, list(e.zone_types)
@@ -120,6 +122,15 @@ def drain(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", f
     stream.writeStream.format(fmt).outputMode(mode).option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def drain_last(stream: DataFrame, sink: str, checkpoint: str) -> None:
+    """Work off what is there; ``sink`` holds the whole result as of the last batch."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(sink)
+
+    stream.writeStream.foreachBatch(keep).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def with_dead_letters(work: Callable[[DataFrame], DataFrame], sink: str, dead: str) -> Callable[[DataFrame, int], None]:
     """A batch function: a batch that fails goes to ``dead`` whole, with its number and why; a batch that is run
     again replaces what it wrote."""
