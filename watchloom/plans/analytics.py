@@ -117,10 +117,10 @@ def window_sliding_clips(t: Tables):
     return t.events.select(F.explode(windows.clips_of(start, 30, 25)).alias("clip")).groupBy("clip").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("window_sliding_ai", "WITH s AS (SELECT o_orderkey AS id, round(o_totalprice / 1000, 3) AS d, o_orderkey % 2 AS i FROM orders), c AS (SELECT id, d, i, (unnest(generate_series(0, greatest(ceil((d - 5) / 2), 0)::BIGINT)) * 2)::DOUBLE AS a FROM s WHERE d > 0), w AS (SELECT id, i, a AS start, round(least(a + 5, d), 3) AS stop FROM c WHERE a < d) SELECT id, start, stop FROM w WHERE stop > CASE WHEN i > 0 THEN 5 ELSE 0 END")
+@query("window_sliding_ai", "WITH s AS (SELECT o_orderkey AS id, round(o_totalprice / 10000, 3) AS d, o_orderkey % 2 AS i FROM orders), c AS (SELECT id, d, i, (unnest(generate_series(0, greatest(ceil((d - 5) / 2), 0)::BIGINT)) * 2)::DOUBLE AS a FROM s WHERE d > 0), w AS (SELECT id, i, a AS start, round(least(a + 5, d), 3) AS stop FROM c WHERE a < d) SELECT id, start, stop FROM w WHERE stop > CASE WHEN i > 0 THEN 5 ELSE 0 END")
 def window_sliding_ai(t: Tables):
     """Windows of 5 s every 2 s of segments, less those that end within the overlap."""
-    s = t.orders.select(F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") / 1000, 3).alias("d"), (F.col("o_orderkey") % 2).alias("i"))
+    s = t.orders.select(F.col("o_orderkey").alias("id"), F.round(F.col("o_totalprice") / 10000, 3).alias("d"), (F.col("o_orderkey") % 2).alias("i"))
     return s.select("id", F.inline(windows.new_windows(windows.window_bounds(F.col("d"), 5, 2), 5, F.col("i"))).alias("start", "stop"))
 
 
