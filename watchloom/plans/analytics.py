@@ -9,7 +9,7 @@ from watchloom.functions import geometry
 from watchloom.functions.scalar import micros, seconds, uuid5
 from watchloom.operators import rules, windows
 from watchloom.operators.health import health_scores
-from watchloom.plans.registry import Tables, query
+from watchloom.plans.registry import Tables, query, uuid5_sql
 
 K = "json_extract_string(props, '$.k')::INT"
 
@@ -168,7 +168,7 @@ def rule_actions(t: Tables):
     return a.select("track", "rule_id", F.size("sources").cast("long").alias("n_sources"), F.when(F.size("zones") > 0, F.col("zones")).alias("zones"), "makes", "incident")
 
 
-@query("rule_action_ids")
+@query("rule_action_ids", f"""{HISTORY} SELECT track, rule_id, {uuid5_sql("rule_id || '|' || track || '|' || CASE rule_id WHEN 'possible_billing_bypass' THEN 'possible_loss' ELSE rule_id END")} AS id FROM f""")
 def rule_action_ids(t: Tables):
     """Name-based ids of the actions: the same whenever they are computed."""
     return rules.actions(subjects(t)).select("track", "rule_id", "id")
@@ -185,7 +185,7 @@ def rule_summary(t: Tables):
     return rules.first_firings(subjects(t)).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("id_uuid5")
+@query("id_uuid5", f"SELECT n_nationkey, {uuid5_sql("n_name || '|x'")} AS id FROM nation")
 def id_uuid5(t: Tables):
     return t.nation.select("n_nationkey", uuid5(F.concat_ws("|", "n_name", F.lit("x"))).alias("id"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from watchloom.functions.scalar import as_list, confidence, seconds
 from watchloom.functions.text import describe_event, describe_observation, redact, token_overlap
 from watchloom.operators import economics, fusion, governance, metrics, search, summary, tables, tracking
-from watchloom.plans.registry import Tables, query
+from watchloom.plans.registry import Tables, query, uuid5_sql
 
 K = "json_extract_string(props, '$.k')::INT"
 
@@ -69,10 +69,20 @@ def track_motion_gate(t: Tables):
     return tracking.motion_gate(t.events.select((F.col("user_id") % 20).alias("clip"), F.col("event_id").alias("frame"), (F.col("value") / 500).alias("level")))
 
 
-@query("track_hypotheses", f"WITH d AS (SELECT epoch_us(ts) // 3600000000 AS win, user_id AS track, CASE WHEN {K} % 4 = 0 THEN 'bag' WHEN {K} % 4 = 1 THEN 'bottle' ELSE 'person' END AS label, value / 500 AS c FROM events), i AS (SELECT win, max(c) AS item, list(DISTINCT label ORDER BY label) AS objects FROM d WHERE label <> 'person' GROUP BY 1), p AS (SELECT win, track, max(c) AS person FROM d WHERE label = 'person' GROUP BY 1, 2) SELECT win, track, round(least(person, item), 4) AS confidence, objects FROM p JOIN i USING (win)")
+SHOWN = f"SELECT epoch_us(ts) // 3600000000 AS win, 'cam' || user_id % 3 AS camera, event_id AS id, CASE WHEN user_id % 7 > 0 THEN 't' || user_id END AS track, CASE WHEN {K} % 4 = 0 THEN 'bag' WHEN {K} % 4 = 1 THEN 'bottle' ELSE 'person' END AS label, value / 500 AS c, event_type <> 'view' AS shelf FROM events"
+
+
+@query("track_hypotheses", f"""WITH d AS ({SHOWN}),
+i AS (SELECT win, camera, max(c) FILTER (label <> 'person') AS item, list(DISTINCT label ORDER BY label) AS objects, coalesce(list(DISTINCT track ORDER BY track) FILTER (label <> 'person' AND track IS NOT NULL), []) AS ts FROM d GROUP BY ALL),
+p AS (SELECT win, camera, coalesce(track, 'untracked') AS subject, any_value(track) AS track, arg_min(c, id) AS c FROM d WHERE label = 'person' AND shelf GROUP BY 1, 2, 3)
+SELECT {uuid5_sql("win || '|' || camera || '|suspicious_item_interaction|' || subject")} AS event_id, win, camera, track, round(least(c, item), 4) AS confidence, objects, list_concat(CASE WHEN track IS NULL THEN [] ELSE [track] END, ts) AS track_ids FROM p JOIN i USING (win, camera) WHERE item IS NOT NULL""")
 def track_hypotheses(t: Tables):
     label = F.when(k_of() % 4 == 0, "bag").when(k_of() % 4 == 1, "bottle").otherwise("person")
-    return tracking.hypotheses(t.events.select(F.floor(seconds("ts") / 3600).alias("win"), F.col("user_id").alias("track"), label.alias("label"), (F.col("value") / 500).alias("confidence")))
+    zones = F.when(F.col("event_type") != "view", F.array(F.lit("shelf"), F.lit("exit"))).otherwise(F.array(F.lit("exit")))
+    d = t.events.select(
+        F.floor(seconds("ts") / 3600).alias("win"), F.concat(F.lit("cam"), (F.col("user_id") % 3).cast("string")).alias("camera"), F.col("event_id").alias("id"),
+        F.when(F.col("user_id") % 7 > 0, F.concat(F.lit("t"), F.col("user_id").cast("string"))).alias("track"), label.alias("label"), (F.col("value") / 500).alias("confidence"), zones.alias("zone_types"))
+    return tracking.hypotheses(d)
 
 
 COS = "(SELECT embedding FROM embeddings WHERE vec_id = 0)::DOUBLE[]"

@@ -11,6 +11,12 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def uuid5_sql(name: str) -> str:
+    """SQL of the name-based UUID (version 5, URLs) of the text that the SQL ``name`` gives."""
+    digest = f"sha1('\\x6b\\xa7\\xb8\\x11\\x9d\\xad\\x11\\xd1\\x80\\xb4\\x00\\xc0\\x4f\\xd4\\x30\\xc8'::BLOB || encode({name}))"
+    return f"(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || translate(substr(h, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab') || substr(h, 18, 3) || '-' || substr(h, 21, 12) FROM (SELECT {digest} AS h))"
+
+
 class Tables:
     """The driver's tables of a directory, by name."""
 
