@@ -2,13 +2,19 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; its result is
 written as Parquet and read again. All but the last return the columns of ``documents``.
+
+Defined results: a null text, or one without a letter, goes at the first stage; very short texts stay there;
+an empty text can't come further. A document that loses all its lines goes, one that loses some keeps the
+others. Rows of equal ids are rows of their own in every stage; of equal texts the first by id stays, null
+ids last. Very long texts are taken whole. An empty table gives an empty result with the last stage's columns.
+Extra columns pass through to the last stage, whatever they are named.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from watchloom.llm.common import documents, materialize
+from watchloom.llm.common import discard, documents, materialize
 from watchloom.llm.language_id import in_known_language
 from watchloom.llm.line_dedup import without_repeated_lines
 from watchloom.llm.mixing import mixture
@@ -56,5 +62,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        done = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if hasattr(docs, "written_to"):  # the stage before's table has been read for the last time
+            discard(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -49,3 +49,13 @@ def test_run(spark, tmp_path):
     frame(spark, corpus(8, 60)).write.parquet(str(tmp_path / "documents.parquet"))
     out = CP.run(spark, str(tmp_path)).collect()
     assert out and all(r.decoded for r in out)
+
+
+def test_run_on_odd_tables(spark, tmp_path):
+    odd = [(1, None), (1, ""), (2, "12 34"), (None, "the kalo mi ten again"), (5, "some other words of one line"), (5, "some other words of one line"), (6, "lo " * 3000)]
+    extra = frame(spark, odd).selectExpr("*", "1 AS __row", "2 AS number", "'x' AS line", "3 AS kept", "4 AS digest")
+    extra.write.parquet(str(tmp_path / "odd" / "documents.parquet"))
+    got = [r.doc_id for r in CP.run(spark, str(tmp_path / "odd")).collect()]
+    assert set(got) == {None, 5, 6} and all(got.count(d) <= 2 for d in set(got))
+    frame(spark, []).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert CP.run(spark, str(tmp_path / "none")).collect() == []
