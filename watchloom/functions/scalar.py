@@ -25,15 +25,6 @@ def uuid5(name: Column, namespace: uuid.UUID = uuid.NAMESPACE_URL) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
-def clamp(x: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), x))
-
-
-def ratio(a: Column, b: Column) -> Column:
-    """a / b, null where b is 0."""
-    return F.when(b != 0, a / b)
-
-
 def first_present(*columns: Column | str) -> Column:
     """The first that is neither null nor empty."""
     return F.coalesce(*[F.nullif(c if isinstance(c, Column) else F.col(c), F.lit("")) for c in columns])

@@ -14,13 +14,6 @@ def hull_iou(a0: Column, a1: Column, b0: Column, b1: Column) -> Column:
     return F.when(hull > 0, inter / hull).otherwise(0.0)
 
 
-def best_spans(found: DataFrame, queries: DataFrame) -> DataFrame:
-    """For each query the longest sound span, of equals the lowest camera's; queries without one stay."""
-    sound = found.filter("format_ok AND start IS NOT NULL").withColumn("length", F.col("end") - F.col("start"))
-    best = sound.groupBy("query").agg(F.max_by(F.struct("camera", "start", "end"), F.struct("length", -F.col("camera"))).alias("b"))
-    return queries.join(best, "query", "left").select("query", "b.camera", "b.start", "b.end")
-
-
 def like(a: set, b: set) -> bool:
     return bool(a and b) and len(a & b) / max(len(a), len(b)) >= 0.5
 

@@ -33,11 +33,6 @@ def new_windows(windows: Column, overlap: float, index: Column) -> Column:
     return F.filter(windows, lambda w: w["end"] > skip)
 
 
-def bucket(t: Column, origin: Column, span: float) -> Column:
-    """Number of the bucket of ``span`` seconds since ``origin``; a missing time is in the first."""
-    return F.coalesce(F.floor((t - origin) / span), F.lit(0)).cast("long")
-
-
 def sessions(df: DataFrame, key: str, t: str, gap: float, order: str) -> DataFrame:
     """``df`` with ``session``: the number of the run without a gap of more than ``gap`` seconds."""
     w = Window.partitionBy(key).orderBy(t, order)

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from watchloom.functions.scalar import seconds
 from watchloom.operators.rules import RULES, Rule
 
 
@@ -142,7 +141,3 @@ def with_dead_letters(work: Callable[[DataFrame], DataFrame], sink: str, dead: s
             batch.withColumns({"why": F.lit(str(e)[:500])}).write.mode("overwrite").parquet(f"{dead}/batch={number}")
 
     return run
-
-
-def event_seconds(events: DataFrame) -> DataFrame:
-    return events.withColumn("s", seconds("ts"))
