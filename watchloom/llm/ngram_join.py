@@ -37,6 +37,8 @@ BLOCK = 64
 #: N-grams of a block on average, so that a unit's memory has a bound in bytes too.
 GRAMS = 1 << 20
 COLUMNS = 8192
+#: Rows that pass between Spark and Python at once, since texts and sets may be long.
+FEW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "512"}
 
 
 def banding(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MOST_HASHES) -> tuple[int, int]:
@@ -238,7 +240,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     bands, rows = banding(threshold, recall)
     own = docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
     found = own.withColumn("s", sketch_column(F.col("doc.text"), words, bands, rows)).select("doc", "row", "s.digest", "s.n", "s.bands")
-    table = materialize(found, "ngrams")
+    table = materialize(found, "ngrams", FEW)
     best = F.struct(F.col("doc.doc_id").isNull().alias("no"), F.col("doc.doc_id").alias("id"), "row")
     nodes = table.filter("n > 0").select("digest", best.alias("best"), "n", "bands").groupBy("digest").agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "nodes")
@@ -255,10 +257,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     # a sort-merge join at every size: the candidates grow with the documents, so no broadcast is planned for; Spark
     # may leave out other documents' texts by a Bloom filter of a bounded size, for which it wants a condition
     texts = table.select("row", F.col("doc.text").alias("text")).hint("merge").join(placed.filter("best_row >= 0"), F.col("row") == F.col("best_row"))
-    full = materialize(texts.select("digest", "component", "blocks", "block", "size", set_column(F.col("text"), words).alias("grams")), "sets", BLOOM)
+    full = materialize(texts.select("digest", "component", "blocks", "block", "size", set_column(F.col("text"), words).alias("grams")), "sets", BLOOM | FEW)
     paired = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "digest", "block", "size", "grams")
     unit = ["component", "i", "j"]
-    links = materialize(paired.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_units(threshold), "digest binary, links long, root binary"), "links")
+    links = materialize(paired.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_units(threshold), "digest binary, links long, root binary"), "links", FEW)
 
     classes = components(links.select(F.col("digest").alias("u"), F.col("root").alias("v")))
     counts = links.groupBy("digest").agg(F.sum("links").alias("links")).withColumnRenamed("digest", "d")
