@@ -72,6 +72,26 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watchloom.llm.hard_negatives import mine
+
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", moved.alias("label"), "embedding"))
+
+
+def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watchloom.llm.resampling import resample
+
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from watchloom.llm.passages import without_repeated_passages
+
+    left = without_repeated_passages(documents(spark, sf_dir))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 # an exact join too, but by counts of shared words: rare words list the lines, and every pair listed is compared
 OP1_SQL = r"""
 WITH o AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
@@ -138,6 +158,50 @@ t AS (SELECT doc_id, sum(size) AS taken FROM f WHERE run <= 1.5::DOUBLE * (SELEC
 SELECT c.doc_id, c.size, c.source_size, c.target, CAST(coalesce(t.taken, 0) AS BIGINT) AS taken FROM c LEFT JOIN t USING (doc_id)
 """
 
+OP11_SQL = r"""
+WITH r AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+             list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+           WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT * FROM r WHERE vec_id % 50 = 0),
+p AS (SELECT a.vec_id AS anchor_id, r.vec_id AS other_id, a.label = r.label AS same, CAST(list_dot_product(a.q, r.q) AS BIGINT) AS score FROM a, r WHERE a.vec_id <> r.vec_id),
+pos AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM p WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+FROM pos JOIN p USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 3
+"""
+
+OP12_SQL = r"""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END, i)) AS tb),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+e AS (SELECT doc_id, unnest(ws) AS w FROM d), f AS (SELECT unnest(ws) AS w FROM b),
+v AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM e UNION SELECT w FROM f)),
+k AS (SELECT w, xor(list_reduce(list_transform(range(len(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)),
+        lambda a, x: xor(a // 256, tb[(xor(a, x) % 256) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM v, tab),
+s AS (SELECT bucket, count(*) AS s FROM e JOIN k USING (w) GROUP BY 1), t AS (SELECT bucket, count(*) AS t FROM f JOIN k USING (w) GROUP BY 1),
+n AS (SELECT (SELECT coalesce(sum(s), 0) FROM s)::DOUBLE AS s_all, (SELECT coalesce(sum(t), 0) FROM t)::DOUBLE AS t_all),
+g AS (SELECT r.range AS bucket, CAST(floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + 10000) / ((coalesce(s, 0)::DOUBLE + 1) * (t_all + 10000)))) AS BIGINT) AS gain
+      FROM range(10000) r LEFT JOIN s ON s.bucket = r.range LEFT JOIN t ON t.bucket = r.range, n),
+m AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS total FROM e JOIN k USING (w) JOIN g USING (bucket) GROUP BY 1),
+w AS (SELECT d.doc_id, coalesce(n_features, 0) AS n_features, coalesce((total - ((total % n_features) + n_features) % n_features) // n_features, 0) AS weight,
+        CAST('0x' || substr(sha256('2024:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT)::DOUBLE AS h FROM d LEFT JOIN m ON m.doc_id = d.doc_id),
+x AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM w),
+y AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place, count(*) OVER (PARTITION BY n_features >= 20) AS may FROM x)
+SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN n_features >= 20 AND place <= 10 * may // 100 THEN place END AS rank FROM y
+"""
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+i AS (SELECT doc_id, unnest(list_transform(range(1, len(ws) - 18), lambda i: array_to_string(ws[i:i + 19], ' '))) AS words, unnest(range(1, len(ws) - 18)) AS p FROM d WHERE len(ws) >= 20),
+x AS (SELECT doc_id, p, row_number() OVER (PARTITION BY words ORDER BY doc_id, p) AS k FROM i),
+g AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS p FROM x WHERE k > 1),
+l AS (SELECT doc_id, list(p) AS gone FROM g GROUP BY 1),
+e AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM d),
+s AS (SELECT e.doc_id, string_agg(w, ' ' ORDER BY e.p) AS kept FROM e ANTI JOIN g ON e.doc_id = g.doc_id AND e.p = g.p GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN l ON l.doc_id = d.doc_id LEFT JOIN s ON s.doc_id = d.doc_id
+"""
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
@@ -150,6 +214,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix": op8_mix,
     "op9_pieces": op9_pieces,
     "op10_chat": op10_chat,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_resample": op12_resample,
+    "op13_passages": op13_passages,
 }
 
 
@@ -158,4 +225,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": OP1_SQL, "op2_ngram_join": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op8_mix": OP8_SQL}
+    return {"op1_line_dedup": OP1_SQL, "op2_ngram_join": OP2_SQL, "op5_exact_dedup": OP5_SQL, "op8_mix": OP8_SQL, "op11_hard_negatives": OP11_SQL, "op12_resample": OP12_SQL, "op13_passages": OP13_SQL}
