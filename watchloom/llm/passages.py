@@ -329,11 +329,14 @@ def repeats(docs: DataFrame, row: str, window: int = WINDOW, run: int = RUN, com
     of ``docs`` that have any."""
     texts = docs.select(F.col(row).alias("row"), "text").filter(F.col("text").isNotNull())
     found = materialize(texts.mapInArrow(_find_anchors(window, run), _ANCHOR), "anchors", FEW)
+    # written, so that both sides of the join are plain shuffles, of which Spark can split a frequent run of words
     counts = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumnRenamed("gram", "g")
+    counts = materialize(counts, "repeated-runs")
     kept = found.join(counts, F.col("gram") == F.col("g"))
     kept = kept.groupBy("row").agg(F.collect_list(F.struct("place", "most", "least", (F.col("n") > common).alias("common"))).alias("suffixes"), F.count(F.lit(1)).alias("n"))
     kept = materialize(kept, "suffixes")
     discard(found)
+    discard(counts)
     groups = max(1, math.ceil((kept.agg(F.sum("n")).first()[0] or 0) / group))
     with_words = texts.join(kept.select(F.col("row").alias("r"), "suffixes"), F.col("row") == F.col("r")).select("row", "text", "suffixes")
     dealt = with_words.mapInArrow(_carry_words(groups, window, run), _SUFFIXES)
