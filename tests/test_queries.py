@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from watchloom.plans import analytics, boundaries, extras, knowledge, relational, series  # noqa: F401
+from watchloom.plans import analytics, boundaries, composed, extras, knowledge, relational, series  # noqa: F401
 from watchloom.plans.registry import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
