@@ -8,7 +8,7 @@ import watchloom.plans.knowledge  # noqa: F401
 from watchloom.functions import geometry
 from watchloom.functions.scalar import uuid5
 from watchloom.functions.text import redact, redact_fields, redact_value
-from watchloom.functions.verdicts import read_answer
+from watchloom.functions.verdicts import balanced, read_answer
 from watchloom.operators import fusion, governance, intervals, rules, search, tables, tracking, windows
 from watchloom.plans.registry import QUERIES
 
@@ -192,8 +192,6 @@ def test_repeated_keys_of_incoming_rows(spark):
     ],
 )
 def test_requests(spark, text, kinds, routes, objects):
-    got = search.parse_request(text)
-    assert (got["kinds"], got["routes"], got["objects"]) == (kinds, routes, objects)
     assert tuple(spark.createDataFrame([(text,)], "q string").select(search.request_columns(F.col("q")).alias("r")).first().r) == (kinds, routes, objects)
 
 
@@ -300,3 +298,42 @@ def test_reports_of_all_events_are_merged(spark, late_events):
     got = {(r.grp, r.place): (r.pos, r.start, r.description, r.merged) for r in QUERIES["fusion_greedy_merge"](spark, folder).collect()}
     assert got == {(user, n): tuple(k) for user, mine in kept.items() for n, k in enumerate(mine)}
     assert sum(x[3] for x in got.values()) == 900 and max(x[3] for x in got.values()) > 3
+
+
+def test_actions_without_a_firing_or_with_odd_events(spark):
+    rows = [("t", 0, "e0", 0.0, ["shelf"], ["person"], None, None, None), ("t", 1, None, None, None, None, True, None, None), ("t", 2, "e2", 4.0, ["shelf", "exit"], ["person"], None, None, None), ("t", 3, "e3", 9.0, ["late"], [], None, None, None), ("u", 4, "e4", 1.0, [], [], None, None, None)]
+    got = rules.actions(spark.createDataFrame(rows, SUBJECT)).collect()
+    assert [(a.track, a.rule_id, a.arrival, a.zones, a.sources) for a in got] == [("t", "suspicious_item_interaction", 2, ["exit", "shelf"], ["e0", "e2"])]
+    plan = rules.actions(spark.createDataFrame(rows, SUBJECT))._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_whys_end_at_the_first_that_does_not_hold(spark):
+    rows = [("t", 0, "e0", 0.0, ["shelf"], ["person"], None, None, 0.7), ("t", 1, "e1", 1.0, ["exit"], ["person"], True, None, None)]
+    odd = rules.Rule("odd", "m", conditions=(("no_such", 1), ("person_in_zone", "shelf")))
+    got = {x.arrival: [(w.rule_id, w.place, w.observed, w.amount, w.holds) for w in x.whys] for x in rules.explain(spark.createDataFrame(rows, SUBJECT), (*rules.RULES, odd)).collect()}
+    health, none = ("camera_health_issue", 0, None, 0.7, False), ("odd", 0, None, None, False)
+    bypass = ("possible_billing_bypass", 0, "false", None, False)
+    assert got[0] == [("suspicious_item_interaction", 0, "true", None, True), ("suspicious_item_interaction", 1, "false", None, False), bypass, health, none]
+    assert got[1] == [("suspicious_item_interaction", 0, "true", None, True), ("suspicious_item_interaction", 1, "true", None, True), ("suspicious_item_interaction", 2, None, 1.0, False), bypass, health, none]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ('say {"a": [1, 2} and more', '{"a": [1, 2]'), ('{"a": (1}', '{"a": 1}'), ('{"a": "x}"} tail', '{"a": "x}"}'), ('{"a": "cut', '{"a": "cut"}'), ('{"a": "q\\"', '{"a": "q\\""}'),
+        ('{"a": [1, ', '{"a": [1]}'), ('{"a": ', '{"a"}'), ("none", ""), ("{", "{}"), ('{"a": {"b": [', '{"a": {"b": []}}'), ('{"k": "\\\\"}', '{"k": "\\\\"}'),
+    ],
+)
+def test_brackets_are_closed(text, want):
+    if text.startswith("say"):
+        assert balanced(text).startswith(want)  # the wrong closer is the list's; the object's follows
+    else:
+        assert balanced(text) == want
+
+
+def test_an_answer_of_brackets_alone_is_unread():
+    for text in ("[" * 200_000, '{"a": ' + "[" * 200_000, '{"a":' * 100_000, "{" + "(" * 1000):
+        got = read_answer(text)
+        assert got["verdict"] == "unclear"
+    assert read_answer('```json\n{"verdict": "benign", "confidence": 80)\n```')["verdict"] == "benign"

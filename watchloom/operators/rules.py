@@ -53,27 +53,44 @@ def history() -> Window:
     return Window.partitionBy(SUBJECT).orderBy(ARRIVAL).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def condition(kind: str, value) -> Column:
-    """One condition over the history; a kind that isn't known never holds."""
+def clock() -> Column:
+    """An event's time; one without a time is of time 0."""
+    return F.coalesce(F.nanvl(F.col("ts").cast("double"), F.lit(None).cast("double")), F.lit(0.0))
+
+
+def observed(kind: str, value) -> tuple[Column, Column, Column]:
+    """What the history shows of a condition: in words, as a number (either may be null), and whether the condition
+    holds; one of a kind that isn't known never does. Null lists are empty."""
     w = history()
     ever = lambda c: F.coalesce(F.bool_or(c).over(w), F.lit(False))
-    in_zone = lambda z: F.array_contains("zone_types", z)
+    in_zone = lambda z: F.coalesce(F.array_contains("zone_types", z), F.lit(False))
+    no_word, no_number = F.lit(None).cast("string"), F.lit(None).cast("double")
+    flag = lambda c: (c.cast("string"), no_number, c == F.lit(bool(value)))
     match kind:
         case "person_in_zone":
-            return ever(in_zone(value))
+            seen = ever(in_zone(value))
+            return seen.cast("string"), no_number, seen
         case "dwell_time_sec_gte":
-            return (F.count("ts").over(w) >= 2) & (F.max("ts").over(w) - F.min("ts").over(w) >= value)
+            dwell = F.max(clock()).over(w) - F.min(clock()).over(w)
+            return no_word, dwell, (F.count(F.lit(1)).over(w) >= 2) & (dwell >= value)
         case "object_near_person_hand":
-            return ever(F.col("object_near_hand")) == F.lit(bool(value))
+            return flag(ever(F.col("object_near_hand")))
         case "person_has_item":
-            return ever(F.coalesce("has_item", F.lit(False)) | (F.size(F.array_except("objects", F.array(F.lit("person")))) > 0)) == F.lit(bool(value))
+            return flag(ever(F.coalesce("has_item", F.lit(False)) | (F.size(F.array_except("objects", F.array(F.lit("person")))) > 0)))
         case "visited_billing_zone":
-            return ever(in_zone("billing_counter")) == F.lit(bool(value))
+            return flag(ever(in_zone("billing_counter")))
         case "moved_to_zone":
-            return F.coalesce(F.array_contains(F.max_by("zone_types", F.struct("ts", ARRIVAL)).over(w), value), F.lit(False))
+            last = F.max_by(F.coalesce("zone_types", F.array().cast("array<string>")), F.struct(clock(), ARRIVAL)).over(w)
+            return F.array_join(last, ","), no_number, F.coalesce(F.array_contains(last, value), F.lit(False))
         case "camera_health_score_lte":
-            return F.coalesce(F.min("camera_health_score").over(w) <= value, F.lit(False))
-    return F.lit(False)
+            worst = F.min(F.nanvl(F.col("camera_health_score").cast("double"), F.lit(None).cast("double"))).over(w)
+            return no_word, worst, F.coalesce(worst <= value, F.lit(False))
+    return no_word, no_number, F.lit(False)
+
+
+def condition(kind: str, value) -> Column:
+    """One condition over the history."""
+    return observed(kind, value)[2]
 
 
 def evaluate(events: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -82,6 +99,20 @@ def evaluate(events: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return events.withColumn("holds", F.filter(F.array(*checks), lambda x: x.isNotNull()))
 
 
+def explain(events: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``events`` with ``whys``: for each rule the evidence (rule_id, place, condition, observed, amount, holds) of its
+    conditions in order, up to the first that doesn't hold; the others aren't looked at."""
+    found = []
+    for r in rules:
+        so_far = F.lit(True)
+        for place, (kind, value) in enumerate(r.conditions):
+            word, number, holds = observed(kind, value)
+            evidence = F.struct(F.lit(r.id).alias("rule_id"), F.lit(place).alias("place"), F.lit(kind).alias("condition"), word.alias("observed"), number.alias("amount"), holds.alias("holds"))
+            found.append(F.when(so_far, evidence))
+            so_far = so_far & holds
+    return events.withColumn("whys", F.array_compact(F.array(*found)))
+
+
 def first_firings(events: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """(track, rule_id, arrival, ts): where each rule first holds for each subject."""
     held = evaluate(events, rules).select(SUBJECT, ARRIVAL, "ts", F.explode("holds").alias("rule_id"))
@@ -89,17 +120,28 @@ def first_firings(events: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFra
 
 
 def actions(events: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """What the firings make: type, severity, the subject's zones and source events so far."""
-    fired = first_firings(events, rules)
-    table = events.sparkSession.createDataFrame([(r.id, r.makes, r.severity, r.verify, r.incident) for r in rules], "rule_id string, makes string, severity string, needs_verification boolean, incident boolean")
-    f, e = fired.alias("f"), events.alias("e")
-    so_far = e.join(f, (F.col("e.track") == F.col("f.track")) & (F.col("e.arrival") <= F.col("f.arrival")))
-    made = so_far.groupBy("f.track", "f.rule_id", F.col("f.arrival").alias("arrival")).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("e.zone_types")))).alias("zones"),
-        F.transform(F.array_sort(F.collect_list(F.struct("e.ts", "e.arrival", "e.event_id"))), lambda x: x["event_id"]).alias("sources"),
-    )
-    seed = F.concat_ws("|", "rule_id", F.col("track").cast("string"), "makes")
-    return made.join(F.broadcast(table), "rule_id").withColumn("id", uuid5(seed))
+    """What the firings make: (rule_id, track, arrival, zones, sources, makes, severity, needs_verification, incident,
+    id): the subject's zones and source events so far.
+
+    A history is shuffled once: running windows say where rules hold, a window over the whole history gives each
+    rule's first such arrival, and one aggregate collects what came up to it.
+    """
+    own = evaluate(events, rules)
+    whole = Window.partitionBy(SUBJECT)
+    fired = {r.id: F.min(F.when(F.array_contains("holds", r.id), F.col(ARRIVAL))).over(whole) for r in rules}
+    own = own.select(SUBJECT, ARRIVAL, "event_id", clock().alias("at"), F.coalesce("zone_types", F.array().cast("array<string>")).alias("zone_types"), *[c.alias(f"first{i}") for i, c in enumerate(fired.values())])
+    made = []
+    for i, r in enumerate(rules):
+        first = F.col(f"first{i}")
+        before = F.col(ARRIVAL) <= first
+        made.append(F.struct(
+            F.lit(r.id).alias("rule_id"), F.min(first).alias(ARRIVAL), F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.when(before, F.col("zone_types")))))).alias("zones"),
+            F.transform(F.array_sort(F.collect_list(F.when(before & F.col("event_id").isNotNull(), F.struct("at", ARRIVAL, "event_id")))), lambda x: x["event_id"]).alias("sources"),
+            F.lit(r.makes).alias("makes"), F.lit(r.severity).alias("severity"), F.lit(r.verify).alias("needs_verification"), F.lit(r.incident).alias("incident")))
+    if not made:
+        return first_firings(events, rules)
+    each = own.groupBy(SUBJECT).agg(F.array(*made).alias("made")).select(SUBJECT, F.inline("made")).filter(F.col(ARRIVAL).isNotNull())
+    return each.withColumn("id", uuid5(F.concat_ws("|", "rule_id", F.col(SUBJECT).cast("string"), "makes")))
 
 
 def forwards(fired: DataFrame) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,18 +39,8 @@ LOSSES = ("possible_billing_bypass", "possible_loss")
 WEIGHTS = (0.7, 0.2, 0.1)
 
 
-def parse_request(text: str) -> dict:
-    """Kinds of event, zones, things and terms of a request."""
-    low = text.lower()
-    kinds = {k for pattern, ks in INTENTS if re.search(pattern, low) for k in ks}
-    objects = [w for w in OBJECTS if re.search(rf"\b{w}s?\b", low)]
-    if objects and re.search(LEAVING, low):
-        kinds |= set(LOSSES)
-    return {"kinds": sorted(kinds), "routes": [z for pattern, z in ROUTES if re.search(pattern, low)], "objects": objects, "terms": sorted(set(re.findall("[a-z]{3,}", low)))}
-
-
 def request_columns(text: Column) -> Column:
-    """The same for a column of requests: a struct of kinds, routes and objects."""
+    """What requests stand for: a struct of kinds of event, routes (zones) and objects (things)."""
     low = F.lower(text)
     some = lambda found: F.flatten(F.array_compact(F.array(*found)))
     texts = lambda items: F.array(*[F.lit(x) for x in items])

@@ -168,6 +168,27 @@ def rule_actions(t: Tables):
     return a.select("track", "rule_id", F.size("sources").cast("long").alias("n_sources"), F.when(F.size("zones") > 0, F.col("zones")).alias("zones"), "makes", "incident")
 
 
+_SHOWN = """WITH e AS (SELECT user_id AS track, event_id AS arrival, epoch_us(ts) / 1e6 AS ts, event_type, {k} >= 90 AS item, value / 500 AS score FROM events),
+l AS (SELECT track, bool_or(event_type = 'view') AS shelf, bool_or(event_type = 'click') AS near, CASE WHEN count(*) >= 2 THEN max(ts) - min(ts) ELSE 0 END AS dwell, bool_or(item) AS item, bool_or(event_type = 'purchase') AS paid,
+  coalesce(CASE arg_max(event_type, (ts, arrival)) WHEN 'view' THEN 'shelf' WHEN 'purchase' THEN 'billing_counter' WHEN 'error' THEN 'exit' END, '') AS last, min(score) AS worst FROM e GROUP BY 1),
+w AS (SELECT track, 'suspicious_item_interaction' AS rule_id, 0 AS place, 'person_in_zone' AS condition, shelf::VARCHAR AS observed, NULL::DOUBLE AS amount, shelf AS holds, true AS looked FROM l
+  UNION ALL SELECT track, 'suspicious_item_interaction', 1, 'object_near_person_hand', near::VARCHAR, NULL, near, shelf FROM l
+  UNION ALL SELECT track, 'suspicious_item_interaction', 2, 'dwell_time_sec_gte', NULL, dwell, dwell >= 3, shelf AND near FROM l
+  UNION ALL SELECT track, 'possible_billing_bypass', 0, 'person_has_item', item::VARCHAR, NULL, item, true FROM l
+  UNION ALL SELECT track, 'possible_billing_bypass', 1, 'visited_billing_zone', paid::VARCHAR, NULL, NOT paid, item FROM l
+  UNION ALL SELECT track, 'possible_billing_bypass', 2, 'moved_to_zone', last, NULL, last = 'exit', item AND NOT paid FROM l
+  UNION ALL SELECT track, 'camera_health_issue', 0, 'camera_health_score_lte', NULL, worst, worst <= 0.5, true FROM l)
+SELECT track, rule_id, place, condition, observed, amount, holds FROM w WHERE looked"""
+
+
+@query("rule_whys", _SHOWN.format(k=K))
+def rule_whys(t: Tables):
+    """What each subject's whole history says of each rule: its conditions' evidence up to the first that doesn't hold."""
+    last = Window.partitionBy("track").orderBy(F.desc("arrival"))
+    told = rules.explain(subjects(t)).withColumn("n", F.row_number().over(last)).filter("n = 1")
+    return told.select("track", F.inline("whys"))
+
+
 @query("rule_action_ids", f"""{HISTORY} SELECT track, rule_id, {uuid5_sql("rule_id || '|' || track || '|' || CASE rule_id WHEN 'possible_billing_bypass' THEN 'possible_loss' ELSE rule_id END")} AS id FROM f""")
 def rule_action_ids(t: Tables):
     """Name-based ids of the actions: the same whenever they are computed."""

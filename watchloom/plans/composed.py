@@ -8,41 +8,22 @@ from pyspark.sql import functions as F
 
 from watchloom.functions.scalar import seconds
 from watchloom.operators import matching, requests, search
-from watchloom.plans.knowledge import detections
+from watchloom.plans.knowledge import REQUEST, detections, kinds_sql, request_text
 from watchloom.plans.registry import Tables, query
 from watchloom.sources import files
 from watchloom.streaming import tracks
 
-#: Requests of several wordings; a text of the benchmark follows.
-SAID = ("show a person who picked an item and walked away ", "camera black near the EXIT ", "who left without paying at the till ", "bags by the shelf, came in ", "")
 #: What the events' types stand for.
 KINDS = {"error": "camera_health_issue", "purchase": "possible_billing_bypass", "click": "suspicious_item_interaction", "view": "billing_bypass"}
 DIM = 64
 
 
-def _text(sql: str) -> str:
-    return sql.replace("'", "''")
-
-
-def kinds_sql(q: str) -> str:
-    """The kinds of event that a request in lower case stands for, as SQL of the same patterns."""
-    listed = lambda items: "[" + ", ".join(f"'{x}'" for x in items) + "]"
-    parts = [f"CASE WHEN regexp_matches({q}, '{_text(pattern)}') THEN {listed(kinds)} ELSE [] END" for pattern, kinds in search.INTENTS]
-    objects = f"len(list_filter({listed(search.OBJECTS)}, lambda w: regexp_matches({q}, '\\b' || w || 's?\\b'))) > 0"
-    parts.append(f"CASE WHEN {objects} AND regexp_matches({q}, '{_text(search.LEAVING)}') THEN {listed(search.LOSSES)} ELSE [] END")
-    joined = parts[0]
-    for p in parts[1:]:
-        joined = f"list_concat({joined}, {p})"
-    return f"list_sort(list_distinct({joined}))"
-
-
-_PREFIX = "CASE item_id % 5 " + " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(SAID[:-1])) + " ELSE '' END"
 _KIND = "CASE event_type " + " ".join(f"WHEN '{e}' THEN '{k}'" for e, k in KINDS.items()) + " ELSE event_type END"
 _TERMS = "list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[a-z]{{3,}}'))"
 _UNIT = "[x / sqrt(list_sum([y * y for y in v])) for x in v]"
 
 
-@query("search_requests", f"""WITH q0 AS (SELECT item_id AS request, {_PREFIX} || coalesce(text, '') AS text FROM benchmark),
+@query("search_requests", f"""WITH q0 AS (SELECT item_id AS request, {REQUEST} AS text FROM benchmark),
 q1 AS (SELECT request, text, list_aggregate([sha256('text:' || text || '|' || i) for i in range({DIM // 16})], 'string_agg', '') AS h FROM q0),
 q2 AS (SELECT request, text, [('0x' || substr(h, 4 * j + 1, 4))::BIGINT / 65535 * 2 - 1 for j in range({DIM})] AS v FROM q1),
 q AS (SELECT request, {_UNIT} AS v, {_TERMS.format("text")} AS wanted, {kinds_sql("lower(text)")} AS kinds FROM q2),
@@ -62,8 +43,7 @@ SELECT request, CAST(rank AS INTEGER) AS rank, id, kind, tt AS at_s, score,
     CASE WHEN shared > 0 THEN format(' | critic:+{{:.2f}} (matched {{}} term(s))', 0.05 * shared, shared) ELSE ' | critic: no lexical overlap' END) AS why FROM k WHERE rank <= 10""")
 def search_requests(t: Tables):
     """All requests at once, from their words to ranked and explained results."""
-    prefix = F.element_at(F.array(*[F.lit(x) for x in SAID]), (F.col("item_id") % len(SAID) + 1).cast("int"))
-    texts = t.benchmark.select(F.col("item_id").alias("request"), F.concat(prefix, F.coalesce("text", F.lit(""))).alias("text"))
+    texts = t.benchmark.select(F.col("item_id").alias("request"), request_text().alias("text"))
     asked = search.hash_vectors(texts, "request", "text", DIM).withColumnRenamed("request", "r").join(texts, F.col("r") == F.col("request")).select("request", "text", "vector")
     kind = F.coalesce(*[F.when(F.col("event_type") == e, F.lit(k)) for e, k in KINDS.items()], F.col("event_type"))
     events = t.events.select(F.col("event_id").alias("id"), kind.alias("kind"), seconds("ts").alias("at"))

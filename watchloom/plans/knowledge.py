@@ -114,23 +114,43 @@ def search_fused(t: Tables):
     return search.rerank(search.fuse(c), ["the", "with", "from", "this", "errors"], 20, "id").select("id", "score")
 
 
-REQUEST = "CASE item_id % 5 WHEN 0 THEN 'show a person who picked an item and walked away ' WHEN 1 THEN 'camera black near the EXIT ' WHEN 2 THEN 'who left without paying at the till ' WHEN 3 THEN 'bags by the shelf, came in ' ELSE '' END || text"
-_CASE = lambda pattern, value: f"CASE WHEN regexp_matches(q, '{pattern}') THEN {value} END"
-
-
-@query("search_request_kinds", f"""WITH r AS (SELECT item_id, lower({REQUEST}) AS q FROM benchmark),
-p AS (SELECT item_id, q,
-  {_CASE("without (billing|paying|scan|checkout)|skip(ped)? (the )?(bill|counter)|not (pay|bill)|missing billing|bypass|walk(ed|s|ing)? away|left without", "['possible_billing_bypass', 'possible_loss', 'billing_bypass']")} AS a,
-  {_CASE("pick(ed|s|ing)?( up)?|took|grab(bed|s|bing)?|interact|touch(ed|ing)?|remov(e|ed|ing)|put (it )?in (a )?(bag|pocket)", "['suspicious_item_interaction']")} AS b,
-  {_CASE("camera (block|cover|down|black|frozen|tamper)|obscured|blind", "['camera_health_issue']")} AS c,
-  list_filter(['item', 'product', 'bottle', 'box', 'bag', 'handbag', 'backpack', 'goods', 'merchandise'], lambda w: regexp_matches(q, '\\b' || w || 's?\\b')) AS objects,
-  list_filter([{_CASE(r"\bexit\b|left the store|out the door|walked out", "'exit'")}, {_CASE(r"\bentry\b|entered|came in", "'entry'")}, {_CASE(r"\bshelf|aisle|rack", "'shelf'")}, {_CASE(r"\bbilling|counter|checkout|cashier|till", "'billing_counter'")}], lambda z: z IS NOT NULL) AS routes FROM r)
-SELECT item_id, list_sort(list_distinct(list_concat(coalesce(a, []), coalesce(b, []), coalesce(c, []), CASE WHEN len(objects) > 0 AND regexp_matches(q, 'walk(ed|s|ing)? away|left|away') THEN ['possible_billing_bypass', 'possible_loss'] ELSE [] END))) AS kinds, routes, objects FROM p""")
+#: Requests of several wordings; a text of the benchmark follows.
+SAID = ("show a person who picked an item and walked away ", "camera black near the EXIT ", "who left without paying at the till ", "bags by the shelf, came in ", "")
+REQUEST = "CASE item_id % 5 " + " ".join(f"WHEN {k} THEN '{s}'" for k, s in enumerate(SAID[:-1])) + " ELSE '' END || coalesce(text, '')"
+
+
+def request_text():
+    prefix = F.element_at(F.array(*[F.lit(x) for x in SAID]), (F.col("item_id") % len(SAID) + 1).cast("int"))
+    return F.concat(prefix, F.coalesce("text", F.lit("")))
+
+
+def _listed(items) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in items) + "]"
+
+
+def _when(q: str, pattern: str, then: str, otherwise: str = "[]") -> str:
+    return f"CASE WHEN regexp_matches({q}, '{pattern}') THEN {then} ELSE {otherwise} END"
+
+
+def objects_sql(q: str) -> str:
+    return f"list_filter({_listed(search.OBJECTS)}, lambda w: regexp_matches({q}, '\\b' || w || 's?\\b'))"
+
+
+def routes_sql(q: str) -> str:
+    return "list_filter([" + ", ".join(_when(q, pattern, f"'{zone}'", "NULL") for pattern, zone in search.ROUTES) + "], lambda z: z IS NOT NULL)"
+
+
+def kinds_sql(q: str) -> str:
+    """The kinds of event that a request in lower case stands for, as SQL of the operator's own patterns."""
+    parts = [_when(q, pattern, _listed(kinds)) for pattern, kinds in search.INTENTS]
+    parts.append(f"CASE WHEN len({objects_sql(q)}) > 0 THEN {_when(q, search.LEAVING, _listed(search.LOSSES))} ELSE [] END")
+    return f"list_sort(list_distinct(flatten([{', '.join(parts)}])))"
+
+
+@query("search_request_kinds", f"WITH r AS (SELECT item_id, lower({REQUEST}) AS q FROM benchmark) SELECT item_id, {kinds_sql('q')} AS kinds, {routes_sql('q')} AS routes, {objects_sql('q')} AS objects FROM r")
 def search_request_kinds(t: Tables):
     """Requests of several wordings as kinds of event, zones and things."""
-    said = ("show a person who picked an item and walked away ", "camera black near the EXIT ", "who left without paying at the till ", "bags by the shelf, came in ", "")
-    prefix = F.element_at(F.array(*[F.lit(x) for x in said]), (F.col("item_id") % 5 + 1).cast("int"))
-    return t.benchmark.select("item_id", search.request_columns(F.concat(prefix, "text")).alias("r")).select("item_id", "r.kinds", "r.routes", "r.objects")
+    return t.benchmark.select("item_id", search.request_columns(request_text()).alias("r")).select("item_id", "r.kinds", "r.routes", "r.objects")
 
 
 @query("search_text_repr_events", "SELECT event_id, 'seen_' || event_type || ' at cam' || user_id || CASE WHEN event_type = 'view' THEN ' [shelf]' ELSE '' END || ' objects: person' || CASE WHEN value > 400 THEN ' severity=high' ELSE '' END AS text FROM events")

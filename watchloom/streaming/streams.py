@@ -53,15 +53,15 @@ class History:
         self.zones, self.latest_ts, self.latest_zones, self.health, self.fired = set(zones), lt, list(lz), health, set(fired)
 
     def add(self, e) -> None:
-        if e.ts is None or e.ts != e.ts:
-            return  # an event without a time proves nothing
-        self.low, self.high = (min(self.low, e.ts), max(self.high, e.ts)) if self.n else (e.ts, e.ts)
+        ts = 0.0 if e.ts is None or e.ts != e.ts else e.ts  # as in batch
+        zones, objects = ([] if x is None else [y for y in x if y is not None] for x in (e.zone_types, e.objects))
+        self.low, self.high = (min(self.low, ts), max(self.high, ts)) if self.n else (ts, ts)
         self.n += 1
         self.near |= bool(e.object_near_hand)
-        self.item |= bool(e.has_item) or any(o != "person" for o in e.objects)
-        self.zones |= set(e.zone_types)
-        if e.ts >= self.latest_ts:
-            self.latest_ts, self.latest_zones = e.ts, list(e.zone_types)
+        self.item |= bool(e.has_item) or any(o != "person" for o in objects)
+        self.zones |= set(zones)
+        if ts >= self.latest_ts:
+            self.latest_ts, self.latest_zones = ts, zones
         if e.camera_health_score is not None and e.camera_health_score == e.camera_health_score:
             self.health = min(self.health, e.camera_health_score)
 
@@ -88,7 +88,7 @@ class History:
 
 
 STATE = "n long, low double, high double, near boolean, item boolean, zones array<string>, latest_ts double, latest_zones array<string>, health double, fired array<string>"
-FIRED = "track long, rule_id string, arrival long, ts double"
+FIRED = "track {}, rule_id string, arrival long, ts double"
 
 
 def firings(events: DataFrame, rules: tuple[Rule, ...] = RULES, ttl_ms: int | None = None) -> DataFrame:
@@ -106,14 +106,14 @@ def firings(events: DataFrame, rules: tuple[Rule, ...] = RULES, ttl_ms: int | No
             for r in rules:
                 if r.id not in h.fired and all(h.holds(k, v) for k, v in r.conditions):
                     h.fired.add(r.id)
-                    out.append((key[0], r.id, e.arrival, e.ts))
+                    out.append((key[0], r.id, e.arrival, None if e.ts is None or e.ts != e.ts else e.ts))
         state.update(h.state())
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=["track", "rule_id", "arrival", "ts"])
 
     timeout = GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
-    return events.groupBy("track").applyInPandasWithState(run, FIRED, STATE, "append", timeout)
+    return events.groupBy("track").applyInPandasWithState(run, FIRED.format(events.schema["track"].dataType.simpleString()), STATE, "append", timeout)
 
 
 def drain(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", fmt: str = "parquet") -> None:
