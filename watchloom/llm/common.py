@@ -44,11 +44,18 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BLOOM = {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0", "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1t"}
 
 
-def materialize(df: DataFrame, label: str, settings: dict[str, str] | None = None) -> DataFrame:
+#: Narrow rows that a file of a table is planned for, where a bound on the table's rows is known.
+FILE_ROWS = 50_000
+
+
+def materialize(df: DataFrame, label: str, settings: dict[str, str] | None = None, most_rows: int | None = None) -> DataFrame:
     """Write ``df``, under ``settings`` of the session, to the shared folder and read it back: lineage ends
     here, and an executor that is lost later takes nothing with it. The shuffle files of the write go when it
-    ends."""
+    ends. Of at most ``most_rows`` narrow rows, a file has ``FILE_ROWS`` on average, so that small tables aren't as
+    many files as a shuffle has partitions."""
     spark = df.sparkSession
+    if most_rows is not None:
+        df = df.coalesce(max(1, -(-most_rows // FILE_ROWS)))
     path = shared_path(spark, label)
     settings = {CLEANUP: "true"} | (settings or {})
     before = {k: spark.conf.get(k, None) for k in settings}

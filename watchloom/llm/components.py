@@ -1,8 +1,8 @@
 """Connected components by alternating large and small stars, on tables in the shared folder.
 
 Each half step tells every node's neighbours the least node it knows; components shrink to stars
-around their least node in a number of rounds that grows with the logarithm of their size. Joins meet
-written tables on both sides, so that a hub with many edges can be split.
+around their least node in a number of rounds that grows with the logarithm of their size. A round's tables are
+deleted when the next one has read them. Joins meet written tables on both sides, so that a hub with many edges can be split.
 """
 
 from __future__ import annotations
@@ -10,26 +10,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.llm.common import materialize
+from watchloom.llm.common import discard, materialize
 
 
-def _least(pairs: DataFrame) -> DataFrame:
-    return materialize(pairs.groupBy("u").agg(F.min("v").alias("least")), "stars-least").withColumnRenamed("u", "w")
+def _least(pairs: DataFrame, rows: int) -> DataFrame:
+    return materialize(pairs.groupBy("u").agg(F.min("v").alias("least")).withColumnRenamed("u", "w"), "stars-least", most_rows=rows)
 
 
-def _large(edges: DataFrame) -> DataFrame:
+def _large(edges: DataFrame, rows: int) -> DataFrame:
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both)
+    least = _least(both, 2 * rows)
     told = both.join(least, both["u"] == least["w"]).filter(F.col("v") > F.col("u"))
-    return materialize(told.select(F.col("v").alias("u"), F.least("least", "u").alias("v")).distinct(), "stars")
+    out = materialize(told.select(F.col("v").alias("u"), F.least("least", "u").alias("v")).distinct(), "stars", most_rows=rows)
+    discard(least)
+    return out
 
 
-def _small(edges: DataFrame) -> DataFrame:
+def _small(edges: DataFrame, rows: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = _least(down)
+    least = _least(down, rows)
     told = down.join(least, down["u"] == least["w"])
     out = told.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("least").alias("v")), F.struct("u", F.col("least").alias("v")))).alias("e")).select("e.*")
-    return materialize(out.filter("u <> v").distinct(), "stars")
+    out = materialize(out.filter("u <> v").distinct(), "stars", most_rows=2 * rows)
+    discard(least)
+    return out
 
 
 def _stars(edges: DataFrame) -> bool:
@@ -43,8 +47,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of ``edges`` (u, v); the component is its least node."""
     now = materialize(edges.select("u", "v").filter("u <> v").distinct(), "edges")
     while True:
-        now = _small(_large(now))
+        rows = now.count()  # of the files' footers
+        large = _large(now, rows)
+        discard(now)
+        now = _small(large, rows)
+        discard(large)
         if _stars(now):
             break
+    rows = 2 * now.count()
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return materialize(stars.unionAll(stars.select(F.col("component").alias("node"), "component").distinct()), "components")
+    out = materialize(stars.unionAll(stars.select(F.col("component").alias("node"), "component").distinct()), "components", most_rows=rows)
+    discard(now)
+    return out

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.llm.common import BLOOM, materialize
+from watchloom.llm.common import BLOOM, discard, materialize
 from watchloom.llm.components import components
 
 WORDS = 5
@@ -244,31 +244,39 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, threshold: float = THRE
     best = F.struct(F.col("doc.doc_id").isNull().alias("no"), F.col("doc.doc_id").alias("id"), "row")
     nodes = table.filter("n > 0").select("digest", best.alias("best"), "n", "bands").groupBy("digest").agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     nodes = materialize(nodes, "nodes")
+    count = nodes.count()  # of the files' footers
 
     keyed = nodes.select("digest", F.explode("bands").alias("key"))
-    hubs = materialize(keyed.groupBy("key").agg(F.min("digest").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("k"), "hub"), "hubs")
+    hubs = materialize(keyed.groupBy("key").agg(F.min("digest").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("k"), "hub"), "hubs", most_rows=count)
     pieces = components(keyed.join(hubs, F.col("key") == F.col("k")).select(F.col("digest").alias("u"), F.col("hub").alias("v")))
+    discard(hubs)
 
     found = pieces.join(nodes.select("digest", "size", "n", F.col("best.row").alias("best_row")), F.col("node") == F.col("digest")).drop("node")
-    found = materialize(found, "candidates")
+    found = materialize(found, "candidates", most_rows=count)
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / GRAMS)).cast("int")
-    sizes = materialize(found.groupBy("component").agg(blocks.alias("blocks")).withColumnRenamed("component", "c"), "piece-sizes")
-    placed = materialize(found.join(sizes, F.col("component") == F.col("c")).drop("c", "n").withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int")), "placed")
+    sizes = materialize(found.groupBy("component").agg(blocks.alias("blocks")).withColumnRenamed("component", "c"), "piece-sizes", most_rows=count)
+    placed = materialize(found.join(sizes, F.col("component") == F.col("c")).drop("c", "n").withColumn("block", F.pmod(F.xxhash64("digest"), "blocks").cast("int")), "placed", most_rows=count)
+    for spent in (pieces, found, sizes):
+        discard(spent)
     # a sort-merge join at every size: the candidates grow with the documents, so no broadcast is planned for; Spark
     # may leave out other documents' texts by a Bloom filter of a bounded size, for which it wants a condition
     texts = table.select("row", F.col("doc.text").alias("text")).hint("merge").join(placed.filter("best_row >= 0"), F.col("row") == F.col("best_row"))
     full = materialize(texts.select("digest", "component", "blocks", "block", "size", set_column(F.col("text"), words).alias("grams")), "sets", BLOOM | FEW)
+    discard(placed)
     paired = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "digest", "block", "size", "grams")
     unit = ["component", "i", "j"]
     links = materialize(paired.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(_units(threshold), "digest binary, links long, root binary"), "links", FEW)
+    discard(full)
 
     classes = components(links.select(F.col("digest").alias("u"), F.col("root").alias("v")))
     counts = links.groupBy("digest").agg(F.sum("links").alias("links")).withColumnRenamed("digest", "d")
-    members = materialize(classes.join(nodes.select("digest", "best"), F.col("node") == F.col("digest")).select("digest", "component", "best"), "members")
-    first = materialize(members.groupBy("component").agg(F.min("best").alias("first")).withColumnRenamed("component", "c"), "first")
+    members = materialize(classes.join(nodes.select("digest", "best"), F.col("node") == F.col("digest")).select("digest", "component", "best"), "members", most_rows=count)
+    first = materialize(members.groupBy("component").agg(F.min("best").alias("first")).withColumnRenamed("component", "c"), "first", most_rows=count)
     firsts = members.join(first, F.col("component") == F.col("c")).select(F.col("digest").alias("m"), "first")
     result = nodes.select("digest", "best", "size").join(firsts, F.col("digest") == F.col("m"), "left").join(counts, F.col("digest") == F.col("d"), "left")
-    result = materialize(result.select(F.col("digest").alias("r"), F.coalesce("first", "best").alias("first"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")), "classes")
+    result = materialize(result.select(F.col("digest").alias("r"), F.coalesce("first", "best").alias("first"), (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")), "classes", most_rows=count)
+    for spent in (nodes, links, classes, members, first):
+        discard(spent)
     out = table.select("doc", "row", "digest", "n").join(result, F.col("digest") == F.col("r"), "left")
     alone = F.col("r").isNull()
     return out.select(
