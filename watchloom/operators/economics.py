@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watchloom.operators.quantiles import percentiles
+
 RATE = 10.0
 
 
@@ -29,13 +31,17 @@ def fake_runs(spark: SparkSession, n: int, base: float, jitter: float, tokens: i
 
 def benchmark(runs: DataFrame, by: list[str], watts: float) -> DataFrame:
     """One row per group: throughput, latency percentiles, tokens, energy and cost."""
-    p = lambda q: F.round(F.percentile("latency_ms", q), 4)
     seconds = F.greatest(F.sum("latency_ms") / 1000, F.lit(1e-9))
     wh = watt_hours(F.lit(watts), seconds)
     n = F.count(F.lit(1))
-    return runs.groupBy(*by).agg(
-        n.alias("n"), F.round(n / seconds * 60, 4).alias("per_minute"), p(0.5).alias("p50"), p(0.95).alias("p95"), F.round(F.avg("tokens_per_sec"), 4).alias("tokens_per_sec"),
+    sums = runs.groupBy(*by).agg(
+        n.alias("n"), F.round(n / seconds * 60, 4).alias("per_minute"), F.round(F.avg("tokens_per_sec"), 4).alias("tokens_per_sec"),
         F.round(wh, 6).alias("wh"), F.round(per_thousand(cost(wh), n), 6).alias("cost_per_1000"))
+    found = percentiles(runs, by, "latency_ms", {"p50": 0.5, "p95": 0.95}).withColumnsRenamed({c: f"p_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"p_{c}"))
+    return sums.join(found, same, "left").select(*by, "n", "per_minute", F.round("p50", 4).alias("p50"), F.round("p95", 4).alias("p95"), "tokens_per_sec", "wh", "cost_per_1000")
 
 
 def economy(power: DataFrame, watts: str, seconds: float, events: int) -> DataFrame:

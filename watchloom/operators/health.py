@@ -16,9 +16,14 @@ def health_scores(samples: DataFrame) -> DataFrame:
     about it and counts half."""
     before = F.lag("luma").over(Window.partitionBy("camera").orderBy("at"))
     moved = samples.withColumn("moved", F.abs(F.col("luma") - before))
-    f = moved.groupBy("camera").agg(
+    return scores_of(moved, "camera")
+
+
+def scores_of(measured: DataFrame, by: str) -> DataFrame:
+    """The scores of measured frames (luma, sharpness, and moved since the one before)."""
+    f = measured.groupBy(by).agg(
         F.avg("luma").alias("light"), F.avg((F.col("luma") < BLACK).cast("int")).alias("black"), (1 - F.least(F.lit(1.0), F.avg("sharpness") / SHARP)).alias("blur"),
         F.when(F.count(F.lit(1)) == 1, 0.5).when(F.avg("moved") < FROZEN, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - F.avg("moved") / MOVING)).alias("freeze"))
     health = F.least(F.lit(1.0), F.col("light") / BRIGHT) * (1 - F.col("blur")) * (1 - F.col("freeze")) * (1 - F.col("black"))
     scores = {"black_frame_score": F.col("black"), "blur_score": F.col("blur"), "freeze_score": F.col("freeze"), "health_score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), health))}
-    return f.select("camera", *[F.round(c, 3).alias(n) for n, c in scores.items()])
+    return f.select(by, *[F.round(c, 3).alias(n) for n, c in scores.items()])

@@ -9,6 +9,7 @@ from watchloom.functions import geometry
 from watchloom.functions.scalar import micros, seconds, uuid5
 from watchloom.operators import rules, windows
 from watchloom.operators.health import health_scores
+from watchloom.operators.quantiles import percentiles
 from watchloom.plans.registry import Tables, query, uuid5_sql
 
 K = "json_extract_string(props, '$.k')::INT"
@@ -58,9 +59,11 @@ def agg_stage_means(t: Tables):
 
 @query("agg_percentiles", "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99 FROM events GROUP BY 1")
 def agg_percentiles(t: Tables):
-    """Exact percentiles with linear interpolation."""
-    p = lambda q: F.coalesce(F.percentile("value", q), F.lit(0.0))
-    return t.events.groupBy("event_type").agg(p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"))
+    """Exact percentiles with linear interpolation; kinds of event without a value have 0."""
+    p = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    found = percentiles(t.events.select(F.col("event_type").alias("kind"), "value"), ["kind"], "value", p)
+    kinds = t.events.select("event_type").distinct()
+    return kinds.join(found, F.col("event_type").eqNullSafe(F.col("kind")), "left").select("event_type", *[F.coalesce(c, F.lit(0.0)).alias(c) for c in p])
 
 
 @query("agg_ratio_null", "SELECT source, avg(CASE WHEN lang IS NOT NULL THEN (lang = 'en')::INT END) AS share FROM documents GROUP BY 1")

@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from watchloom.functions.scalar import seconds
-from watchloom.operators import matching, requests, search
+from watchloom.operators import frames, matching, requests, search
 from watchloom.plans.knowledge import REQUEST, detections, kinds_sql, request_text
 from watchloom.plans.registry import Tables, query
 from watchloom.sources import files
@@ -76,3 +76,32 @@ def stream_tracks(t: Tables):
     # the files of a stretch may come in two batches, of which the first has files of the next stretch too
     late = max([b - a for a, b in zip(ends, ends[2:], strict=False)], default=0.0)
     return tracks.drained(t.spark, tracks.track_stream(stream, f"{int(late) + 1} seconds"), f"{path}/out", f"{path}/checkpoint")
+
+
+WIDTH, HEIGHT = 16, 9
+
+
+def frames_of(t: Tables):
+    """The documents' bytes as frames of 16 x 9 pixels, five in two seconds, a document being a clip; a rest too short
+    for a frame is one that can't be decoded."""
+    size = 3 * WIDTH * HEIGHT
+    data = t.documents.select(F.col("doc_id").cast("string").alias("clip"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
+    cut = data.withColumn("frame", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.octet_length("data") / size) - 1, F.lit(0)))))
+    return cut.select("clip", "frame", (F.col("frame") * 0.4).alias("at"), F.substring("data", (F.col("frame") * size + 1).cast("int"), F.lit(size)).alias("pixels"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
+
+
+@query("frames_gate")
+def frames_gate(t: Tables):
+    """Which sampled frames are looked at, by how many pixels have changed since the last one that was."""
+    return frames.gate(frames_of(t))
+
+
+@query("frames_gate_counts")
+def frames_gate_counts(t: Tables):
+    return frames.gate_counts(frames.gate(frames_of(t)))
+
+
+@query("frames_health")
+def frames_health(t: Tables):
+    """How well each clip can be seen, from its pixels."""
+    return frames.health(frames_of(t))
