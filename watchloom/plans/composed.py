@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import itertools
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from watchloom.functions.scalar import seconds
-from watchloom.operators import frames, matching, requests, search
+from watchloom.operators import frames, matching, requests, search, telemetry
+from watchloom.plans.analytics import subjects
 from watchloom.plans.knowledge import REQUEST, detections, kinds_sql, request_text
 from watchloom.plans.registry import Tables, query
-from watchloom.sources import files
-from watchloom.streaming import tracks
+from watchloom.sources import exposition, files
+from watchloom.streaming import streams, tracks
 
 #: What the events' types stand for.
 KINDS = {"error": "camera_health_issue", "purchase": "possible_billing_bypass", "click": "suspicious_item_interaction", "view": "billing_bypass"}
@@ -105,3 +107,45 @@ def frames_gate_counts(t: Tables):
 def frames_health(t: Tables):
     """How well each clip can be seen, from its pixels."""
     return frames.health(frames_of(t))
+
+
+@query("metric_scrape", "WITH c AS (SELECT event_type, user_id % 7 AS instance, epoch_us(date_trunc('day', ts)) / 1e6 AS s, count(*) AS n FROM events GROUP BY ALL) SELECT 'events_total' AS metric, event_type AS kind, 'host \"' || instance || '\"' AS instance, s AS ts, sum(n) OVER (PARTITION BY event_type, instance ORDER BY s)::DOUBLE AS value FROM c")
+def metric_scrape(t: Tables):
+    """Counters as services tell them, scraped by a stream into the table that metrics are asked of; a stream that is started
+    again reads nothing twice."""
+    day = F.floor(seconds("ts") / 86400) * 86400
+    counted = t.events.groupBy("event_type", (F.col("user_id") % 7).alias("instance"), day.alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    so_far = F.sum("n").over(Window.partitionBy("event_type", "instance").orderBy("s"))
+    line = F.format_string('events_total{kind="%s", instance="host \\"%s\\""} %d %d', "event_type", F.col("instance").cast("string"), so_far, F.col("s") * 1000)
+    path = files.scratch(t.spark, "scrapes")
+    lines = counted.select(line.alias("value")).unionAll(t.region.selectExpr("'# HELP events_total ' || r_name AS value")).unionAll(t.region.selectExpr("'' AS value"))
+    lines.write.text(f"{path}/in")
+    for _ in range(2):
+        streams.drain(exposition.scrape_stream(t.spark, f"{path}/in"), f"{path}/out", f"{path}/checkpoint")
+    found = t.spark.read.schema(exposition.COLUMNS).parquet(f"{path}/out")
+    return found.select("metric", F.col("labels")["kind"].alias("kind"), F.col("labels")["instance"].alias("instance"), "ts", "value")
+
+
+@query("telemetry_run", "SELECT 'run_rows' AS metric, NULL AS column_, count(*)::DOUBLE AS value FROM documents UNION ALL SELECT 'run_nulls', 'lang', count(*) FILTER (lang IS NULL) FROM documents UNION ALL SELECT 'run_nulls', 'source', count(*) FILTER (source IS NULL) FROM documents UNION ALL SELECT 'run_nulls', 'doc_id', count(*) FILTER (doc_id IS NULL) FROM documents UNION ALL SELECT 'run_failed', NULL, 0")
+def telemetry_run(t: Tables):
+    """What a run over the documents tells about itself, besides its seconds."""
+    path = files.scratch(t.spark, "telemetry")
+    telemetry.record(t.documents.select("doc_id", "lang", "source"), "documents", lambda df: df.write.parquet(f"{path}/out"), f"{path}/metrics")
+    told = t.spark.read.schema(telemetry.METRICS).parquet(f"{path}/metrics").filter("metric <> 'run_seconds'")
+    return told.select("metric", F.col("labels")["column"].alias("column_"), "value")
+
+
+@query("stream_rule_versions", "WITH e AS (SELECT user_id AS track, min(event_id) FILTER (event_type = 'view' AND event_id % 2 = 0) AS old, min(event_id) FILTER (event_type = 'view') AS seen, max(event_id) FILTER (event_id % 2 = 1) AS late, min(event_id) FILTER (event_id % 2 = 1) AS next FROM events GROUP BY 1), f AS (SELECT track, min(event_id) AS first FROM events JOIN e ON user_id = track WHERE event_id % 2 = 1 AND (old IS NOT NULL OR event_id >= (SELECT min(event_id) FROM events v WHERE v.user_id = track AND v.event_type = 'view' AND v.event_id % 2 = 1)) GROUP BY 1) SELECT track, 'added' AS rule_id, first AS arrival FROM f")
+def stream_rule_versions(t: Tables):
+    """A rule that is added between two batches fires at its subjects' next events, though its condition held before."""
+    path = files.scratch(t.spark, "versions")
+    events = subjects(t).drop("all_objects")
+    added = {"id": "added", "conditions": [{"person_in_zone": "shelf"}], "action": {"create_event": "added"}}
+    for version, (rules, part) in enumerate((([], 0), ([added], 1))):
+        streams.put_rules(t.spark, rules, version, f"{path}/rules")
+        events.filter(F.col("arrival") % 2 == part).write.mode("append").parquet(f"{path}/in")
+        fed = t.spark.readStream.schema(events.schema).parquet(f"{path}/in")
+        streams.drain_each(fed, streams.versioned(f"{path}/rules", f"{path}/tagged"), f"{path}/tagging")
+        tagged = t.spark.readStream.schema(events.schema.add("rules_version", "long").add("rules", "string")).option("recursiveFileLookup", True).parquet(f"{path}/tagged")
+        streams.drain(streams.firings(tagged), f"{path}/out", f"{path}/checkpoint")
+    return t.spark.read.schema(streams.FIRED.format("long")).parquet(f"{path}/out").select("track", "rule_id", "arrival")

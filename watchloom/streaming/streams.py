@@ -6,14 +6,16 @@ query neither loses nor repeats an event. Watermarks and time-outs are additions
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from watchloom.operators.rules import RULES, Rule
+from watchloom.operators.rules import RULES, Rule, parse
 
 
 def topic(spark: SparkSession, folder: str, schema, fmt: str = "parquet", per_batch: int = 8) -> DataFrame:
@@ -91,9 +93,16 @@ STATE = "n long, low double, high double, near boolean, item boolean, zones arra
 FIRED = "track {}, rule_id string, arrival long, ts double"
 
 
+@lru_cache(64)
+def _told(text: str | None) -> tuple[Rule, ...]:
+    return parse(json.loads(text)) if text else ()
+
+
 def firings(events: DataFrame, rules: tuple[Rule, ...] = RULES, ttl_ms: int | None = None) -> DataFrame:
     """First firings (track, rule_id, arrival, ts) of a stream of subjects' events. Within a batch events are
-    taken in order of arrival. With ``ttl_ms`` a subject that is silent so long is forgotten."""
+    taken in order of arrival. With ``ttl_ms`` a subject that is silent so long is forgotten. Events with a column ``rules``
+    bring the rules that hold for them (see ``versioned``), which then take the place of ``rules``."""
+    own = "rules" in events.columns
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -103,7 +112,7 @@ def firings(events: DataFrame, rules: tuple[Rule, ...] = RULES, ttl_ms: int | No
         rows = pd.concat(list(frames)).sort_values("arrival")
         for e in rows.itertuples():
             h.add(e)
-            for r in rules:
+            for r in _told(e.rules) if own else rules:
                 if r.id not in h.fired and all(h.holds(k, v) for k, v in r.conditions):
                     h.fired.add(r.id)
                     out.append((key[0], r.id, e.arrival, None if e.ts is None or e.ts != e.ts else e.ts))
@@ -116,6 +125,31 @@ def firings(events: DataFrame, rules: tuple[Rule, ...] = RULES, ttl_ms: int | No
     return events.groupBy("track").applyInPandasWithState(run, FIRED.format(events.schema["track"].dataType.simpleString()), STATE, "append", timeout)
 
 
+def put_rules(spark: SparkSession, rules: list[dict], version: int, path: str) -> None:
+    """A version of the configured rules, as a row (version, rules) added to a table; none is ever rewritten."""
+    spark.createDataFrame([(version, json.dumps(rules))], "version long, rules string").coalesce(1).write.mode("append").parquet(path)
+
+
+def versioned(config: str, sink: str) -> Callable[[DataFrame, int], None]:
+    """A batch function that gives each event of a batch the newest version of the rules when the batch is worked off, and
+    adds it to the topic ``sink``. A running stream so takes up a change with its next batch; a batch that is run again
+    replaces what it wrote."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        table = batch.sparkSession.read.schema("version long, rules string").parquet(config)
+        newest = table.agg(F.max_by(F.struct("version", "rules"), "version").alias("v")).first()["v"]
+        version, rules = (newest["version"], newest["rules"]) if newest else (None, None)
+        tagged = batch.withColumns({"rules_version": F.lit(version).cast("long"), "rules": F.lit(rules).cast("string")})
+        tagged.write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+    return run
+
+
+def drain_each(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Work off what is there, batch by batch, then stop."""
+    stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def drain(stream: DataFrame, sink: str, checkpoint: str, mode: str = "append", fmt: str = "parquet") -> None:
     """Work off what is there, then stop."""
     stream.writeStream.format(fmt).outputMode(mode).option("path", sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
