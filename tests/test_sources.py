@@ -1,6 +1,8 @@
 import hashlib
 import json
 
+import pytest
+
 from watchloom.schemas import ZONES
 from watchloom.sources import dimensions, files
 
@@ -37,3 +39,60 @@ def test_malformed_lines(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n{"a": \nnot json\n{"a": 2, "b": 3}\n')
     assert sorted(r.a for r in files.json_lines(spark, str(tmp_path), "a long").filter("a IS NOT NULL").collect()) == [1, 2]
     assert files.json_lines(spark, str(tmp_path), "a long", limit=1).count() == 1
+
+
+def test_exposition_lines(spark):
+    from pyspark.sql import functions as F
+
+    from watchloom.sources import exposition
+
+    lines = [
+        "# HELP up Whether it answers", "#no space", "", "   ", "up 1", 'http_total{code="200",path="/a\\"b\\\\n\\nc"} 1.5e3 1700000000123', 'x_bucket{le="+Inf",} +Inf', "neg -Inf -5", "nan NaN", 'twice{a="1",a="2"} 3',
+        'brace{a="} 1"} 2', "bad", "1bad 2", "word abc", 'open{a="1" 2', ":colon:ok .5", 'unicode{ä="1",b="é"} 4',
+    ]
+    got = {r.metric: (r.labels, r.ts, r.value) for r in exposition.samples(spark.createDataFrame([(x, 9.0) for x in lines], "value string, scraped_at double")).collect()}
+    nan = got.pop("nan")
+    assert nan[:2] == ({}, 9.0) and nan[2] != nan[2]
+    assert got == {
+        "up": ({}, 9.0, 1.0), "http_total": ({"code": "200", "path": '/a"b\\n\nc'}, 1700000000.123, 1500.0), "x_bucket": ({"le": "+Inf"}, 9.0, float("inf")), "neg": ({}, -0.005, float("-inf")),
+        "twice": ({"a": "2"}, 9.0, 3.0), "brace": ({"a": "} 1"}, 9.0, 2.0), ":colon:ok": ({}, 9.0, 0.5), "unicode": ({"b": "é"}, 9.0, 4.0),
+    }
+    assert exposition.samples(spark.createDataFrame([], "value string, scraped_at double").withColumn("other", F.lit(1))).count() == 0
+
+
+def test_a_failing_run_is_recorded_and_fails(spark, tmp_path):
+    from watchloom.operators import telemetry
+
+    df, path = spark.createDataFrame([(1, None), (2, "x"), (None, None)], "a long, b string"), str(tmp_path / "metrics")
+    telemetry.record(df, "good", lambda x: x.write.parquet(str(tmp_path / "out")), path)
+
+    def fail(x):
+        raise ValueError("no")
+
+    with pytest.raises(ValueError):
+        telemetry.record(df, "bad", fail, path)
+    got = {(r.metric, r.labels["query"], r.labels.get("column")): r.value for r in spark.read.parquet(path).collect()}
+    assert got[("run_rows", "good", None)] == 3 and got[("run_nulls", "good", "a")] == 1 and got[("run_nulls", "good", "b")] == 2
+    assert got[("run_failed", "good", None)] == 0 and got[("run_failed", "bad", None)] == 1 and ("run_rows", "bad", None) not in got and got[("run_seconds", "good", None)] > 0
+
+
+def test_batches_of_a_stream_are_recorded(spark, tmp_path):
+    import time
+
+    from watchloom.operators import telemetry
+    from watchloom.streaming import streams
+
+    for k in range(3):
+        spark.range(10).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    log = telemetry.StreamLog(spark, str(tmp_path / "metrics"))
+    spark.streams.addListener(log)
+    try:
+        streams.drain(spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
+        for _ in range(100):
+            if (tmp_path / "metrics").exists() and spark.read.schema(telemetry.METRICS).parquet(str(tmp_path / "metrics")).filter("metric = 'stream_input_rows'").count() == 3:
+                break
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(log)
+    rows = spark.read.schema(telemetry.METRICS).parquet(str(tmp_path / "metrics")).filter("metric = 'stream_input_rows'").collect()
+    assert [r.value for r in rows] == [10.0] * 3 and sorted(r.labels["batch"] for r in rows) == ["0", "1", "2"]

@@ -146,6 +146,6 @@ def stream_rule_versions(t: Tables):
         events.filter(F.col("arrival") % 2 == part).write.mode("append").parquet(f"{path}/in")
         fed = t.spark.readStream.schema(events.schema).parquet(f"{path}/in")
         streams.drain_each(fed, streams.versioned(f"{path}/rules", f"{path}/tagged"), f"{path}/tagging")
-        tagged = t.spark.readStream.schema(events.schema.add("rules_version", "long").add("rules", "string")).option("recursiveFileLookup", True).parquet(f"{path}/tagged")
+        tagged = t.spark.readStream.schema(events.withColumns({"rules_version": F.lit(0).cast("long"), "rules": F.lit("")}).schema).option("recursiveFileLookup", True).parquet(f"{path}/tagged")
         streams.drain(streams.firings(tagged), f"{path}/out", f"{path}/checkpoint")
     return t.spark.read.schema(streams.FIRED.format("long")).parquet(f"{path}/out").select("track", "rule_id", "arrival")

@@ -25,7 +25,7 @@ def number(text: Column) -> Column:
 def label_map(text: Column) -> Column:
     """The labels between the braces; of a name that comes twice, the last."""
     pattern = F.lit(LABEL)
-    plain = lambda v: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, r"\\\\", "\u0001"), r"\\n", "\n"), r'\\"', '"'), "\u0001", r"\\\\")
+    plain = lambda v: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(v, r"\\\\", "\u0001"), r"\\n", "\n"), r'\\"', '"'), "\u0001", r"\\")
     names, values = F.regexp_extract_all(text, pattern, F.lit(1)), F.transform(F.regexp_extract_all(text, pattern, F.lit(2)), plain)
     pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
     last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["k"]))
