@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchloom.functions.text import terms
+from watchloom.sources.files import scratch
 
 #: Patterns of a request and the kinds of event that they stand for.
 INTENTS = (
@@ -66,6 +67,9 @@ def nearest(vectors: DataFrame, wanted: list[float], k: int, column: str = "embe
 def fuse(candidates: DataFrame, weights: tuple[float, float, float] = WEIGHTS) -> DataFrame:
     """``candidates`` (vector, matches, at) with the weighted score; recency is between the oldest and the
     newest of the candidates, 1 if all are of one time, 0 without a time."""
+    path = scratch(candidates.sparkSession, "candidates")  # written, since they are read twice
+    candidates.write.parquet(path)
+    candidates = candidates.sparkSession.read.schema(candidates.schema).parquet(path)
     span = candidates.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
     c = candidates.join(F.broadcast(span), F.lit(True))  # one row
     recency = F.when(F.col("at").isNull(), 0.0).when(F.col("hi") == F.col("lo"), 1.0).otherwise((F.col("at") - F.col("lo")) / (F.col("hi") - F.col("lo")))
@@ -110,13 +114,20 @@ def project_vectors(rows: DataFrame, key: str, column: str, source: int, target:
     return rows.select(key, column).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, vector array<double>")
 
 
-def normalised_score(rows: DataFrame, parts: dict[str, tuple[float, bool]]) -> DataFrame:
-    """``rows`` with ``score``: the weighted sum of columns scaled between their least and greatest; a flat
-    column counts as 1; ``True`` means that less is better."""
-    w = Window.partitionBy(F.lit(0))
+def normalised_score(rows: DataFrame, parts: dict[str, tuple[float, bool]], by: list[str] | None = None) -> DataFrame:
+    """``rows`` with ``score``: the weighted sum of columns scaled between their least and greatest, within each of
+    ``by`` or overall; a flat column counts as 1; ``True`` means that less is better. The bounds are an aggregate of a row a group."""
+    by = by or []
+    ends = rows.groupBy(*by).agg(*[f(c).alias(f"{n}_{c}") for c in parts for n, f in (("lo", F.min), ("hi", F.max))])
+    names = [f"of_{c}" for c in by]
+    ends = ends.withColumnsRenamed(dict(zip(by, names, strict=True)))
+    same = F.lit(True)
+    for c, n in zip(by, names, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    both = rows.join(ends, same) if by else rows.crossJoin(ends)  # one row
     total = F.lit(0.0)
     for c, (weight, less) in parts.items():
-        lo, hi = F.min(c).over(w), F.max(c).over(w)
-        x = F.when(hi - lo < 1e-12, 1.0).otherwise((F.col(c) - lo) / (hi - lo))
-        total = total + weight * (F.when(hi - lo < 1e-12, 1.0).otherwise(1 - x) if less else x)
-    return rows.withColumn("score", F.round(total, 4))
+        lo, hi = F.col(f"lo_{c}"), F.col(f"hi_{c}")
+        x = F.when(hi - lo < 1e-12, 1.0).otherwise(F.when(F.lit(less), hi - F.col(c)).otherwise(F.col(c) - lo) / (hi - lo))
+        total = total + weight * x
+    return both.select(*rows.columns, F.round(total, 4).alias("score"))

@@ -80,3 +80,20 @@ def open_questions(suspicious: DataFrame) -> DataFrame:
 def parity(n: Column, enough: float) -> Column:
     """How complete a capability is: its count over what is enough, 1 at most."""
     return F.round(F.least(F.lit(1.0), n / enough), 3)
+
+
+def parity_report(found: dict[str, tuple[DataFrame | None, float | None]], empty_is_pending: tuple[str, ...] = ()) -> DataFrame:
+    """(capability, status, value, score, overall, measurable): each capability's ``value`` (a one-row table, or none) as a
+    share of what is enough, 1 at most; what can't be measured is pending and counts in no mean."""
+    spark = next(df for df, _ in found.values() if df is not None).sparkSession
+    rows = None
+    for name, (df, enough) in found.items():
+        if df is None:
+            one = spark.range(1).select(F.lit(name).alias("capability"), F.lit("pending").alias("status"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("score"))
+        else:
+            v = F.col("value")
+            status = F.when((v == 0) & F.lit(name in empty_is_pending), "pending").otherwise("measured")
+            one = df.select(F.lit(name).alias("capability"), status.alias("status"), v.cast("double").alias("value"), parity(v, enough).alias("score"))
+        rows = one if rows is None else rows.unionAll(one)
+    mean = rows.agg(F.round(F.avg("score"), 3).alias("overall"), F.count("score").alias("measurable"))
+    return rows.crossJoin(mean)  # one row

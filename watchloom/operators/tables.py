@@ -67,3 +67,8 @@ def delete_where(target: DataFrame, gone: Column, locked: DataFrame, key: str) -
     keep = locked.select(F.col(key).alias("_locked")).distinct()
     marked = target.join(keep, target[key] == keep["_locked"], "left")
     return marked.filter(~(F.coalesce(gone, F.lit(False)) & F.col("_locked").isNull())).drop("_locked")
+
+
+def first_arrivals(rows: DataFrame, keys: list[str], arrival: str) -> DataFrame:
+    """The first row of each key by ``arrival``: one aggregate, of which each task sends on its own first rows only."""
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), arrival).alias("_r")).select(*keys, "_r.*")

@@ -97,7 +97,7 @@ def stream_sliding(t: Tables):
 def stream_once(t: Tables):
     """Each subject once, however often it comes."""
     path = files.scratch(t.spark, "once")
-    streams.drain(streams.once(_topic(t), "user_id", "3650 days").select("user_id"), f"{path}/out", f"{path}/checkpoint")
+    streams.drain(streams.once(_topic(t), "user_id", None).select("user_id"), f"{path}/out", f"{path}/checkpoint")
     return t.spark.read.schema("user_id long").parquet(f"{path}/out")
 
 

@@ -13,8 +13,9 @@ from watchloom.plans.registry import Tables, query
 
 @query("slice_half_open", "SELECT event_id FROM events WHERE epoch_us(ts) / 1e6 >= 1704200000 AND epoch_us(ts) / 1e6 < 1704300000")
 def slice_half_open(t: Tables):
-    s = seconds("ts")
-    return t.events.filter((s >= 1704200000) & (s < 1704300000)).select("event_id")
+    # the column itself is compared, so that Parquet's statistics can leave out what is beyond
+    at = lambda s: F.lit(s).cast("timestamp_ntz")
+    return t.events.filter((F.col("ts") >= at("2024-01-02 12:53:20")) & (F.col("ts") < at("2024-01-03 16:40:00"))).select("event_id")
 
 
 @query("read_range_average", "SELECT event_type, avg(value) AS mean, arg_max(value, (ts, event_id)) AS latest FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20' GROUP BY 1")
@@ -51,8 +52,11 @@ def model_answers(t: Tables):
 @query("evidence_clip_selection", "WITH s AS (SELECT event_id, epoch_us(ts) / 1e6 AS a, CASE WHEN event_id % 2 = 0 THEN epoch_us(ts) / 1e6 + 600 END AS z FROM events) SELECT event_id FROM s WHERE a <= 1704400000 AND coalesce(z, a) >= 1704300000")
 def evidence_clip_selection(t: Tables):
     """Clips that touch a window, closed at both ends; a clip without an end is its start."""
-    s = t.events.select("event_id", seconds("ts").alias("a"), F.when(F.col("event_id") % 2 == 0, seconds("ts") + 600).alias("z"))
-    return s.filter(F.col("a").isNull() | (F.col("a") <= 1704400000) & (F.coalesce("z", "a") >= 1704300000)).select("event_id")
+    at = lambda s: F.lit(s).cast("timestamp_ntz")
+    first, last, longest = at("2024-01-03 16:40:00"), at("2024-01-04 20:26:40"), F.expr("INTERVAL 600 SECONDS")
+    near = (F.col("ts") <= last) & (F.col("ts") >= first - longest)  # what the file's statistics can tell; no clip is longer
+    end = F.when(F.col("event_id") % 2 == 0, F.col("ts") + longest).otherwise(F.col("ts"))
+    return t.events.filter(F.col("ts").isNull() | near & (end >= first)).select("event_id")
 
 
 @query("evidence_anchor", "SELECT o_custkey, coalesce(min(CASE WHEN o_orderstatus = 'F' THEN o_orderdate END), min(o_orderdate)) AS anchor FROM orders GROUP BY 1")

@@ -32,6 +32,12 @@ def result_documents(spark: SparkSession, folder: str, schema) -> DataFrame:
     return rows.withColumn("file", F.url_decode(name)).filter(~F.col("file").isin(*NOT_RESULTS))
 
 
+def manifest(spark: SparkSession, folder: str, glob: str) -> DataFrame:
+    """(path, size, sha256) of all files under a folder; each file is one row while it is digested."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
+    return found.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
+
+
 def clip_catalogue(spark: SparkSession, folder: str, glob: str, clip_sec: float) -> DataFrame:
     """(path, size, sha256, index, start_sec) of a folder's clips in the order of their names."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)

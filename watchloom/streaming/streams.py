@@ -39,9 +39,9 @@ def sliding_counts(events: DataFrame, width: str = "30 seconds", slide: str = "2
     return timed(events, late).groupBy(F.window("ts", width, slide)).agg(F.count(F.lit(1)).alias("n"))
 
 
-def once(events: DataFrame, key: str, late: str = "1 hour") -> DataFrame:
-    """Each key once within the watermark."""
-    return timed(events, late).dropDuplicatesWithinWatermark([key])
+def once(events: DataFrame, key: str, late: str | None = "1 hour") -> DataFrame:
+    """Each key once within the watermark or, with ``late`` None, once for ever: the state then keeps every key."""
+    return events.dropDuplicates([key]) if late is None else timed(events, late).dropDuplicatesWithinWatermark([key])
 
 
 class History:
