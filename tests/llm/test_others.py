@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 import zipfile
 import zlib
 
@@ -364,3 +365,16 @@ def test_chat_odd_rows(spark):
     assert one == "<|im_start|>user\nx< |im_end|><|im_end|>\n<|im_start|>assistant\n<|im_end|>\n"
     assert sum(r.conv_id is None for r in got) == 2 and [r.cost for r in got if r.conv_id == 2] == [3.0]
     assert C.repair_conversations(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_chat_turns_of_one_number_are_dealt_by_position(spark, monkeypatch):
+    monkeypatch.setattr(C, "BLOCK", 7)
+    schema = "conv_id long, turn long, role string, text string"
+    rows = [(1, None, ("user", "assistant")[k % 2], f"t{k}") for k in range(60)] + [(2, 5, "user", "same")] * 40 + [(3, 10**15 * k, "user", f"x{k}") for k in range(6)] + [(4, 0, "user", "long " * 300_000)]
+    got = {}
+    for x in C.repair_conversations(spark.createDataFrame(rows, schema).repartition(5)).collect():
+        got.setdefault(x.conv_id, []).append(x)
+    assert {c: sorted(x.n_turns for x in parts) for c, parts in got.items()} == {1: [4] + [7] * 8, 2: [5] + [7] * 5, 3: [6], 4: [1]}
+    assert all(len({x.parts for x in parts}) == 1 and sorted(x.part for x in parts) == list(range(parts[0].parts)) for parts in got.values())
+    assert sorted(m for x in got[1] for m in re.findall(r"t[0-9]+", x.rendered)) == sorted(f"t{k}" for k in range(60))
+    assert sum(x.rendered.count("same") for x in got[2]) == 40 and got[4][0].rendered.count("long ") == 300_000

@@ -6,15 +6,16 @@ automaton chooses for each turn to keep or relabel it, as a turn of its own or m
 before, with empty turns inserted where a step needs them, at the least total cost; the repaired
 sequence is rendered.
 
-A conversation is dealt in blocks of ``BLOCK`` turn numbers. A block is a min-plus matrix over the
+Turns are range-sorted and numbered by where they stand in their conversation, and a conversation is dealt in blocks of
+``BLOCK`` turns, whatever their numbers: turns without a number, or all of one, are dealt like others. A block is a min-plus matrix over the
 automaton's states, the matrices of a conversation compose to the states at which its best path enters
 and leaves each block, and each block is then repaired on its own, so no conversation meets in a task.
 A rendered conversation is the concatenation of its parts in order; one of at most a block is one row.
 
 Defined results: roles are trimmed and lower-cased, any other role (null too) must be relabelled; null
-text is empty; a null turn comes last; turns of one number are ordered by role and text; rows without a
+text is empty; a null turn comes last; turns of one number are ordered by role and a hash of the text; rows without a
 conversation are conversations of one turn; a conversation has at least one turn; repeated rows are
-turns of their own; of equal costs, the choice listed first wins; extra columns are ignored.
+turns of their own; a very long text is one turn; an empty table gives an empty result; of equal costs, the choice listed first wins; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,10 +25,10 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchloom.llm.common import materialize
+from watchloom.llm.common import discard, materialize
 
 ROLES = ("system", "user", "assistant")
 OTHER = len(ROLES)
@@ -182,6 +183,26 @@ def by_group(keys: list[str], work: Callable[[tuple, pd.DataFrame], dict]) -> Ca
     return run
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """A written table of turns with their ``position`` in the conversation and the block that it is in. A range of
+    the sorted turns is numbered from the number of turns in the ranges before it, so no conversation is sorted in one task."""
+    order = ["conv", "alone", "turn", "role", "order", "mark"]
+    sheets = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sheets = materialize(sheets.select("conv", "alone", "role", "text", F.spark_partition_id().alias("sheet"), place.alias("place")), "turn-sheets")
+    discard(rows)
+    before = Window.orderBy("sheet").rowsBetween(Window.unboundedPreceding, -1)  # a row a sheet
+    starts = sheets.groupBy("sheet").agg(F.count(F.lit(1)).alias("n")).select(F.col("sheet").alias("s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    numbered = sheets.join(starts, F.col("sheet") == F.col("s")).select("conv", "alone", "role", "text", (F.col("start") + F.col("place")).alias("at"))
+    firsts = numbered.groupBy("conv", "alone").agg(F.min("at").alias("first")).withColumnsRenamed({"conv": "c", "alone": "a"})
+    firsts = materialize(firsts, "turn-firsts")
+    own = numbered.join(firsts, (F.col("conv") == F.col("c")) & (F.col("alone") == F.col("a"))).withColumn("position", F.col("at") - F.col("first"))
+    out = materialize(own.select("conv", "alone", "role", "text", "position", F.floor(F.col("position") / BLOCK).alias("block")), "turns-placed")
+    discard(sheets)
+    discard(firsts)
+    return out
+
+
 def repair_conversations(turns: DataFrame) -> DataFrame:
     """One row per part of a conversation: conv_id, part, parts, n_turns, n_out, n_merged,
     n_relabelled, n_inserted, cost, rendered."""
@@ -190,15 +211,15 @@ def repair_conversations(turns: DataFrame) -> DataFrame:
     # keys without nulls: rows without a conversation have a number of their own in its place
     alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long"))
     rows = turns.select(
-        F.coalesce(F.col("conv_id").cast("long"), F.lit(0).cast("long")).alias("conv"), alone.alias("alone"), F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(1 << 62)).alias("block"),
-        F.coalesce(F.col("turn").cast("long"), F.lit((1 << 63) - 1)).alias("turn"), code.alias("role"), F.xxhash64("text").alias("order"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = materialize(rows, "turns")
-    keys, order = ["conv", "alone", "block"], ["turn", "role", "order"]
+        F.coalesce(F.col("conv_id").cast("long"), F.lit(0).cast("long")).alias("conv"), alone.alias("alone"),
+        F.coalesce(F.col("turn").cast("long"), F.lit((1 << 63) - 1)).alias("turn"), code.alias("role"), F.xxhash64("text").alias("order"), F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("mark"))
+    rows = placed(materialize(rows, "turns"))
+    keys, order = ["conv", "alone", "block"], ["position"]
 
     def measure(key: tuple, g: pd.DataFrame) -> dict:
         return {**dict(zip(keys, key, strict=True)), "matrix": block_matrix(g["role"].to_numpy()).ravel().tolist()}
 
-    blocks = rows.select(*keys, *order).repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(by_group(keys, measure), "conv long, alone long, block long, matrix array<double>")
+    blocks = rows.select(*keys, *order, "role").repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(by_group(keys, measure), "conv long, alone long, block long, matrix array<double>")
     ordered = blocks.repartition("conv", "alone").sortWithinPartitions(*keys)
 
     def route(key: tuple, g: pd.DataFrame) -> dict:

@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -39,6 +39,8 @@ DIGIT = re.compile("[0-9]")
 WORDS = re.compile(r"\S+")
 CELLS = 1 << 17
 LEXICON = 200_000
+#: Characters of a task's tokens, which may be long each.
+LEXICON_SIZE = 1 << 24
 EDGE = "\"'`,;:!?()[]{}<>*#$%&=|"
 
 Span = tuple[str, int, int]
@@ -305,8 +307,8 @@ def trained(steps: int = 60, rate: float = 0.15, decay: float = 1e-3) -> tuple[d
 class Field:
     """The trained field as tables: the score of each label by what stands at, before and after a word."""
 
-    def __init__(self):
-        ids, w, self.trans, self.start = trained()
+    def __init__(self, fitted: tuple | None = None):
+        ids, w, self.trans, self.start = fitted or trained()
         rows = [[near_form(x) for x in words] for words, _ in labelled_table() + by_hand(SENTENCES)]
         self.forms = {f: k for k, f in enumerate(["", "<edge>", *sorted({f for row in rows for f in row})])}  # the first is any other
         n, one = len(self.forms), lambda f: w[ids[f]] if f in ids else np.zeros(len(LABELS))
@@ -320,9 +322,14 @@ class Field:
         self.digits = np.array([one(f"digits={k}") for k in range(21)])
 
 
-@lru_cache(1)
-def field() -> Field:
-    return Field()
+_FIELD: list[Field] = []
+
+
+def field(fitted: tuple | None = None) -> Field:
+    """The field of this process; made of what has been fitted elsewhere, if that is given first."""
+    if not _FIELD:
+        _FIELD.append(Field(fitted))
+    return _FIELD[0]
 
 
 class Lexicon(dict):
@@ -330,7 +337,7 @@ class Lexicon(dict):
     of its checks, and where the word in it starts and how long it is."""
 
     def __init__(self, trim: bool = True):
-        self.trim, self.field = trim, field()
+        self.trim, self.field, self.size = trim, field(), 0
         self.table = np.zeros((1024, 5), np.int64)
         self.checks: dict[tuple[str, ...], int] = {(): 0}
         self.scores = [np.zeros(len(LABELS))]
@@ -347,6 +354,7 @@ class Lexicon(dict):
             self.table = np.concatenate((self.table, np.zeros_like(self.table)))
         self.table[k] = self.field.forms.get(near_form(w), 0), min(len(d), 20), self.checks[checked], cut, len(w)
         self[token] = k
+        self.size += len(token)
         return k
 
 
@@ -453,21 +461,27 @@ def joined(spans: list[Span]) -> str:
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
 
-def _run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lexicon = Lexicon()
-    for batch in parts:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            lexicon = lexicon if len(lexicon) < LEXICON else Lexicon()
-            found = scan(part.column("text").to_pylist(), lexicon)
-            count = {k: [sum(s[0] == k for s in b) for b, _ in found] for k in KINDS}
-            yield pa.RecordBatch.from_pydict({
-                "doc_id": part.column("doc_id"), **{f"n_{k}": pa.array(count[k], pa.int64()) for k in KINDS},
-                "base_sha256": pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], pa.string()),
-                "spans": pa.array([joined(a) for _, a in found], pa.string()), "n_added": pa.array([len(a) - len(b) for b, a in found], pa.int64()),
-            })
+def _runner(fitted: tuple) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Finds with a field that the driver has fitted, so that no task fits one."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field(fitted)
+        lexicon = Lexicon()
+        for batch in parts:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                lexicon = lexicon if len(lexicon) < LEXICON and lexicon.size < LEXICON_SIZE else Lexicon()
+                found = scan(part.column("text").to_pylist(), lexicon)
+                count = {k: [sum(s[0] == k for s in b) for b, _ in found] for k in KINDS}
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": part.column("doc_id"), **{f"n_{k}": pa.array(count[k], pa.int64()) for k in KINDS},
+                    "base_sha256": pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b, _ in found], pa.string()),
+                    "spans": pa.array([joined(a) for _, a in found], pa.string()), "n_added": pa.array([len(a) - len(b) for b, a in found], pa.int64()),
+                })
+
+    return run
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """One row per document: counts and digest of the patterns' spans, all spans, how many the field added."""
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_run, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_runner(trained()), SCHEMA)
