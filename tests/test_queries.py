@@ -69,7 +69,7 @@ def test_packages_and_manifest_against_plain(spark):
         want = sorted(parts, key=lambda p: tuple((x is not None, x) for x in p))
         assert body["conv_id"] == conv and [(p.get("turn"), p.get("role"), p.get("text")) for p in body["timeline"]] == want
         assert got[conv].n == len(parts) and got[conv].sha256 == hashlib.sha256(got[conv].package.encode()).hexdigest()
-    blobs = {r.path.rsplit("/", 1)[1]: (r.size, r.sha256) for r in QUERIES["manifest_blobs"](spark, FOLDER).collect()}
+    blobs = {r.path.rsplit("/", 1)[1]: (r.size, r.sha256) for r in QUERIES["manifest"](spark, FOLDER).collect()}
     for name in os.listdir(FOLDER):
         data = open(f"{FOLDER}/{name}", "rb").read()
         assert blobs[name] == (len(data), hashlib.sha256(data).hexdigest())

@@ -13,7 +13,8 @@ def centre(box: Column) -> tuple[Column, Column]:
 
 def corner_centre(box: Column) -> tuple[Column, Column]:
     """Centre of [x1, y1, x2, y2]."""
-    return (box[0] + box[2]) / 2, (box[1] + box[3]) / 2
+    at = lambda i: F.get(box, i)
+    return (at(0) + at(2)) / 2, (at(1) + at(3)) / 2
 
 
 def inside(x: Column, y: Column, polygon: Column) -> Column:

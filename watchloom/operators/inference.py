@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from watchloom.operators.search import hash_vector
+
 
 class Model:
     """What a model gives the engine. ``infer`` maps a batch of rows to a batch of rows."""
@@ -53,3 +55,21 @@ def stand_in_verdicts(events: DataFrame) -> DataFrame:
 def prompt(kind, camera, zones):
     """What a model is asked about an event."""
     return F.concat(F.lit("Event: "), kind, F.lit("\nCamera: "), camera, F.lit("\nZones: "), F.array_join(zones, ", "), F.lit("\nAnswer in JSON."))
+
+
+class HashEmbedder(Model):
+    """A text's vector from its digests, as a model: (id, vector) of rows (id, text)."""
+
+    def __init__(self, dim: int):
+        self.dim, self.schema, self.ready = dim, "id long, vector array<double>", False
+
+    def load(self) -> None:
+        self.ready = True
+
+    def infer(self, rows: pd.DataFrame) -> pd.DataFrame:
+        if not self.ready:
+            raise RuntimeError("the model isn't loaded")
+        return pd.DataFrame({"id": rows["id"], "vector": [hash_vector(x or "", self.dim) for x in rows["text"]]})
+
+    def unload(self) -> None:
+        self.ready = False

@@ -72,3 +72,21 @@ def delete_where(target: DataFrame, gone: Column, locked: DataFrame, key: str) -
 def first_arrivals(rows: DataFrame, keys: list[str], arrival: str) -> DataFrame:
     """The first row of each key by ``arrival``: one aggregate, of which each task sends on its own first rows only."""
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*[c for c in rows.columns if c not in keys]), arrival).alias("_r")).select(*keys, "_r.*")
+
+
+def typed(rows: DataFrame, schema: str) -> DataFrame:
+    """``rows`` as a table of ``schema`` takes them: its columns in order, cast, those that are missing null. A column
+    that the table doesn't have is an error, a value that doesn't fit its type null."""
+    spark = rows.sparkSession
+    fields = spark.createDataFrame([], schema).schema.fields
+    odd = set(rows.columns) - {f.name for f in fields}
+    if odd:
+        raise ValueError(f"the table has no {', '.join(sorted(odd))}")
+    kind = lambda f: f.dataType.simpleString()
+    plain = ("array", "map", "struct")
+    cell = lambda f: F.lit(None).cast(kind(f)) if f.name not in rows.columns else F.col(f.name).cast(kind(f)) if kind(f).startswith(plain) else F.col(f.name).try_cast(kind(f))
+    return rows.select(*[cell(f).alias(f.name) for f in fields])
+
+
+def append_typed(rows: DataFrame, schema: str, path: str) -> None:
+    typed(rows, schema).write.mode("append").parquet(path)

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from watchloom.functions.geometry import corner_centre
+
 
 def event_point(x: Column, y: Column, norm_x: Column, norm_y: Column, bbox: Column) -> Column:
     """Where an event is: its own point, else its normalised one, else the middle of its box's corners; each only if it
     is whole."""
     pair = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.struct(a.cast("double").alias("x"), b.cast("double").alias("y")))
-    corner = lambda i: F.get(bbox, i)
-    middle = F.when(F.size(bbox) == 4, pair((corner(0) + corner(2)) / 2, (corner(1) + corner(3)) / 2))
+    middle = F.when(F.size(bbox) == 4, pair(*corner_centre(bbox)))
     return F.coalesce(pair(x, y), pair(norm_x, norm_y), middle)
 
 

@@ -38,3 +38,17 @@ def sessions(df: DataFrame, key: str, t: str, gap: float, order: str) -> DataFra
     w = Window.partitionBy(key).orderBy(t, order)
     fresh = F.coalesce((F.col(t) - F.lag(t).over(w) > gap).cast("long"), F.lit(0))
     return df.withColumn("_new", fresh).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+
+
+def heatmap(points: DataFrame, by: str, width: Column, height: Column, cell: int = 40, least_cells: int = 8, least_points: int = 3) -> DataFrame:
+    """(by, cx, cy, n): how many of each ``by``'s points (x, y) lie in each cell of its frame, whose size the aggregates
+    ``width`` and ``height`` give. The frame has a cell for each ``cell`` of its size, ``least_cells`` at least; a point on
+    its far edge is in the last. What has fewer than ``least_points`` is left out."""
+    size = points.groupBy(F.col(by).alias("_by")).agg(width.cast("double").alias("w"), F.max(height).cast("double").alias("h"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_points).drop("n")
+    p = points.join(size, F.col(by).eqNullSafe(F.col("_by")))
+    place = lambda v, most: F.least(F.floor(F.col(v) / F.col(most) * _cells_of(most, cell, least_cells)), _cells_of(most, cell, least_cells) - 1)
+    return p.groupBy(by, place("x", "w").alias("cx"), place("y", "h").alias("cy")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _cells_of(most: str, cell: int, least: int) -> Column:
+    return F.greatest(F.lit(least).cast("long"), F.floor(F.floor(most) / cell))

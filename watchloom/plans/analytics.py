@@ -266,19 +266,6 @@ def geo_box_overlap(t: Tables):
     return p.select("event_id", F.round(geometry.iou(F.col("a"), F.col("b")), 9).alias("iou"), F.round(geometry.centroid_distance(F.col("a"), F.col("b")), 9).alias("distance"))
 
 
-@query("geo_twin_summary", "SELECT * FROM (VALUES ('billing_counter', 1::BIGINT), ('exit', 1), ('line', 1), ('shelf', 1)) v(zone_type, n)")
-def geo_twin_summary(t: Tables):
-    return zones(t).groupBy("zone_type").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("geo_twin_validate", "SELECT 1::BIGINT AS camera, 'line' AS zone_type, 'fewer than 3 corners' AS problem")
-def geo_twin_validate(t: Tables):
-    """What is wrong with the configured zones: too few corners, or a corner outside the unit square."""
-    out = F.exists("polygon", lambda p: (p[0] < 0) | (p[0] > 1) | (p[1] < 0) | (p[1] > 1))
-    problem = F.when(F.size("polygon") < 3, "fewer than 3 corners").when(out, "corner outside the frame")
-    return zones(t).select("camera", "zone_type", problem.alias("problem")).filter("problem IS NOT NULL")
-
-
 @query("geo_parse_boxes", "SELECT item_id, [[item_id / 1000, 0.1, round(0.5 - item_id / 1000, 9), 0.3]] AS boxes FROM benchmark")
 def geo_parse_boxes(t: Tables):
     text = F.concat(F.lit("box <"), F.col("item_id"), F.lit("><100><500><400> bad <900><1><2><3>"))

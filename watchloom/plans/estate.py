@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from watchloom import schemas
 from watchloom.functions.scalar import seconds
-from watchloom.operators import economics, governance, summary, tables, twin
-from watchloom.plans.registry import Tables, query
+from watchloom.functions.text import describe_event
+from watchloom.operators import economics, governance, inference, summary, tables, twin
+from watchloom.operators.windows import heatmap
+from watchloom.plans.registry import SQL, Tables, query
 from watchloom.sources import files
 
 #: Zones as suppliers have them: of the camera that is their nation, with corners that follow from their key.
@@ -26,14 +29,14 @@ def zones_of(t: Tables):
     return t.supplier.select(key.alias("zone"), camera.alias("camera"), kind.alias("zone_type"), polygon.alias("polygon"))
 
 
-@query("twin_problems", f"WITH z AS ({_ZONES}) SELECT zone, 'unknown camera' AS problem FROM z WHERE camera NOT IN (SELECT n_nationkey FROM nation) UNION ALL SELECT zone, CASE WHEN corners IS NULL OR corners < 3 THEN 'fewer than 3 corners' WHEN fault = 1 THEN 'malformed corner' ELSE 'corner outside the frame' END FROM z WHERE coalesce(corners, 0) < 3 OR fault > 0")
-def twin_problems(t: Tables):
+@query("geo_twin_validate", f"WITH z AS ({_ZONES}) SELECT zone, 'unknown camera' AS problem FROM z WHERE camera NOT IN (SELECT n_nationkey FROM nation) UNION ALL SELECT zone, CASE WHEN corners IS NULL OR corners < 3 THEN 'fewer than 3 corners' WHEN fault = 1 THEN 'malformed corner' ELSE 'corner outside the frame' END FROM z WHERE coalesce(corners, 0) < 3 OR fault > 0")
+def geo_twin_validate(t: Tables):
     """What is wrong with each configured zone."""
     return twin.problems(zones_of(t), t.nation.select(F.col("n_nationkey").alias("camera")))
 
 
-@query("twin_coverage", f"WITH z AS ({_ZONES}) SELECT 'cameras' AS what, NULL AS name, count(*) AS n FROM nation UNION ALL SELECT 'zones', NULL, count(*) FROM z UNION ALL SELECT 'type', zone_type, count(*) FROM z GROUP BY zone_type UNION ALL SELECT 'blind', CAST(n_nationkey AS VARCHAR), 1 FROM nation WHERE n_nationkey NOT IN (SELECT camera FROM z)")
-def twin_coverage(t: Tables):
+@query("geo_twin_summary", f"WITH z AS ({_ZONES}) SELECT 'cameras' AS what, NULL AS name, count(*) AS n FROM nation UNION ALL SELECT 'zones', NULL, count(*) FROM z UNION ALL SELECT 'type', zone_type, count(*) FROM z GROUP BY zone_type UNION ALL SELECT 'blind', CAST(n_nationkey AS VARCHAR), 1 FROM nation WHERE n_nationkey NOT IN (SELECT camera FROM z)")
+def geo_twin_summary(t: Tables):
     """Counts of cameras and zones, zones by type, and cameras that see none."""
     return twin.coverage(zones_of(t), t.nation.select(F.col("n_nationkey").alias("camera")))
 
@@ -65,14 +68,14 @@ def runs_of(t: Tables):
     return r.select(*by, "cpm", "p95", "quality", "cost", (~name.isin("r1", "r4")).alias("available"), portable.alias("portable"))
 
 
-@query("econ_runtimes_ranked", f"{_RUNS} SELECT task, runtime, score, row_number() OVER (PARTITION BY task ORDER BY score DESC, runtime)::INT AS place FROM s")
-def econ_runtimes_ranked(t: Tables):
+@query("econ_bakeoff", f"{_RUNS} SELECT task, runtime, score, row_number() OVER (PARTITION BY task ORDER BY score DESC, runtime)::INT AS place FROM s")
+def econ_bakeoff(t: Tables):
     """Runtimes of each task by a weighted score of measures scaled between the task's worst and best."""
     return economics.ranked(runs_of(t), ["task"]).select("task", "runtime", "score", "place")
 
 
-@query("econ_runtimes_picked", f"{_RUNS}, p AS (SELECT task, first(runtime ORDER BY available DESC, score DESC, runtime) AS production FROM s GROUP BY 1) SELECT p.task, production, coalesce(first(runtime ORDER BY available DESC, portable DESC, score DESC, runtime) FILTER (runtime <> production), production) AS fallback FROM p JOIN s ON s.task = p.task GROUP BY p.task, production")
-def econ_runtimes_picked(t: Tables):
+@query("econ_bakeoff_pick", f"{_RUNS}, p AS (SELECT task, first(runtime ORDER BY available DESC, score DESC, runtime) AS production FROM s GROUP BY 1) SELECT p.task, production, coalesce(first(runtime ORDER BY available DESC, portable DESC, score DESC, runtime) FILTER (runtime <> production), production) AS fallback FROM p JOIN s ON s.task = p.task GROUP BY p.task, production")
+def econ_bakeoff_pick(t: Tables):
     """What each task runs on: the best available runtime, and of the others the most robust one to fall back to."""
     return economics.picked(economics.ranked(runs_of(t), ["task"]), ["task"])
 
@@ -135,7 +138,53 @@ def ingest_segments_once(t: Tables):
     return tables.first_arrivals(s, ["camera", "segment"], "event_id")
 
 
-@query("manifest_blobs")
-def manifest_blobs(t: Tables):
+@query("manifest")
+def manifest(t: Tables):
     """(path, size, sha256) of the directory's files."""
     return files.manifest(t.spark, t.folder, "*.parquet")
+
+
+_PARITY = SQL["parity_report"]
+
+
+@query("parity_status", f"SELECT status, count(*) AS n, any_value(overall) AS overall FROM ({_PARITY}) GROUP BY 1")
+def parity_status(t: Tables):
+    """How many capabilities are measured and pending, and the mean of those measured."""
+    return parity_report(t).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.max("overall").alias("overall"))
+
+
+def _cells(most: str, least: int) -> str:
+    return f"greatest({least}, CAST(floor({most}) AS BIGINT) // 40)"
+
+
+@query("agg_heatmap", f"WITH p AS (SELECT user_id % 4 AS camera, value AS x, event_id % 540 AS y FROM events WHERE event_type <> 'signup'), s AS (SELECT camera, ceil(max(x)) AS w, 540 AS h, count(*) AS n FROM p GROUP BY 1), c AS (SELECT *, {_cells('w', 8)} AS nx, {_cells('h', 8)} AS ny FROM s WHERE n >= 3) SELECT p.camera, least(floor(x / w * nx), nx - 1)::BIGINT AS cx, least(floor(y / h * ny), ny - 1)::BIGINT AS cy, count(*) AS n FROM p JOIN c ON p.camera = c.camera GROUP BY ALL")
+def agg_heatmap(t: Tables):
+    """Where subjects were, a camera's frame in cells of 40 pixels, 8 by 8 at least; a camera with fewer than three is left out."""
+    p = t.events.filter("event_type <> 'signup'").select((F.col("user_id") % 4).alias("camera"), F.col("value").alias("x"), (F.col("event_id") % 540).alias("y"))
+    return heatmap(p, "camera", F.ceil(F.max("x")), F.lit(540))
+
+
+@query("index_events", """WITH n AS (SELECT event_id, 'seen_' || event_type || ' at cam' || user_id || ' objects: person' || CASE WHEN value > 400 THEN ' severity=high' ELSE '' END AS text FROM events ORDER BY ts DESC, event_id LIMIT 1000),
+h AS (SELECT event_id, text, sha256('text:' || text || '|0') AS h FROM n), v AS (SELECT event_id, text, [('0x' || substr(h, 4 * j + 1, 4))::BIGINT / 65535 * 2 - 1 for j in range(8)] AS v FROM h)
+SELECT event_id AS id, text, [round(x / sqrt(list_sum([y * y for y in v])), 9) for x in v] AS vector FROM v UNION ALL SELECT vec_id, NULL, [round(x::DOUBLE, 9) for x in embedding[1:8]] FROM embeddings WHERE vec_id NOT IN (SELECT event_id FROM n)""")
+def index_events(t: Tables):
+    """The newest thousand events as texts and vectors, by a model that a task loads once, put into the index in the place of
+    what it had of them."""
+    newest = t.events.orderBy(F.desc("ts"), "event_id").limit(1000)
+    none = F.array().cast("array<string>")
+    text = describe_event(F.concat(F.lit("seen_"), F.col("event_type")), F.concat(F.lit("cam"), F.col("user_id").cast("string")), none, F.array(F.lit("person")), F.when(F.col("value") > 400, "high").otherwise("info"))
+    rows = newest.select(F.col("event_id").alias("id"), text.alias("text"))
+    vectors = inference.apply_model(rows, lambda: inference.HashEmbedder(8)).withColumnRenamed("id", "v_id")
+    made = rows.join(vectors, F.col("id") == F.col("v_id")).select("id", "text", F.transform("vector", lambda x: F.round(x, 9)).alias("vector"))
+    index = t.embeddings.select(F.col("vec_id").alias("id"), F.lit(None).cast("string").alias("text"), F.transform(F.slice("embedding", 1, 8), lambda x: F.round(x.cast("double"), 9)).alias("vector"))
+    return tables.replace_keys(index, made, ["id"])
+
+
+@query("sink_typed_detections", "SELECT CAST(event_id AS VARCHAR) AS id, event_type AS label, TRY_CAST(value AS DOUBLE) AS confidence, true AS no_window FROM events UNION ALL SELECT CAST(event_id AS VARCHAR), event_type, NULL, true FROM events")
+def sink_typed_detections(t: Tables):
+    """Rows of two makers as the table of detections takes them: cast, and null where a maker says nothing or nonsense."""
+    path = files.scratch(t.spark, "detections")
+    e = t.events
+    tables.append_typed(e.select(F.col("event_id").alias("id"), F.col("event_type").alias("label"), F.col("value").cast("string").alias("confidence")), schemas.DETECTIONS, path)
+    tables.append_typed(e.select(F.col("event_id").alias("id"), F.lit("high").alias("confidence"), F.col("event_type").alias("label")), schemas.DETECTIONS, path)
+    return t.spark.read.schema(schemas.DETECTIONS).parquet(path).select("id", "label", "confidence", F.col("ai_window_id").isNull().alias("no_window"))

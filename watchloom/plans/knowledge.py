@@ -380,46 +380,11 @@ def econ_benchmark(t: Tables):
     return economics.benchmark(r, ["l_returnflag"], 70.0)
 
 
-@query("econ_fake_runs", "SELECT i AS item, 45 + 15 * (2.0 * (i % 300) / 300 - 1) AS latency_ms FROM range(300) r(i)".replace("2.0 *", "2.0::DOUBLE *"))
-def econ_fake_runs(t: Tables):
-    return economics.fake_runs(t.spark, 300, 45.0, 15.0, 100).select("item", "latency_ms")
-
-
 @query("econ_economy", "SELECT round(avg(value), 2) AS avg_power_w, round(avg(value) * 556.5 / 3600, 4) AS energy_wh, round(avg(value) * 556.5 / 3600 / 1000 * 10, 6) AS cost, round(141 / greatest(avg(value) * 556.5 / 3600, 0.001), 2) AS events_per_wh, round(avg(value) * 556.5 / 3600 / 1000 * 10 / 141, 6) AS cost_per_event FROM events")
 def econ_economy(t: Tables):
     return economics.economy(t.events, "value", 556.5, 141)
 
 
-#: The six runtimes' availability, clips a minute, p95 ms, quality, cost per 1000 clips.
-RUNTIMES = [
-    ("tensorrt_llm", False, 63.324538258575195, 1170.25, 0.96, 0.6843055555555556),
-    ("nim", False, 57.295645530939645, 1296.68, 0.96, 0.7272222222222223),
-    ("vllm", False, 46.278441959120705, 1608.35, 0.96, 0.8643333333333334),
-    ("llama_cpp", True, 29.347028613352897, 2534.55, 0.93, 0.8234791666666668),
-    ("transformers", True, 23.139220979560353, 3216.7, 0.96, 1.4405555555555558),
-    ("ollama", True, 27.347310847766636, 2728.6, 0.93, 0.9141666666666668),
-]
-#: What each measure weighs, and whether less of it is better.
-SCORE = {"cpm": (0.35, False), "p95": (0.25, True), "quality": (0.25, False), "cost": (0.15, True)}
-_VALUES = ", ".join(f"('{n}', {a}, {c}::DOUBLE, {p}::DOUBLE, {q}::DOUBLE, {k}::DOUBLE)" for n, a, c, p, q, k in RUNTIMES)
-
-
-@query("econ_bakeoff", f"WITH r AS (SELECT * FROM (VALUES {_VALUES}) v(runtime, available, cpm, p95, quality, cost)), s AS (SELECT runtime, available, round(0.35::DOUBLE * (cpm - min(cpm) OVER ()) / (max(cpm) OVER () - min(cpm) OVER ()) + 0.25::DOUBLE * (1 - (p95 - min(p95) OVER ()) / (max(p95) OVER () - min(p95) OVER ())) + 0.25::DOUBLE * (quality - min(quality) OVER ()) / (max(quality) OVER () - min(quality) OVER ()) + 0.15::DOUBLE * (1 - (cost - min(cost) OVER ()) / (max(cost) OVER () - min(cost) OVER ())), 4) AS score FROM r) SELECT runtime, available, score, row_number() OVER (ORDER BY score DESC, runtime)::INT AS place FROM s")
-def econ_bakeoff(t: Tables):
-    """Runtimes by a weighted score of measures scaled between the worst and the best."""
-    r = t.spark.createDataFrame(RUNTIMES, "runtime string, available boolean, cpm double, p95 double, quality double, cost double")
-    s = search.normalised_score(r, SCORE)
-    return s.select("runtime", "available", "score", F.row_number().over(Window.orderBy(F.desc("score"), "runtime")).alias("place"))
-
-
-@query("econ_bakeoff_pick", "SELECT 'llama_cpp' AS production, 'transformers' AS fallback")
-def econ_bakeoff_pick(t: Tables):
-    """Production is the best of those available, else the best; the fallback the plainest that runs here."""
-    s = econ_bakeoff(t)
-    plain = F.when(F.col("runtime") == "transformers", 2).when(F.col("available"), 1).otherwise(0)
-    return s.agg(F.max_by("runtime", F.struct("available", "score")).alias("production"), F.max_by("runtime", F.struct("available", plain, "score")).alias("fallback"))
-
-
 @query("econ_rollback", "SELECT user_id, nth_value(event_type, 2) OVER (PARTITION BY user_id ORDER BY event_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS previous FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE p IS NULL OR p <> event_type QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
 def econ_rollback(t: Tables):
     """The profile before the current one, repeats aside."""

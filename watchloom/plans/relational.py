@@ -310,11 +310,3 @@ def window_longest_first(t: Tables):
 @query("dedup_first_seen", "SELECT event_type, min(event_id) AS first_id FROM events GROUP BY 1 ORDER BY 2")
 def dedup_first_seen(t: Tables):
     return t.events.groupBy("event_type").agg(F.min("event_id").alias("first_id")).orderBy("first_id")
-
-
-@query("manifest", "SELECT 14 AS n")
-def manifest(t: Tables):
-    """How many tables a directory holds, by listing it as binary files."""
-    paths = t.spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(t.folder).select("path")
-    name = F.regexp_extract("path", r"/(\w+)\.parquet", 1)
-    return paths.select(name.alias("name")).distinct().agg(F.count(F.lit(1)).cast("int").alias("n"))
