@@ -73,3 +73,17 @@ def test_mixture_repeats_rows_as_often_as_taken(spark):
     for x in M.mixture(df).collect():
         got[x.doc_id] = got.get(x.doc_id, 0) + 1
     assert got == {d: n for d, n in taken.items() if n}
+
+
+def test_very_long_text(spark):
+    rows = [(1, "w " * 400_000, "a"), (2, "w " * 10, "a"), (3, "w " * 50_000, "b"), (4, None, "b"), (5, "w " * 7, None)]
+    got = {x.doc_id: (x.size, x.source_size, x.taken) for x in M.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    want = plain([(d, t, s) for d, t, s in rows])
+    assert got == {d: (n, size, taken) for d, (n, size, _, taken) in want.items()}
+
+
+def test_mixture_takes_rows_of_one_id_in_the_order_they_were_written(spark):
+    rows = [(1, f"t{k} x", "s") for k in range(40)] + [(2, "y " * 60, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+    runs = [sorted(x.text for x in M.mixture(df).collect()) for _ in range(2)]
+    assert runs[0] == runs[1]

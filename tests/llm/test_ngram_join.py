@@ -98,3 +98,9 @@ def test_long_text():
     text = " ".join(random.Random(3).choices(WORDS, k=60_000))
     assert len(N.ngrams(text)) > 59_000
     assert (np.diff(N.ngrams(text).astype(object)) > 0).all()
+
+
+def test_very_long_texts_meet(spark):
+    long = [f"{k % 7001}w{k % 13}" for k in range(60_000)]
+    near = long[:30_000] + ["other"] + long[30_001:]
+    compare(spark, [(1, " ".join(long)), (2, " ".join(near)), (3, " ".join(long[:20_000])), (4, "z" * 500_000), (5, "short text of a few words")])

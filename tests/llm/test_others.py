@@ -1,5 +1,6 @@
 """Language ID, media, pieces, licences, chat."""
 
+import hashlib
 import itertools
 import random
 import re
@@ -378,3 +379,21 @@ def test_chat_turns_of_one_number_are_dealt_by_position(spark, monkeypatch):
     assert all(len({x.parts for x in parts}) == 1 and sorted(x.part for x in parts) == list(range(parts[0].parts)) for parts in got.values())
     assert sorted(m for x in got[1] for m in re.findall(r"t[0-9]+", x.rendered)) == sorted(f"t{k}" for k in range(60))
     assert sum(x.rendered.count("same") for x in got[2]) == 40 and got[4][0].rendered.count("long ") == 300_000
+
+
+def test_a_very_long_unit_and_its_way_back(pieces):
+    for text in ("a" * 30_000, "ab" * 5_000 + " c", "é" * 3_000, "▁" * 2_000):
+        found = pieces.segmentations(text, 2)
+        assert all(pieces.decode(ids) == text for _, ids in found)
+        assert all(len(u) <= P.CACHED_LENGTH for u in pieces.cache)
+
+
+def test_a_text_over_an_archives_size(spark, monkeypatch):
+    monkeypatch.setattr(M, "ARCHIVE_BYTES", 1 << 12)  # of this process, which plans; tasks have their own
+    r = random.Random(4)
+    rows = [(k, "".join(chr(r.randint(33, 900)) for _ in range(n))) for k, n in enumerate((10, 90_000, 20, 2_000_000, 0, 30))]
+    got = {x.doc_id: x for x in M.media_columns(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    for k, text in rows:
+        data = text.encode()
+        padded = data + b" " * (-len(data) % 192 or (0 if data else 192))
+        assert got[k].n_bytes == len(data) and got[k].payload_bytes == len(padded) and got[k].payload_sha256 == hashlib.sha256(padded).hexdigest() and got[k].error is None

@@ -8,7 +8,8 @@ verified against the bucket's full digests, so false positives cost a lookup and
 When an insertion finds no place, the filter is resized and refilled from the stored keys.
 
 Defined results: null text counts as empty; empty texts are equal to one another; null ids lose to
-any id; of repeated rows (same id, same text) exactly one is kept; extra columns are ignored.
+any id; of repeated rows (same id, same text) exactly one is kept; a very long text is digested whole; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

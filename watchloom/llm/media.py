@@ -11,7 +11,8 @@ A task writes its archives under names that follow from its partition, each put
 so a task that is run again replaces what it wrote.
 
 Defined results: null text counts as empty; an empty text is one row of spaces; a null id stays null;
-repeated rows are members of their own; extra columns are ignored.
+repeated rows are members of their own, and equal texts have equal stored forms; a very long text is one member,
+in an archive of its own if it fills one; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations

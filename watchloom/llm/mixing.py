@@ -10,8 +10,9 @@ order) and slices get their offsets from a prefix sum over slice totals; the glo
 the same way over equal ranges of virtual time.
 
 Defined results: null text has size 0 and is taken 0 times; null source is a source of its own, the
-last; an empty table gives an empty result; repeated rows are documents of their own; extra columns
-are ignored.
+last; an empty table gives an empty result; repeated rows are documents of their own; a very long text is one
+document, taken whole or not; documents of equal place in the shuffled order come by id, size and, where rows
+themselves are given back, by where they were written; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,7 +94,7 @@ def placed(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, repeats: int
     offsets = totals.select("source", "slice", F.coalesce(F.sum("size").over(upto), F.lit(0)).alias("offset"))
     plan = offsets.join(targets, offsets["source"].eqNullSafe(targets["source"])).drop(targets["source"])
     plan = materialize(plan, "mix-plan").withColumnsRenamed({"source": "p_source", "slice": "p_slice"})
-    within = Window.partitionBy("source", "slice").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "slice").orderBy("h", "doc_id", "size", *[c for c in rows.columns if c == "mark"]).rowsBetween(Window.unboundedPreceding, 0)
     timed = rows.withColumn("run", F.sum("size").over(within)).withColumn("k", F.row_number().over(within))
     timed = timed.join(plan, timed["source"].eqNullSafe(plan["p_source"]) & (timed["slice"] == plan["p_slice"]), "left").drop("p_source", "p_slice")
     timed = materialize(timed.withColumn("cum", F.col("offset") + F.col("run")).drop("offset", "run"), "mix-timed")

@@ -11,8 +11,8 @@ Characters that no piece holds become byte pieces at ``UNKNOWN_COST`` below the
 mark itself, where a text contains it, is spelt in bytes too, so decoding is an exact inverse.
 
 Defined results: null text gives null columns; empty text gives no pieces, score 0; lone surrogates
-are spelt by their three bytes; equal scores prefer the longer last piece; repeated rows repeat;
-extra columns are ignored.
+are spelt by their three bytes; equal scores prefer the longer last piece; repeated rows repeat; a very long text is
+segmented whole, unit by unit; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ MARK = "▁"
 ESCAPED = "\udcff"  # stands for a word mark of the text itself while it is segmented; no UTF-8 text holds it
 UNKNOWN_COST = 10.0
 NBEST = 4
-#: Units whose paths a worker keeps.
-CACHE = 500_000
+#: Units whose paths a worker keeps, and the longest of them, so that what it keeps is bounded in bytes too.
+CACHE, CACHED_LENGTH = 500_000, 64
 #: Code points whose pairs are looked up in a table.
 TABLE = 1024
 
@@ -137,7 +137,8 @@ class Pieces:
             self.cache.clear()
         flat = np.array([i for own in reversed(ids) for i in own], np.int32)
         found = (best[-1], flat.tobytes(), best[-1] - second if second > -1e299 else float("inf"))
-        self.cache[unit] = found
+        if len(unit) <= CACHED_LENGTH:
+            self.cache[unit] = found
         return found
 
     def best_paths(self, unit: str, n: int) -> tuple[tuple[float, tuple[int, ...]], ...]:
@@ -170,7 +171,8 @@ class Pieces:
         found = ((score, ids), *[x for x in out if x[1] != ids][: n - 1])
         if len(self.more) >= CACHE // 4:
             self.more.clear()
-        self.more[unit, n] = found
+        if len(unit) <= CACHED_LENGTH:
+            self.more[unit, n] = found
         return found
 
     def combine(self, units: list[str], found: list[tuple], n: int) -> list[tuple[float, list[tuple[int, tuple[int, ...]]]]]:
