@@ -11,7 +11,8 @@ the words of those that remain are compared in full. The sketch has 64 bits, fro
 from ``LONGER`` on 512: a sketch says nothing about sets that may differ in half as many words as it has bits.
 
 One earlier line is enough, so a first pass compares each line only with the first line under each of
-its ``PIVOTS`` rarest words; only lines that found none take the later part in the full join. Groups of near copies thus cost about their size, and the second pass loses nothing. A
+its ``PIVOTS`` rarest words; only lines that found none take the later part in the full join. Of a line's candidates there
+the first is compared by itself, and the others only if it fails. Groups of near copies thus cost about their size, and the second pass loses nothing. A
 word under which more than ``POOL`` lines are listed (its rarity tells) is dealt to pools, and each pair of
 pools meets by itself, so that no word's lines meet in one task.
 
@@ -225,10 +226,16 @@ def repeats(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     done = materialize(verified(pairs, lines, threshold), "first-repeats", BLOOM)
     flagged = lines.join(done.withColumnRenamed("number", "d"), F.col("number") == F.col("d"), "left").withColumn("open", F.col("d").isNull())
     rest = materialize(all_matches(flagged, threshold), "pairs")
-    more = materialize(verified(rest, lines, threshold), "more-repeats", BLOOM)
     discard(pairs)
-    discard(rest)
-    return done.unionAll(more)
+    # one similar line is enough: the first candidate of each line is compared, and the others only where that one fails,
+    # so that a group of near copies isn't compared pair by pair
+    near = materialize(rest.groupBy("later").agg(F.min("earlier").alias("earlier")), "near-pairs")
+    soon = materialize(verified(near, lines, threshold), "soon-repeats", BLOOM)
+    left = materialize(rest.join(soon.withColumnRenamed("number", "d"), F.col("later") == F.col("d"), "left_anti").join(near.select(F.col("later").alias("n"), F.col("earlier").alias("tried")), F.col("later") == F.col("n")).filter("earlier <> tried").select("later", "earlier"), "left-pairs")
+    more = materialize(verified(left, lines, threshold), "more-repeats", BLOOM)
+    for spent in (rest, near, left):
+        discard(spent)
+    return done.unionAll(soon).unionAll(more)
 
 
 def _marks(line: Column) -> list[Column]:
