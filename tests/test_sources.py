@@ -96,3 +96,19 @@ def test_batches_of_a_stream_are_recorded(spark, tmp_path):
         spark.streams.removeListener(log)
     rows = spark.read.schema(telemetry.METRICS).parquet(str(tmp_path / "metrics")).filter("metric = 'stream_input_rows'").collect()
     assert [r.value for r in rows] == [10.0] * 3 and sorted(r.labels["batch"] for r in rows) == ["0", "1", "2"]
+
+
+def test_a_session_as_the_operators_want_it(spark):
+    from watchloom.session import session
+
+    assert session("again", spark__sql__shuffle__partitions="4").conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
+
+
+def test_scratch_is_shared_or_an_error(spark, monkeypatch):
+    class Cluster:
+        sparkContext = type("C", (), {"master": "spark://x:1", "getConf": lambda self: {}})()
+        conf = {}
+
+    with pytest.raises(ValueError):
+        files.scratch(Cluster(), "x")
+    assert "/x-" in files.scratch(spark, "x")

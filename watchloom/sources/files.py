@@ -14,8 +14,12 @@ NOT_RESULTS = ("summary.json", "fused.json", "economy.json")
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new folder under the checkpoint folder, else the warehouse: both are shared with the executors."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder under the checkpoint folder, which executors share. A local session without one uses its warehouse; on a
+    cluster that is an error, since the warehouse may be on the driver's own disk."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
