@@ -19,7 +19,7 @@ l AS (SELECT {k}, s, v, grown, unnest(range(CAST(ceil(s / {step}) AS BIGINT), CA
 a AS (SELECT {k}, k, count(*) AS n, min(s) AS t0, max(s) AS t1, arg_min(v, (s, v)) AS v0, coalesce(sum(grown), 0) - coalesce(arg_min_null(grown, (s, v)), 0) AS r FROM l GROUP BY ALL),
 d AS (SELECT *, t1 - t0 AS len, (t1 - t0) / (n - 1) AS gap, t0 - (k * {step} - {span}) AS head, k * {step} - t1 AS tail FROM a WHERE n >= 2 AND t1 > t0),
 x AS (SELECT *, CASE WHEN head < 1.1 * gap THEN head ELSE gap / 2 END AS h0, CASE WHEN tail < 1.1 * gap THEN tail ELSE gap / 2 END AS t2 FROM d),
-rates AS (SELECT {k}, k * {step} AS step_at, r * (len + least(h0, CASE WHEN r > 0 AND v0 >= 0 THEN len * v0 / r ELSE h0 END) + t2) / len / {span} AS rate FROM x)"""
+rates AS (SELECT {k}, k * {step} AS step_at, r * ((len + least(h0, CASE WHEN r > 0 AND v0 >= 0 THEN len * v0 / r ELSE h0 END) + t2) / len) / {span} AS rate FROM x)"""
 
 
 def _rate_sql(series: str) -> str:
