@@ -87,3 +87,25 @@ def test_clashing_names_and_empty_table(spark):
     out = D.without_repeated_lines(df)
     assert out.columns == df.columns and [(r.doc_id, r.n_chars) for r in out.collect()] == [(1, 9)]
     assert D.without_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_group_of_near_copies_is_not_paired(spark, monkeypatch):
+    counts, write = {}, D.materialize
+
+    def counted(df, label, *rest):
+        table = write(df, label, *rest)
+        counts[label] = table.count()
+        return table
+
+    monkeypatch.setattr(D, "materialize", counted)
+    r = random.Random(4)
+    base = [f"x{k}" for k in range(60)]
+    rows = []
+    for i in range(200):
+        w = list(base)
+        for k in r.sample(range(60), 3):  # words of its own, which are its rarest
+            w[k] = f"y{i}_{k}"
+        rows.append((i, " ".join(w)))
+    got = run(spark, rows)
+    assert sorted(n for _, _, n in got) == [0] + [1] * 199
+    assert counts["pairs"] <= 1000

@@ -10,9 +10,11 @@ itself. Lines that meet under a word are compared if length, position and a pari
 the words of those that remain are compared in full. The sketch has 64 bits, from ``LONG`` words on 128 and
 from ``LONGER`` on 512: a sketch says nothing about sets that may differ in half as many words as it has bits.
 
-One earlier line is enough, so a first pass compares each line only with the first line under each of
-its ``PIVOTS`` rarest words; only lines that found none take the later part in the full join. Of a line's candidates there
-the first is compared by itself, and the others only if it fails. Groups of near copies thus cost about their size, and the second pass loses nothing. A
+One earlier line is enough. Rows of a line and a word that meet no line which may be similar are left out first, by
+a semi-join, which lists each of the others once, however many lines it meets. Of these a first pass compares each line
+only with a few: of the first line under each word and the last ones before it (in a share of the word's lines), those
+with the nearest sketches. Only lines that none of them is similar to are paired with all that they meet.
+Groups of near copies thus cost about their size, and the second pass loses nothing. A
 word under which more than ``POOL`` lines are listed (its rarity tells) is dealt to pools, and each pair of
 pools meets by itself, so that no word's lines meet in one task.
 
@@ -37,7 +39,6 @@ from pyspark.sql import functions as F
 from watchloom.llm.common import BLOOM, discard, internal, materialize
 
 THRESHOLD = 0.8
-PIVOTS = 2
 BUCKETS = 1 << 18
 #: Bits of a word's hash under its rarity in a key.
 HASH_BITS = 56
@@ -46,6 +47,11 @@ PLACE_BITS = 27
 MOST_ROWS = 1 << (62 - PLACE_BITS)
 #: Lines under one word that the join looks at together.
 POOL = 65536
+#: Shares to which the lines under one word are dealt in the first pass, and lines before each that it looks at.
+SHARES = 8
+LAST = 2
+#: Of the lines that the first pass finds for a line, so many are compared with it.
+NEAREST = 3
 #: Words from which a line has the second part of its sketch, and the third of ``WIDE`` times 64 bits.
 LONG = 100
 LONGER = 200
@@ -56,8 +62,12 @@ SKETCH = ("s", "t", "wide")
 def split_words(line: Column) -> Column:
     """The words of a line, in order. Splitting at one fixed character is several times faster than at a
     pattern."""
-    even = F.when(line.rlike(r"[\t\n\x0b\f\r]"), F.translate(line, "\t\n\x0b\f\r", "     ")).otherwise(line)
-    return F.array_remove(F.split(even, " "), "")
+    return F.array_remove(F.split(_one_space(line), " "), "")
+
+
+def _one_space(line: Column) -> Column:
+    """The line with each character of white space as a space."""
+    return F.when(line.rlike(r"[\t\n\x0b\f\r]"), F.translate(line, "\t\n\x0b\f\r", "     ")).otherwise(line)
 
 
 def words(line: Column) -> Column:
@@ -96,7 +106,8 @@ def has_word(line: Column) -> Column:
 
 def rarity(docs: DataFrame) -> Column:
     """The quarter-log counts of the word buckets, as a constant array of BUCKETS entries."""
-    each = docs.select(split_words(F.replace("text", F.lit("\n"), F.lit(" "))).alias("ws")).select(F.explode_outer("ws").alias("w"))
+    # empty words are counted like any other, which is cheaper than taking them out
+    each = docs.select(F.split(_one_space(F.replace("text", F.lit("\n"), F.lit(" "))), " ").alias("ws")).select(F.explode_outer("ws").alias("w"))
     counts = each.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     tier = F.coalesce(F.least(F.floor(F.log2(F.col("n") + 1) * 4), F.lit(126)), F.lit(0))
     every = docs.sparkSession.range(BUCKETS).join(counts, F.col("id") == F.col("b"), "left").select(F.struct("id", tier.alias("tier")).alias("e"))
@@ -150,15 +161,6 @@ def sketches_allow(x: dict[str, Column], y: dict[str, Column], most: Column) ->
     return (narrow <= most) & F.coalesce(apart <= most, F.lit(True))
 
 
-def may_match(x: dict[str, Column], y: dict[str, Column], threshold: float) -> Column:
-    """Whether lines (their n, at, s, t and wide) that share the words at their places can be similar."""
-    n, m = x["n"], y["n"]
-    need = _need(n, m, threshold)
-    length = F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9
-    position = F.least(n - x["at"], m - y["at"]) >= need
-    return length & position & sketches_allow(x, y, n + m - 2 * need)
-
-
 def verified(pairs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
     """The later lines (number) of a written table of ``pairs`` (later, earlier) that are similar. Few lines
     are in a pair: Spark may build a Bloom filter of a bounded size for them, by which the scan leaves out others."""
@@ -180,62 +182,81 @@ def _pools(key: Column) -> Column:
     return F.ceil(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(key, HASH_BITS + 2).cast("int")) / POOL).cast("int")
 
 
-def first_matches(lines: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (later, earlier) of lines that may be similar: each line with the first one under each of its
-    rarest words."""
-    own = ("n", "at", "s", "t")
-    rare = lines.select("number", "n", "s", "t", F.slice("prefix", 1, PIVOTS).alias("ks")).select("number", "n", "s", "t", F.posexplode_outer("ks").alias("at", "key"))
-    pool = Window.partitionBy("key", F.pmod(F.hash("number"), _pools(F.col("key")))).orderBy("number").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = rare.withColumn("p", F.first(F.struct("number", *own)).over(pool)).filter(F.col("p.number") < F.col("number"))
-    none = {"wide": F.lit(None).cast("array<long>")}
-    found = met.filter(may_match({c: F.col(c) for c in own} | none, {c: F.col(f"p.{c}") for c in own} | none, threshold))
-    return found.select(F.col("number").alias("later"), F.col("p.number").alias("earlier")).distinct()
-
-
-def all_matches(lines: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (later, earlier) of lines that may be similar, of which the later one is ``open``."""
-    # numbers are packed, since these rows are what is shuffled most; both sides of the join are one shuffle
-    code = F.shiftleft("number", 1).bitwiseOR(F.col("open").cast("long"))
-    each = lines.select(code.alias("code"), "n", "pools", *SKETCH, F.posexplode_outer("prefix").alias("at", "key"))
+def under_words(lines: DataFrame) -> DataFrame:
+    """A row per line and word of its prefix: (key, number, place, s, t, wide), where the place packs n and at."""
+    each = lines.select("number", "n", "pools", *SKETCH, F.posexplode_outer("prefix").alias("at", "key"))
     place = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("place")
-    plain = each.filter("pools = 1").select("key", "code", place, *SKETCH)
+    plain = each.filter("pools = 1").select("key", "number", place, *SKETCH)
     # lines with a word of several pools, which the parquet files' statistics mostly rule out
-    dealt = each.filter("pools > 1").withColumn("pools", _pools(F.col("key"))).withColumn("pool", F.pmod(F.hash("code"), F.col("pools")))
+    dealt = each.filter("pools > 1").withColumn("pools", _pools(F.col("key"))).withColumn("pool", F.pmod(F.hash("number"), F.col("pools")))
     dealt = dealt.withColumn("others", F.sequence(F.lit(0), F.col("pools") - 1)).withColumn("other", F.explode_outer("others"))
     meet = F.when(F.col("pools") == 1, F.col("key")).otherwise(F.xxhash64("key", F.least("pool", "other"), F.greatest("pool", "other")))
-    rows = plain.unionAll(dealt.select(meet.alias("key"), "code", place, *SKETCH)).repartition("key")
+    return plain.unionAll(dealt.select(meet.alias("key"), "number", place, *SKETCH))
+
+
+def _side(of: str, threshold: float) -> list[Column]:
+    """The columns of ``under_words`` unpacked, for one side of a join, with the fewest words of a similar line and
+    the words from this one on."""
     n, at = F.shiftright("place", 32).cast("int"), F.col("place").bitwiseAND(F.lit((1 << 31) - 1)).cast("int")
-    index = n - F.ceil(n * (2 * threshold / (1 + threshold)) - 1e-9).cast("int")
-    sides = {"n": n, "least": F.ceil(n * threshold - 1e-9).cast("int"), "rest": n - at, **{c: F.col(c) for c in ("key", "code", *SKETCH)}}
-    # of a pair the longer line, of equals the later, is on the left; on the right the index prefix is enough. What
-    # depends on chance isn't pushed below the shuffle, which is thus one for both sides
-    longer = rows.select(*[c.alias(f"a_{k}") for k, c in sides.items()])
-    shorter = rows.filter((F.rand() >= 0) & (at <= index)).select(*[c.alias(f"b_{k}") for k, c in sides.items()])
-    a, b = ({k: F.col(f"{x}_{k}") for k in sides} for x in "ab")
-    later, earlier, need = F.greatest("a_code", "b_code"), F.least("a_code", "b_code"), _need(a["n"], b["n"], threshold)
-    length = (b["n"] <= a["n"]) & (b["n"] >= a["least"]) & ((b["n"] < a["n"]) | (b["code"] < a["code"]))
-    position = (a["rest"] >= need) & (b["rest"] >= need)
-    allowed = length & position & (later.bitwiseAND(F.lit(1)) == 1) & sketches_allow(a, b, a["n"] + b["n"] - 2 * need)
-    met = longer.join(shorter, (a["key"] == b["key"]) & allowed)
-    return met.select(F.shiftright(later, 1).alias("later"), F.shiftright(earlier, 1).alias("earlier")).distinct()
+    made = {"key": F.col("key"), "number": F.col("number"), "place": F.col("place"), "n": n, "least": F.ceil(n * threshold - 1e-9).cast("int"), "rest": n - at} | {c: F.col(c) for c in SKETCH}
+    return [c.alias(f"{of}_{k}") for k, c in made.items()]
+
+
+def _allowed(a: Callable[[str], Column], b: Callable[[str], Column], threshold: float) -> Column:
+    """Whether lines that share the words at their places can be similar. That as many words follow as they must
+    share keeps the word of the shorter one to its index prefix."""
+    need = _need(a("n"), b("n"), threshold)
+    length = (b("n") >= a("least")) & (a("n") >= b("least"))
+    position = (a("rest") >= need) & (b("rest") >= need)
+    return length & position & sketches_allow({c: a(c) for c in ("n", *SKETCH)}, {c: b(c) for c in ("n", *SKETCH)}, a("n") + b("n") - 2 * need)
+
+
+def partners(lines: DataFrame, threshold: float) -> DataFrame:
+    """The rows of ``under_words`` that meet another one which may be similar: each once, however many it meets.
+    Both sides are one shuffle."""
+    rows = under_words(lines).repartition("key")
+    a, b = rows.select(*_side("a", threshold)), rows.select(*_side("b", threshold))
+    meets = (F.col("a_key") == F.col("b_key")) & (F.col("a_number") != F.col("b_number")) & _allowed(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), threshold)
+    return a.join(b, meets, "left_semi").select(*[F.col(f"a_{c}").alias(c) for c in ("key", "number", "place", *SKETCH)])
+
+
+def near_matches(met: DataFrame, threshold: float) -> DataFrame:
+    """At most ``NEAREST`` pairs (later, earlier) of each line: of the first line under each word and the last ones before
+    it of its share of the word's lines, that may be similar, those with the nearest sketches."""
+    share = Window.partitionBy("a_key", F.pmod(F.hash("a_number"), F.lit(SHARES))).orderBy("a_number")
+    one = F.struct(*[F.col(f"a_{c}").alias(c) for c in ("number", "n", "least", "rest", *SKETCH)])
+    rows = met.select(*_side("a", threshold)).select("a_key", "a_number", one.alias("one"))
+    heads = rows.groupBy(F.col("a_key").alias("k")).agg(F.min("one").alias("head"))
+    rows = rows.join(heads, F.col("a_key") == F.col("k"))
+    before = F.array("head", *[F.lag("one", k).over(share) for k in range(1, LAST + 1)])
+    pairs = rows.withColumn("before", before).select("one", F.explode("before").alias("b"))
+    a, b = (lambda c: F.col(f"one.{c}")), (lambda c: F.col(f"b.{c}"))
+    found = pairs.filter((b("number") < a("number")) & _allowed(a, b, threshold))
+    apart = F.bit_count(a("s").bitwiseXOR(b("s"))) + F.bit_count(a("t").bitwiseXOR(b("t")))
+    tried = F.collect_set(F.struct(apart.alias("apart"), b("number").alias("earlier")))  # no more than LAST + 1 of each word of the line
+    nearest = found.groupBy(a("number").alias("later")).agg(F.slice(F.sort_array(tried), 1, NEAREST).alias("nearest"))
+    return nearest.select("later", F.explode("nearest.earlier").alias("earlier"))
+
+
+def all_matches(met: DataFrame, done: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (later, earlier) of lines that may be similar, of which the later one isn't ``done``."""
+    later = met.join(done.withColumnRenamed("number", "d"), F.col("number") == F.col("d"), "left_anti").select(*_side("a", threshold))
+    earlier = met.select(*_side("b", threshold))
+    meets = (F.col("a_key") == F.col("b_key")) & (F.col("b_number") < F.col("a_number")) & _allowed(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), threshold)
+    return later.join(earlier, meets).select(F.col("a_number").alias("later"), F.col("b_number").alias("earlier")).distinct()
 
 
 def repeats(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The numbers of the lines of a written table (see ``listed``) to which an earlier line is similar."""
-    pairs = materialize(first_matches(lines, threshold), "first-pairs")
-    done = materialize(verified(pairs, lines, threshold), "first-repeats", BLOOM)
-    flagged = lines.join(done.withColumnRenamed("number", "d"), F.col("number") == F.col("d"), "left").withColumn("open", F.col("d").isNull())
-    rest = materialize(all_matches(flagged, threshold), "pairs")
-    discard(pairs)
-    # one similar line is enough: the first candidate of each line is compared, and the others only where that one fails,
-    # so that a group of near copies isn't compared pair by pair
-    near = materialize(rest.groupBy("later").agg(F.min("earlier").alias("earlier")), "near-pairs")
-    soon = materialize(verified(near, lines, threshold), "soon-repeats", BLOOM)
-    left = materialize(rest.join(soon.withColumnRenamed("number", "d"), F.col("later") == F.col("d"), "left_anti").join(near.select(F.col("later").alias("n"), F.col("earlier").alias("tried")), F.col("later") == F.col("n")).filter("earlier <> tried").select("later", "earlier"), "left-pairs")
-    more = materialize(verified(left, lines, threshold), "more-repeats", BLOOM)
-    for spent in (rest, near, left):
-        discard(spent)
-    return done.unionAll(soon).unionAll(more)
+    met = materialize(partners(lines, threshold), "partners")
+    near = materialize(near_matches(met, threshold), "near-pairs")
+    done = materialize(verified(near, lines, threshold), "near-repeats", BLOOM)
+    discard(near)
+    rest = materialize(all_matches(met, done, threshold), "pairs")
+    discard(met)
+    more = materialize(verified(rest, lines, threshold), "more-repeats", BLOOM)
+    discard(rest)
+    return done.unionAll(more)
 
 
 def _marks(line: Column) -> list[Column]:
