@@ -28,10 +28,11 @@ def _rate_sql(series: str) -> str:
 
 @query("metric_range_rate", "WITH c AS (SELECT event_type, user_id % 20 AS instance, epoch_us(ts) / 1e6 AS s, sum(value) OVER (PARTITION BY event_type, user_id % 20, ts::DATE ORDER BY ts, event_id) AS v FROM events), " + _rate_sql("event_type, instance") + " SELECT event_type, step_at, round(sum(rate), 9) AS rate FROM rates GROUP BY ALL")
 def metric_range_rate(t: Tables):
-    """Rates by kind of counters that start anew each day, over six hours, every two."""
-    own = Window.partitionBy("event_type", F.col("user_id") % 20, F.to_date("ts")).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    """Rates by kind of counters that start anew each day, over six hours, every two. Events of one time and id are read at
+    once; before a day's first value its counter has none."""
+    own = Window.partitionBy("event_type", F.col("user_id") % 20, F.to_date("ts")).orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))
     c = t.events.select("event_type", (F.col("user_id") % 20).alias("instance"), seconds("ts").alias("s"), F.sum("value").over(own).alias("v"))
-    rates = metrics.range_rate(c, ["event_type", "instance"], "s", "v", SPAN, STEP)
+    rates = metrics.range_rate(c, ["event_type", "instance"], "s", "v", SPAN, STEP, gaps=True)
     return rates.groupBy("event_type", "step_at").agg(F.round(F.sum("rate"), 9).alias("rate"))
 
 
