@@ -70,3 +70,100 @@ def test_cameras_do_not_share_tracks_and_silence_ends_them(spark, tmp_path):
     put(spark, source, close_of(rows))
     got = sorted(tuple(x) for x in tracks.drained(spark, tracks.track_stream(reader(spark, source)), str(tmp_path / "out"), str(tmp_path / "cp")).collect())
     assert got == batch(spark, rows) == [(1, 1, "1:0"), (1, 3, "1:0"), (1, 4, "1:1"), (2, 2, "2:0"), (2, 5, "2:1")]
+
+
+class State(dict):
+    """A map or value of a key's state, and how often it was asked."""
+
+    def __init__(self):
+        self.asked = 0
+
+    def _count(self, x=None):
+        self.asked += 1
+        return x
+
+    def get(self):
+        return self._count(super().get("value"))
+
+    def update(self, value):
+        self["value"] = self._count(value)
+
+    def clear(self):
+        self._count(super().clear())
+
+    def getValue(self, k):
+        return self._count(self[k])
+
+    def updateValue(self, k, v):
+        self[k] = self._count(v)
+
+    def containsKey(self, k):
+        return self._count(k in self)
+
+    def removeKey(self, k):
+        del self[self._count(k)]
+
+    def keys(self):
+        return self._count(list(super().keys()))
+
+    def iterator(self):
+        return self._count(list(super().items()))
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = [], set()
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.discard
+
+    def getMapState(self, *_):
+        self.states.append(State())
+        return self.states[-1]
+
+    getValueState = getMapState
+
+
+def test_a_camera_has_one_timer_and_few_questions_a_frame():
+    import pandas as pd
+
+    box, frames = [0.1, 0.1, 0.2, 0.2], 400
+    rows = pd.DataFrame([(k, k // 3 * 0.5, ("bag", "person", "cup")[k % 3], box) for k in range(3 * frames)], columns=["id", "t", "label", "box"])
+    handle, p = Handle(), tracks.CameraTracks()
+    p.init(handle)
+    at = lambda ms: type("At", (), {"getCurrentWatermarkInMs": lambda _: ms, "getExpiryTimeInMs": lambda _: min(handle.timers)})()
+    out = [x for part in (rows[:600], rows[600:]) for x in p.handleInputRows((1,), iter([part]), at(0))]
+    assert sum(map(len, out)) == 0 and len(handle.timers) == 1
+    got = []
+    for ms in (100_000, 10**9):  # half of the frames, then all; then the tracks are over
+        while handle.timers and min(handle.timers) <= ms:
+            now = at(ms)
+            due = min(handle.timers)
+            got += [x for d in p.handleExpiredTimer((1,), now, now) for x in d.itertuples(index=False)]
+            handle.timers.discard(due)
+        assert len(handle.timers) == (ms == 100_000)
+    assert {(x.id, x.track) for x in got} == {(k, f"1:{k % 3}") for k in range(3 * frames)} and len(got) == 3 * frames
+    assert sum(s.asked for s in handle.states) < 4 * frames
+
+
+def plain_assignment(found, live):
+    pairs = sorted((-tracking.overlap(a, b), tracking.distance(a, b), i, j) for i, a in enumerate(found) for j, b in enumerate(live) if tracking.overlap(a, b) >= tracking.IOU or tracking.distance(a, b) <= tracking.DISTANCE)
+    out, used = [-1] * len(found), set()
+    for _, _, i, j in pairs:
+        if out[i] < 0 and j not in used:
+            used.add(j)
+            out[i] = j
+    return out
+
+
+@pytest.mark.parametrize("few,block,at_once", ((0, 1 << 20, 1 << 19), (0, 64, 8), (10**9, 1, 1)))
+def test_assignment_is_the_greedy_one_whatever_the_blocks(monkeypatch, few, block, at_once):
+    for name, n in (("FEW", few), ("BLOCK", block), ("AT_ONCE", at_once)):
+        monkeypatch.setattr(tracking, name, n)
+    r = random.Random(7)
+    makes = (
+        lambda: [r.random() / 2, r.random() / 2, 0.3, 0.3], lambda: [r.randrange(4) / 8, r.randrange(4) / 8, 0.1 + r.randrange(3) / 8, 0.25],
+        lambda: [r.randrange(3) / 10, r.randrange(3) / 10, 0.25, 0.25], lambda: [r.randrange(9) / 50, r.randrange(9) / 50, 0.001, 0.001])
+    for k in range(60):
+        found, live = ([makes[k % 4]() for _ in range(r.randint(1, 40))] for _ in range(2))
+        assert tracking.assign(tracking.as_boxes(found), tracking.as_boxes(live)).tolist() == plain_assignment(found, live)
+    odd = [[0.1, None, 0.2, 0.2], None, [0.1, 0.1, 0.2, float("nan")], [0.1, 0.1, 0.2, 0.2]]
+    assert tracking.assign(tracking.as_boxes(odd), tracking.as_boxes(odd[::-1])).tolist() == [-1, -1, -1, 0]
