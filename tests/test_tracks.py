@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -167,3 +168,17 @@ def test_assignment_is_the_greedy_one_whatever_the_blocks(monkeypatch, few, bloc
         assert tracking.assign(tracking.as_boxes(found), tracking.as_boxes(live)).tolist() == plain_assignment(found, live)
     odd = [[0.1, None, 0.2, 0.2], None, [0.1, 0.1, 0.2, float("nan")], [0.1, 0.1, 0.2, 0.2]]
     assert tracking.assign(tracking.as_boxes(odd), tracking.as_boxes(odd[::-1])).tolist() == [-1, -1, -1, 0]
+
+
+def test_many_alike_in_a_frame(spark):
+    n = 4000  # in pairs that were more than a minute's work
+    rows = [(1, f * n + k, float(f), "bag", [0.1 * (k % 3) + 0.01 * f, 0.2, 0.2, 0.3]) for f in range(4) for k in range(n)] + [(1, -1, 1.0, "bag", [None, 0.2, 0.2, 0.3]), (1, None, 9.0, None, None)]
+    began = time.perf_counter()
+    d = spark.createDataFrame(rows, SCHEMA)
+    got = {x.id: x.track for x in tracking.track(d).collect()}
+    assert len(got) == 4 * n + 2 and len(set(got.values())) == n + 2
+    for f in range(1, 4):
+        assert all(got[f * n + k] == got[k] for k in range(0, n, 97))
+    summed = sorted((x.hits, x.label, x.first_seen, x.last_seen) for x in tracking.track_summary(d).collect())
+    assert summed == [(1, "bag", 1.0, 1.0)] + [(4, "bag", 0.0, 3.0)] * n  # what has no id isn't counted
+    assert time.perf_counter() - began < 40
