@@ -2,6 +2,7 @@
 
 import datetime
 import random
+import time
 
 import duckdb
 import pytest
@@ -52,3 +53,19 @@ def test_answers_above_one_and_without_a_value(compared):
     odd = [520.16, 0.0, 5e-324, 1e300, -7.5, None, 50_000.0, 501.0]
     events = [(i, START, i % 12, "view", odd[i // 12], "{}") for i in range(12 * len(odd))] + [(999, START, None, "view", 1.0, "{}")]
     assert len(compared("model_answers", events)) == 12 * len(odd)
+
+
+def test_gated_pairs_of_ties_and_nulls(compared):
+    events = some_events(900, users=10, every=20.0, value=lambda r: r.choice((None, 1.5, 1.5, 80.0, 400.25, float("nan"))))
+    events += events[:200] + [(8000, None, 1, "view", 1.0, '{"k": 1}'), (8001, START, None, "view", 1.0, '{"k": 1}'), (8002, START, 1, None, 1.0, '{"k": 1}'), (8003, START, 1, "view", 1.0, "{}")]
+    assert len(compared("geo_gated_pairs", events)) > 1000
+
+
+def test_pairs_of_many_alike(spark, tmp_path):
+    n = 3000
+    frames = spark.range(2 * n).selectExpr("id AS event_id", f"timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 10 * int(id div {n})) AS ts", "5L AS user_id", "'view' AS event_type", "double(id % 2) * 900 AS value", """'{"k": 4}' AS props""")
+    frames.write.parquet(f"{tmp_path}/events.parquet")
+    began = time.perf_counter()
+    got = QUERIES["geo_gated_pairs"](spark, str(tmp_path)).selectExpr("count(*)", "count(distinct a)", "count(distinct b)", "count_if(a >= 3000 or b < 3000 or (a - b) % 2 <> 0)").first()
+    assert tuple(got) == (n * n // 2, n, n, 0)  # lists are of up to 1,024 events
+    assert time.perf_counter() - began < 30

@@ -90,3 +90,9 @@ def typed(rows: DataFrame, schema: str) -> DataFrame:
 
 def append_typed(rows: DataFrame, schema: str, path: str) -> None:
     typed(rows, schema).write.mode("append").parquet(path)
+
+
+def gathered(rows: DataFrame, by: list[str], key: str, most: int = 1024) -> DataFrame:
+    """(by, keys): the keys of rows that are alike in ``by``, up to ``most`` in a row, so that a large group is many rows."""
+    number = F.row_number().over(Window.partitionBy(*by).orderBy(key))
+    return rows.select(*by, key, F.floor((number - 1) / most).alias("_part")).groupBy(*by, "_part").agg(F.collect_list(key).alias("keys")).drop("_part")
