@@ -112,3 +112,34 @@ def test_scratch_is_shared_or_an_error(spark, monkeypatch):
     with pytest.raises(ValueError):
         files.scratch(Cluster(), "x")
     assert "/x-" in files.scratch(spark, "x")
+
+
+@pytest.mark.parametrize("per_batch", ("10000", "3"))
+def test_manifest_of_files_beyond_a_row(spark, tmp_path, monkeypatch, per_batch):
+    import random
+
+    r, conf = random.Random(2), {k: spark.conf.get(k) for k in files.SPLIT}
+    monkeypatch.setattr(files, "WHOLE", 50)
+    contents = {
+        "small": b"a", "marked": files.BOM + b"x" * 60 + b"\n", "marked 2": files.BOM + b"y\r\n" * 40 + b"z", "lines": b"\n" * 99, "open": b"line\nand " + b"a half" * 20,
+        "noise": r.randbytes(200_000), "more noise": r.randbytes(70_000) + b"\n"}
+    (tmp_path / "deep er").mkdir()
+    for k, (name, data) in enumerate(contents.items()):
+        (tmp_path / ("deep er" if k % 2 else ".") / f"{name}.parquet").write_bytes(data)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", per_batch)
+    try:
+        got = files.manifest(spark, str(tmp_path), "*.parquet").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert {x.path.rsplit("/", 1)[1][:-8]: (x.size, x.sha256) for x in got} == {n: (len(d), hashlib.sha256(d).hexdigest()) for n, d in contents.items()}
+    assert len(got) == len(contents) and {k: spark.conf.get(k) for k in files.SPLIT} == conf
+
+
+def test_a_file_that_isnt_read_as_it_is(spark, tmp_path, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(files, "WHOLE", 10)
+    (tmp_path / "a.gz").write_bytes(gzip.compress(b"line\n" * 100))  # the reader unpacks it
+    with pytest.raises(Exception, match="bytes, of which"):
+        files.manifest(spark, str(tmp_path), "*.gz")
