@@ -69,3 +69,10 @@ def test_pairs_of_many_alike(spark, tmp_path):
     got = QUERIES["geo_gated_pairs"](spark, str(tmp_path)).selectExpr("count(*)", "count(distinct a)", "count(distinct b)", "count_if(a >= 3000 or b < 3000 or (a - b) % 2 <> 0)").first()
     assert tuple(got) == (n * n // 2, n, n, 0)  # lists are of up to 1,024 events
     assert time.perf_counter() - began < 30
+
+
+def test_hypotheses_of_events_without_a_value(compared):
+    r = random.Random(8)
+    events = [(i, ts, u, e, None if r.random() < 0.5 else v, p) for i, ts, u, e, v, p in some_events(800, users=12, every=30.0)]
+    got = compared("track_hypotheses", events)
+    assert len(got) > 20
